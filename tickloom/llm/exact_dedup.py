@@ -52,7 +52,7 @@ def build_index(keyed: DataFrame, *, bucket_entries: int, max_depth: int) -> Dat
     return materialise(owned, "dedup-index", partition_by="bucket")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_entries: int = 65_536, max_depth: int = 16, hash_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_entries: int = 65_536, max_depth: int = 14, hash_bits: int = 64) -> DataFrame:
     """(id_col, keep_id, group_size, kept, text_sha256, bucket, link) for each row; ``hash_bits`` under 64 forces chains, for tests."""
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     key = F.xxhash64("norm")
