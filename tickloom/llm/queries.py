@@ -5,6 +5,7 @@ from __future__ import annotations
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .langid import op1_langid
 from .mixing import OP7_SQL, op7_mixing
+from .quality import op8_quality
 from .sampled_pieces import op9_sampled_pieces
 from .simhash import op2_simhash
 from .topk import OP10_SQL, op10_topk
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mixing": op7_mixing,
+    "op8_quality": op8_quality,
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_topk": op10_topk,
 }
