@@ -9,10 +9,12 @@ from .quality import op8_quality
 from .sampled_pieces import op9_sampled_pieces
 from .simhash import op2_simhash
 from .topk import OP10_SQL, op10_topk
+from .warc import op3_warc
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
+    "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
