@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .langid import op1_langid
+from .lm_score import op5_lm_score
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op8_quality
 from .sampled_pieces import op9_sampled_pieces
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_lm_score": op5_lm_score,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_sampled_pieces": op9_sampled_pieces,
