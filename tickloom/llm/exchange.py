@@ -1,0 +1,104 @@
+"""Reductions by key over packed arrays, with answers to those who asked.
+
+An owner (a bundle of texts, a shard of an index) has distinct 64-bit keys with values. They travel as packs: one row for
+each owner and shard of the key space, of numpy arrays. A shard reduces the packs of groups of 64 owners, then the
+results, and answers each pack with the reduced values of its keys. A key is once in a pack, however many of the owner's
+rows hold it, so a key of a third of all rows costs a number per owner.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialise
+
+PER_GROUP = 64
+MIX = np.uint64(0x9E3779B97F4A7C15)
+COLUMNS = ["owner", "shard", "kind", "keys", "v0", "v1", "v2"]
+PACK = "owner int, shard int, kind int, keys binary, v0 binary, v1 binary, v2 binary"
+PACK_TYPE = pa.schema([*[(c, pa.int32()) for c in COLUMNS[:3]], *[(c, pa.binary()) for c in COLUMNS[3:]]])
+REDUCE = {"min": np.minimum, "max": np.maximum, "sum": np.add}
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by byte planes, which compress better on their way."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes()
+
+
+def numbers(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def column(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    """The numbers of all packs, end to end."""
+    return np.concatenate([np.zeros(0, kind), *(numbers(x, kind) for x in table[name].to_pylist() if x is not None)])
+
+
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return (((keys * MIX) >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
+
+
+def reduced(keys: np.ndarray, values: list[np.ndarray], ops: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Each key once, in order, with its reduced values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    cut = np.flatnonzero(np.diff(keys, prepend=keys[:1] ^ np.uint64(1)))
+    return keys[cut], [REDUCE[op].reduceat(v[order], cut) if len(cut) else v for v, op in zip(values, ops, strict=True)]
+
+
+def packed(owner: int, kind: int, keys: np.ndarray, values: list[np.ndarray], shards: int) -> list[dict]:
+    """The rows for distinct keys of an owner."""
+    shard = shard_of(keys, shards)
+    order = np.argsort(shard, kind="stable")
+    cut = np.searchsorted(shard[order], np.arange(shards + 1))
+    out = []
+    for k, (a, b) in enumerate(zip(cut, cut[1:], strict=False)):
+        if b > a:
+            own = order[a:b]
+            out.append({"owner": owner, "shard": k, "kind": kind, "keys": planes(keys[own])} | {f"v{i}": planes(v[own]) for i, v in enumerate(values)})
+    return out
+
+
+def rows_of(found: list[dict]) -> pa.Table:
+    return pa.Table.from_pylist(found, PACK_TYPE)
+
+
+def resolve(packs: DataFrame, values: list[tuple[str, str]], owners: int, tag: str, keep: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> DataFrame:
+    """For each pack (PACK), its keys with the values reduced over all packs; ``values`` names (op, dtype) of v0, v1, …
+    ``keep`` tells which keys to answer at all."""
+    ops, kinds = [v[0] for v in values], [v[1] for v in values]
+
+    def load(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
+        return reduced(column(table, "keys", "<u8"), [column(table, f"v{i}", k) for i, k in enumerate(kinds)], ops)
+
+    def merge(table: pa.Table) -> pa.Table:
+        keys, found = load(table)
+        return rows_of([{"owner": 0, "shard": table["shard"][0].as_py(), "kind": 0, "keys": planes(keys)} | {f"v{i}": planes(v) for i, v in enumerate(found)}])
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        keys, found = load(known)
+        mask = keep(found) if keep else None
+        out = []
+        for owner, kind, data in zip(asked["owner"].to_pylist(), asked["kind"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+            own = numbers(data, "<u8")
+            at = np.searchsorted(keys, own)
+            if mask is not None:
+                own, at = own[mask[at]], at[mask[at]]
+            if len(own):
+                out.append({"owner": owner, "kind": kind, "shard": 0, "keys": planes(own)} | {f"v{i}": planes(v[at]) for i, v in enumerate(found)})
+        return rows_of(out)
+
+    part = F.expr(f"cast(owner div {PER_GROUP} as int)").alias("part")
+    groups = -(-owners // PER_GROUP)
+    merged = packs
+    if groups > 1:
+        merged = merged.withColumn("part", part).groupBy("shard", "part").applyInArrow(merge, PACK)
+    merged = materialise(merged.groupBy("shard").applyInArrow(merge, PACK), f"{tag}-merged")
+    known = merged.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    asked = packs.select("owner", "shard", "kind", "keys", part)
+    return materialise(asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(answer, PACK), f"{tag}-answers")

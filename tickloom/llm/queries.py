@@ -7,6 +7,7 @@ from .langid import op1_langid
 from .lm_score import op5_lm_score
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op8_quality
+from .repeats import op6_repeats
 from .sampled_pieces import op9_sampled_pieces
 from .simhash import op2_simhash
 from .topk import OP10_SQL, op10_topk
@@ -18,6 +19,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lm_score": op5_lm_score,
+    "op6_repeats": op6_repeats,
     "op7_mixing": op7_mixing,
     "op8_quality": op8_quality,
     "op9_sampled_pieces": op9_sampled_pieces,
