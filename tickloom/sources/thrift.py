@@ -7,8 +7,9 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MESSAGE = "struct<messages:array<string>,host:string,filename:string>"
+MESSAGE = T.StructType([T.StructField("messages", T.ArrayType(T.StringType())), T.StructField("host", T.StringType()), T.StructField("filename", T.StringType())])
 BOOL, BYTE, DOUBLE, I16, I32, I64, STRING, STRUCT, MAP, SET, LIST = 2, 3, 4, 6, 8, 10, 11, 12, 13, 14, 15
 FIXED = {BOOL: 1, BYTE: 1, DOUBLE: 8, I16: 2, I32: 4, I64: 8}
 
@@ -84,7 +85,6 @@ def encode(messages: list[str], host: str | None = None, filename: str | None =
     return out + b"\0"
 
 
-@F.pandas_udf(MESSAGE)
 def _decode(data: pd.Series) -> pd.DataFrame:
     found = [decode(x) or {"messages": None, "host": None, "filename": None} for x in data]
     return pd.DataFrame(found, columns=["messages", "host", "filename"])
@@ -92,4 +92,4 @@ def _decode(data: pd.Series) -> pd.DataFrame:
 
 def decode_messages(column: Column | str) -> Column:
     """Messages of binary values; of bytes that are none, the messages are null, and the other rows go on."""
-    return _decode(F.col(column) if isinstance(column, str) else column)
+    return F.pandas_udf(_decode, MESSAGE)(F.col(column) if isinstance(column, str) else column)
