@@ -193,6 +193,8 @@ def open_windows(docs: DataFrame, answers: DataFrame, shards: int, per_index: in
             order = np.argsort(shard, kind="stable")
             keep, shard, split = keep[order], shard[order], (parts > 1)[order]
             cut = np.flatnonzero(np.diff(shard, prepend=-1))
+            if not len(cut):
+                continue
             for x, y in zip(cut, np.append(cut[1:], len(shard)), strict=True):
                 own = keep[x:y]
                 each = [data[s : s + n] for s, n in zip(start[own], length[own], strict=True)]
