@@ -28,7 +28,7 @@ from .langid import held_out
 from .quality import LOWER
 from .sampled_pieces import GOLDEN, powers
 
-DEPTH, TOP, PER_GROUP, BUNDLE, CHUNK = 5, 2, 64, 32 << 20, 3 << 20
+DEPTH, TOP, PER_GROUP, BUNDLE, CHUNK = 5, 2, 64, 32 << 20, 1 << 20
 PACK = "bundle int, shard int, kind int, keys binary, n binary"
 BASE = LOWER.astype(np.uint8)
 WHITE = np.zeros(256, bool)
