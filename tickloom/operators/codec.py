@@ -1,7 +1,7 @@
 """Packed series: timestamps as deltas of deltas, values as exclusive ors with the one before, in bits.
 
-Parquet's encodings serve storage; this codec serves exchange in the packed format. A series' chunk is packed in one call, its
-bits laid down by numpy from arrays of (value, width); only the window of meaningful bits is a fold.
+Parquet's encodings serve storage; this codec serves exchange in the packed format. A series' chunk is packed in one call from lists of
+(value, width); chunks are packed and unpacked a partition at a time.
 """
 
 from __future__ import annotations
@@ -33,16 +33,18 @@ def lay(values: np.ndarray, widths: np.ndarray) -> np.ndarray:
     return ((np.repeat(np.asarray(values, np.uint64), widths) >> shift.astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
 
 
-def timestamp_bits(ts: np.ndarray) -> np.ndarray:
-    ts = np.asarray(ts, np.int64)
-    if len(ts) and (ts.min() < 0 or ts.max() > MAX_TS):
+Fields = tuple[list[int], list[int]]  # values and their widths
+
+
+def timestamp_fields(ts: list[int]) -> Fields:
+    if ts and (min(ts) < 0 or max(ts) > MAX_TS):
         raise ValueError("a timestamp is out of range")
-    if not len(ts):
-        return np.zeros(0, np.uint8)
-    header = int(ts[0] - ts[0] % CHUNK_SECONDS)
-    dod = np.diff(np.diff(np.concatenate(([header], ts)), prepend=0))[1:]
-    values, widths = [header, int(ts[0]) - header], [32, 14]
-    for d in dod.tolist():
+    if not ts:
+        return [], []
+    header = ts[0] - ts[0] % CHUNK_SECONDS
+    values, widths, last, delta = [header, ts[0] - header], [32, 14], ts[0], ts[0] - header
+    for t in ts[1:]:
+        d, delta, last = t - last - delta, t - last, t
         if d == 0:
             values.append(0)
             widths.append(1)
@@ -54,15 +56,14 @@ def timestamp_bits(ts: np.ndarray) -> np.ndarray:
                 break
         else:
             raise ValueError("timestamps are too far apart")
-    return lay(np.array(values, np.uint64), widths)
+    return values, widths
 
 
-def value_bits(val: np.ndarray) -> np.ndarray:
-    raw = np.asarray(val, np.float64).copy()
+def value_fields(val: np.ndarray) -> Fields:
+    raw = np.array(val, np.float64)
     raw[np.isnan(raw)] = np.nan  # one NaN for all
-    raw = raw.view(np.uint64).tolist()
     values, widths, lead, trail, last = [], [], 64, 64, 0
-    for i, x in enumerate(raw):
+    for i, x in enumerate(raw.view(np.uint64).tolist()):
         if not i:
             values.append(x)
             widths.append(64)
@@ -70,27 +71,34 @@ def value_bits(val: np.ndarray) -> np.ndarray:
             values.append(0)
             widths.append(1)
         else:
-            zeros = min(31, 64 - y.bit_length())
-            right = min(63, (y & -y).bit_length() - 1)
+            zeros, right = min(31, 64 - y.bit_length()), min(63, (y & -y).bit_length() - 1)
             if lead + trail < 64 and zeros >= lead and right >= trail:
                 values.append(0b10)
                 widths.append(2)
-                values.append(y >> trail)
-                widths.append(64 - lead - trail)
             else:
                 lead, trail = zeros, right
                 values.append(0b11 << 11 | lead << 6 | trail)
                 widths.append(13)
-                values.append(y >> trail)
-                widths.append(64 - lead - trail)
+            values.append(y >> trail)
+            widths.append(64 - lead - trail)
         last = x
+    return values, widths
+
+
+def timestamp_bits(ts: np.ndarray) -> np.ndarray:
+    values, widths = timestamp_fields(np.asarray(ts, np.int64).tolist())
+    return lay(np.array(values, np.uint64), widths)
+
+
+def value_bits(val: np.ndarray) -> np.ndarray:
+    values, widths = value_fields(val)
     return lay(np.array(values, np.uint64), widths)
 
 
 class Bits:
-    def __init__(self, bits: np.ndarray):
-        self.left = len(bits)
-        self.number = int.from_bytes(np.packbits(bits).tobytes(), "big") >> (-self.left % 8)
+    def __init__(self, body: bytes, used: int):
+        self.left = used
+        self.number = int.from_bytes(body, "big") >> (8 * len(body) - used)
 
     def read(self, n: int) -> int:
         if n > self.left:
@@ -106,8 +114,8 @@ class Bits:
         return n
 
 
-def read_timestamps(bits: np.ndarray, n: int) -> list[int]:
-    r, out = Bits(bits), []
+def read_timestamps(r: Bits, n: int) -> list[int]:
+    out = []
     if n:
         header = r.read(32)
         delta = r.read(14)
@@ -120,8 +128,8 @@ def read_timestamps(bits: np.ndarray, n: int) -> list[int]:
     return out
 
 
-def read_values(bits: np.ndarray, n: int) -> list[float]:
-    r, raw, lead, trail = Bits(bits), [], 64, 64
+def read_values(r: Bits, n: int) -> list[float]:
+    raw, lead, trail = [], 64, 64
     for i in range(n):
         if not i:
             raw.append(r.read(64))
@@ -136,16 +144,31 @@ def read_values(bits: np.ndarray, n: int) -> list[float]:
     return np.array(raw, np.uint64).view(np.float64).tolist()
 
 
-def stream(bits: np.ndarray) -> bytes:
-    """A count of whole words, the bits used of the last, and the words."""
-    words = -(-len(bits) // 64)
-    full = np.zeros(words * 64, np.uint8)
-    full[: len(bits)] = bits
-    return words.to_bytes(4, "big") + (len(bits) - 64 * max(0, words - 1)).to_bytes(1, "big") + np.packbits(full).tobytes()
+def stream(fields: Fields) -> bytes:
+    """A count of whole words, the bits used of the last, and the words. A few fields are joined as one number, many as an array of bits."""
+    values, widths = fields
+    n = sum(widths)
+    words = -(-n // 64)
+    if len(values) <= 256:
+        number = 0
+        for v, w in zip(values, widths, strict=True):
+            number = number << w | v
+        body = (number << (64 * words - n)).to_bytes(8 * words, "big")
+    else:
+        full = np.zeros(words * 64, np.uint8)
+        full[:n] = lay(np.array(values, np.uint64), widths)
+        body = np.packbits(full).tobytes()
+    return words.to_bytes(4, "big") + (n - 64 * max(0, words - 1)).to_bytes(1, "big") + body
+
+
+def packed(ts: np.ndarray, val: np.ndarray) -> tuple[int, int, int, bytes]:
+    """(points, bits of timestamps, bits of values, the packed series)."""
+    a, b = timestamp_fields(np.asarray(ts, np.int64).tolist()), value_fields(val)
+    return len(ts), sum(a[1]), sum(b[1]), len(ts).to_bytes(4, "big") + stream(a) + stream(b)
 
 
 def pack(ts: np.ndarray, val: np.ndarray) -> bytes:
-    return len(ts).to_bytes(4, "big") + stream(timestamp_bits(ts)) + stream(value_bits(val))
+    return packed(ts, val)[3]
 
 
 def unpack(blob: bytes) -> tuple[list[int], list[float]] | None:
@@ -157,7 +180,9 @@ def unpack(blob: bytes) -> tuple[list[int], list[float]] | None:
             body = blob[at + 5 : at + 5 + 8 * words]
             if len(body) != 8 * words:
                 return None
-            parts.append(np.unpackbits(np.frombuffer(body, np.uint8))[: 64 * max(0, words - 1) + used])
+            if used > 64:
+                return None
+            parts.append(Bits(body, 64 * max(0, words - 1) + used))
             at += 5 + 8 * words
         return read_timestamps(parts[0], n), read_values(parts[1], n)
     except (ParseError, IndexError):
@@ -195,8 +220,7 @@ def pack_chunks(points: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for s, c, ts, val in runs(batches):
-                a, b = timestamp_bits(ts), value_bits(val)
-                yield s, c, len(ts), len(a), len(b), len(ts).to_bytes(4, "big") + stream(a) + stream(b)
+                yield s, c, *packed(ts, val)
 
         yield from batched(rows(), PACKED_TYPE, 4096)
 
