@@ -7,11 +7,11 @@ from .langid import op1_langid
 from .lm_score import op5_lm_score
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op8_quality
-from .repeats import op6_repeats
+from .repeats import OP6_SQL, op6_repeats
 from .sampled_pieces import op9_sampled_pieces
 from .simhash import op2_simhash
 from .topk import OP10_SQL, op10_topk
-from .warc import op3_warc
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -25,4 +25,10 @@ QUERIES = {
     "op9_sampled_pieces": op9_sampled_pieces,
     "op10_topk": op10_topk,
 }
-SQL = {"op4_exact_dedup": OP4_SQL, "op7_mixing": OP7_SQL, "op10_topk": OP10_SQL}
+SQL = {
+    "op3_warc": OP3_SQL,
+    "op4_exact_dedup": OP4_SQL,
+    "op6_repeats": OP6_SQL,
+    "op7_mixing": OP7_SQL,
+    "op10_topk": OP10_SQL,
+}

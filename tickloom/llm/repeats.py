@@ -342,3 +342,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes FROM documents),
+k AS (SELECT doc_id, h, n_bytes, unnest(range(0, n_bytes, 256)) AS k FROM d),
+e AS (SELECT doc_id, n_bytes, k, substr(h, 2 * k + 1, 612) AS h FROM k),
+b AS (SELECT doc_id, n_bytes, k, h, unnest(range(least(256, n_bytes - k))) AS i FROM e),
+s AS (SELECT doc_id, k + i AS p, substr(h, 2 * i + 1, 2) AS byte, CASE WHEN k + i + 50 <= n_bytes THEN substr(h, 2 * i + 1, 100) END AS x FROM b),
+m AS (SELECT doc_id, p, byte, x IS NOT NULL AND min(doc_id) OVER (PARTITION BY x) < doc_id AS hit FROM s),
+c AS (SELECT doc_id, p, byte, max(CAST(hit AS INT)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 1 AS gone FROM m),
+g AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS begins FROM c),
+r AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (begins) AS n_spans, coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""

@@ -249,3 +249,13 @@ def capture_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = capture_history(table(spark, sf_dir, "pages"))
     return out.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body, sha1(encode(coalesce(html, ''))) AS h FROM pages),
+f AS (SELECT page_id, CAST(octet_length(body) AS BIGINT) AS payload_bytes, min(page_id) OVER (PARTITION BY h) AS first, list_transform(range(40), lambda i: strpos('0123456789abcdef', substr(h, i + 1, 1)) - 1) AS d FROM p),
+b AS (SELECT *, flatten(list_transform(d, lambda x: [x // 8, x // 4 % 2, x // 2 % 2, x % 2])) AS bits FROM f)
+SELECT page_id, payload_bytes, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + 16 * bits[5 * i + 1] + 8 * bits[5 * i + 2] + 4 * bits[5 * i + 3] + 2 * bits[5 * i + 4] + bits[5 * i + 5] AS BIGINT), 1)), '') AS payload_digest FROM b
+"""
