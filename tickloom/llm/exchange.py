@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 PER_GROUP = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -68,37 +68,52 @@ def rows_of(found: list[dict]) -> pa.Table:
     return pa.Table.from_pylist(found, PACK_TYPE)
 
 
-def resolve(packs: DataFrame, values: list[tuple[str, str]], owners: int, tag: str, keep: Callable[[list[np.ndarray]], np.ndarray] | None = None) -> DataFrame:
-    """For each pack (PACK), its keys with the values reduced over all packs; ``values`` names (op, dtype) of v0, v1, …
-    ``keep`` tells which keys to answer at all."""
-    ops, kinds = [v[0] for v in values], [v[1] for v in values]
+def resolve(packs: DataFrame, values: list[tuple[str, str]], owners: int, tag: str, keep: Callable[[list[np.ndarray]], np.ndarray] | None = None, send: list[int] | None = None) -> DataFrame:
+    """For each pack (PACK), its keys with the values reduced over all packs; ``values`` names (op, dtype of 8 bytes) of v0, v1, …
+    A value of "spread" is the greatest of something whose least is v0; it travels as its exclusive or with v0, mostly
+    zero. ``keep`` tells which keys to answer at all, ``send`` which values to answer with."""
+    ops, kinds = ["max" if v[0] == "spread" else v[0] for v in values], [v[1] for v in values]
+    spread = [i for i, v in enumerate(values) if v[0] == "spread"]
+    send = list(range(len(values))) if send is None else send
 
     def load(table: pa.Table) -> tuple[np.ndarray, list[np.ndarray]]:
-        return reduced(column(table, "keys", "<u8"), [column(table, f"v{i}", k) for i, k in enumerate(kinds)], ops)
-
-    def merge(table: pa.Table) -> pa.Table:
-        keys, found = load(table)
-        return rows_of([{"owner": 0, "shard": table["shard"][0].as_py(), "kind": 0, "keys": planes(keys)} | {f"v{i}": planes(v) for i, v in enumerate(found)}])
+        found = [column(table, f"v{i}", k) for i, k in enumerate(kinds)]
+        for i in spread:
+            found[i] = found[i] ^ found[0]
+        return reduced(column(table, "keys", "<u8"), found, ops)
+
+    def merged_by(keep: Callable | None) -> Callable[[pa.Table], pa.Table]:
+        def merge(table: pa.Table) -> pa.Table:
+            keys, found = load(table)
+            if keep:
+                mask = keep(found)
+                keys, found = keys[mask], [v[mask] for v in found]
+            for i in spread:
+                found[i] = found[i] ^ found[0]
+            return rows_of([{"owner": 0, "shard": table["shard"][0].as_py(), "kind": 0, "keys": planes(keys)} | {f"v{i}": planes(v) for i, v in enumerate(found)}])
+
+        return merge
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         keys, found = load(known)
-        mask = keep(found) if keep else None
         out = []
-        for owner, kind, data in zip(asked["owner"].to_pylist(), asked["kind"].to_pylist(), asked["keys"].to_pylist(), strict=True):
+        for owner, kind, data in zip(asked["owner"].to_pylist(), asked["kind"].to_pylist(), asked["keys"].to_pylist(), strict=True) if len(keys) else ():
             own = numbers(data, "<u8")
-            at = np.searchsorted(keys, own)
-            if mask is not None:
-                own, at = own[mask[at]], at[mask[at]]
+            at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            held = keys[at] == own
+            own, at = own[held], at[held]
             if len(own):
-                out.append({"owner": owner, "kind": kind, "shard": 0, "keys": planes(own)} | {f"v{i}": planes(v[at]) for i, v in enumerate(found)})
+                out.append({"owner": owner, "kind": kind, "shard": 0, "keys": planes(own)} | {f"v{i}": planes(found[i][at]) for i in send})
         return rows_of(out)
 
     part = F.expr(f"cast(owner div {PER_GROUP} as int)").alias("part")
     groups = -(-owners // PER_GROUP)
     merged = packs
     if groups > 1:
-        merged = merged.withColumn("part", part).groupBy("shard", "part").applyInArrow(merge, PACK)
-    merged = materialise(merged.groupBy("shard").applyInArrow(merge, PACK), f"{tag}-merged")
+        merged = merged.withColumn("part", part).groupBy("shard", "part").applyInArrow(merged_by(None), PACK)
+    merged = materialise(merged.groupBy("shard").applyInArrow(merged_by(keep), PACK), f"{tag}-merged")
     known = merged.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     asked = packs.select("owner", "shard", "kind", "keys", part)
-    return materialise(asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(answer, PACK), f"{tag}-answers")
+    out = materialise(asked.groupBy("shard", "part").cogroup(known.groupBy("shard", "part")).applyInArrow(answer, PACK), f"{tag}-answers")
+    discard(merged)
+    return out

@@ -33,12 +33,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, shuffle_partitions, table, utf8
+from .common import chunks, discard, materialise, shuffle_partitions, table, utf8
 from .exchange import PACK, column, packed, planes, reduced, resolve, rows_of
 from .run_index import LENGTH, RunIndex
 from .sampled_pieces import GOLDEN, powers
 
-GRAM, POSITION_BITS, CHUNK, BUNDLE = 18, 28, 2 << 20, 24 << 20
+GRAM, POSITION_BITS, CHUNK, BUNDLE = 18, 28, 1 << 20, 24 << 20
 SPAN = LENGTH - GRAM + 1
 PER_INDEX = 512  # windows of one anchor in one index
 LAST = np.iinfo(np.int64).max
@@ -53,7 +53,7 @@ class Sums:
     """Hashes of any stretches of some bytes."""
 
     def __init__(self, data: np.ndarray):
-        self.power, self.inverse = powers(1 << max(21, len(data).bit_length()))
+        self.power, self.inverse = powers(1 << max(20, len(data).bit_length()))
         self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)])))
 
     def of(self, start: np.ndarray, length) -> np.ndarray:
@@ -133,7 +133,7 @@ def shared_windows(rows: pa.Table, shared: np.ndarray) -> Iterator[tuple]:
 
 
 def ask_windows(docs: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
-    """Kind 0: each bundle's windows, with the least id. Kind 1: their anchors, with the least and the greatest window, and their number."""
+    """Kind 0: each bundle's windows, with the least id. Kind 1: their anchors, with the least window, its exclusive or with the greatest, and their number."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
@@ -148,6 +148,7 @@ def ask_windows(docs: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
         bundle = rows["bundle"][0].as_py()
         out = packed(bundle, 0, keys, [least], shards)
         anchors, values = reduced(anchor, [keys, keys, np.ones(len(keys), np.int64)], ["min", "max", "sum"])
+        values[1] ^= values[0]
         return rows_of(out + packed(bundle, 1, anchors, values, shards))
 
     return docs.groupBy("bundle").cogroup(shared.groupBy("owner")).applyInArrow(run, PACK)
@@ -181,24 +182,29 @@ def open_windows(docs: DataFrame, answers: DataFrame, shards: int, per_index: in
             return pa.Table.from_pylist([], WINDOWS_TYPE)
         known, least = by_kind(answers, 0, ("keys", "<u8"), ("v0", "<i8"))
         anchors, number = by_kind(answers, 1, ("keys", "<u8"), ("v2", "<i8"))
-        out = []
+        kept: list[tuple] = []
         for a, ids, data, _, (text, start, length, anchor, content) in shared_windows(rows, anchors):
             at, _ = at_key(known, content)
             keep = np.flatnonzero(least[at] == ids[text]) if len(known) else np.zeros(0, np.int64)
             _, first = np.unique(text[keep].astype(np.uint64) * GOLDEN ^ content[keep], return_index=True)  # a text's equal windows once
-            keep = keep[first]
-            parts = -(-number[at_key(anchors, anchor[keep])[0]] // per_index) if len(keep) else np.zeros(0, np.int64)
-            salt = scramble(content[keep] + ids[text[keep]].astype(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)
-            shard = (scramble(anchor[keep] + salt * GOLDEN) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            keep, shard, split = keep[order], shard[order], (parts > 1)[order]
-            cut = np.flatnonzero(np.diff(shard, prepend=-1))
-            if not len(cut):
-                continue
-            for x, y in zip(cut, np.append(cut[1:], len(shard)), strict=True):
-                own = keep[x:y]
-                each = [data[s : s + n] for s, n in zip(start[own], length[own], strict=True)]
-                out.append({"shard": int(shard[x]), "bundle": rows["bundle"][0].as_py(), "data": np.concatenate(each).tobytes(), "lengths": planes(length[own].astype(np.uint8)), "texts": planes((text[own] + a).astype(np.uint32)), "ids": planes(ids[text[own]]), "contents": planes(content[own]), "split": planes(split[x:y].astype(np.uint8))})
+            if len(keep := keep[first]):
+                each = [data[s : s + n].tobytes() for s, n in zip(start[keep], length[keep], strict=True)]
+                kept.append((each, text[keep] + a, ids[text[keep]], anchor[keep], content[keep]))
+        if not kept:
+            return pa.Table.from_pylist([], WINDOWS_TYPE)
+        each = [x for k in kept for x in k[0]]
+        text, own_id, anchor, content = (np.concatenate([k[i] for k in kept]) for i in range(1, 5))
+        parts = -(-number[at_key(anchors, anchor)[0]] // per_index)
+        salt = scramble(content + own_id.astype(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)
+        shard = (scramble(anchor + salt * GOLDEN) % np.uint64(shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        out, split = [], (parts > 1).astype(np.uint8)
+        for x, y in zip(cut, np.append(cut[1:], len(order)), strict=True):
+            own = order[x:y]
+            data = [each[i] for i in own]
+            lengths = np.fromiter(map(len, data), np.uint8, len(data))
+            out.append({"shard": int(shard[own[0]]), "bundle": rows["bundle"][0].as_py(), "data": b"".join(data), "lengths": planes(lengths), "texts": planes(text[own].astype(np.uint32)), "ids": planes(own_id[own]), "contents": planes(content[own]), "split": planes(split[own])})
         return pa.Table.from_pylist(out, WINDOWS_TYPE)
 
     return docs.groupBy("bundle").cogroup(answers.groupBy("owner")).applyInArrow(run, WINDOWS)
@@ -329,13 +335,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("bundle", F.pmod(F.xxhash64("id", "text"), F.lit(bundles)).cast("int")).select("bundle", "id", "text")
     anchors = materialise(ask_anchors(rows, shards), "repeats-anchors")
     shared = resolve(anchors, [("sum", "<u1")], bundles, "repeats-shared", keep=lambda v: v[0] >= 2)
+    discard(anchors)
     asked = materialise(ask_windows(rows, shared, shards), "repeats-windows")
+    discard(shared)
     least = resolve(asked.filter("kind = 0"), [("min", "<i8")], bundles, "repeats-least")
-    several = resolve(asked.filter("kind = 1"), [("min", "<u8"), ("max", "<u8"), ("sum", "<i8")], bundles, "repeats-several", keep=lambda v: v[0] != v[1])
-    open_ = materialise(open_windows(rows, least.union(several), shards, per_index), "repeats-open")
+    several = resolve(asked.filter("kind = 1"), [("min", "<u8"), ("spread", "<u8"), ("sum", "<i8")], bundles, "repeats-several", keep=lambda v: v[0] != v[1], send=[2])
+    discard(asked)
+    indexes = shards
+    open_ = materialise(open_windows(rows, least.union(several), indexes, per_index), "repeats-open")
+    discard(several)
     strings = materialise(ask_strings(open_, shards), "repeats-strings")
-    best = resolve(strings, [("min", "<i8")], shards, "repeats-best")
+    best = resolve(strings, [("min", "<i8")], indexes, "repeats-best")
     found = materialise(found_repeats(open_, best), "repeats-found")
+    discard(strings, best, open_)
     out = removed(rows, least.union(found), with_text)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_text" if with_text else "kept_sha256"))
 
