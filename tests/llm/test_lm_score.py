@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tickloom.llm import lm_score
 from tickloom.llm.context_tree import keys_of, levels, ln_gamma, mixed, summed
 from tickloom.llm.lm_score import DEPTH, op5_lm_score
 
@@ -77,7 +78,9 @@ def test_the_tree_against_a_plain_version():
             assert mixed(keys_of(np.frombuffer(t, np.uint8), depth), depth, tree).sum() == pytest.approx(plain.score(t))
 
 
-def test_the_query_against_a_plain_version(spark, docs_of, tmp_path):
+@pytest.mark.parametrize("per_group", [64, 2])
+def test_the_query_against_a_plain_version(spark, docs_of, tmp_path, monkeypatch, per_group):
+    monkeypatch.setattr(lm_score, "PER_GROUP", per_group)
     texts = [t for t in odd_texts() if not t or len(t) < 6000] + [f"Text {i % 9} of the {i % 4} kind, again" for i in range(60)]
     docs_of(texts).write.parquet(str(tmp_path / "documents.parquet"))
     rows = {r.doc_id: r for r in op5_lm_score(spark, str(tmp_path)).collect()}

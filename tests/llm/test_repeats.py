@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from tickloom.llm import exchange
 from tickloom.llm.repeats import op6_repeats, remove_repeats, windows
 from tickloom.llm.run_index import RunIndex
 
@@ -43,8 +44,9 @@ def passages():
     return texts
 
 
-@pytest.mark.parametrize("per_index", [512, 3])
-def test_against_a_plain_version(docs_of, per_index):
+@pytest.mark.parametrize("per_index,per_group", [(512, 64), (3, 3)])
+def test_against_a_plain_version(docs_of, monkeypatch, per_index, per_group):
+    monkeypatch.setattr(exchange, "PER_GROUP", per_group)  # groups of owners, and of them groups
     texts = passages()
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs_of(texts), per_index=per_index).collect()}
     want = plain(texts)

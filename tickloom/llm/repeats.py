@@ -115,7 +115,7 @@ def ask_anchors(docs: DataFrame, shards: int) -> DataFrame:
             first.append(x)
             last.append(y)
         keys, (x, y) = reduced(np.concatenate(anchors), [np.concatenate(first), np.concatenate(last)], ["min", "max"])
-        return rows_of(packed(rows["bundle"][0].as_py(), 0, keys, [1 + (x != y).astype(np.uint8)], shards))
+        return rows_of(packed(rows["bundle"][0].as_py(), 0, keys, [1 + (x != y).astype(np.int64)], shards))
 
     return docs.groupBy("bundle").applyInArrow(run, PACK)
 
@@ -334,7 +334,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bundles = max(shards, 1 + size // BUNDLE)
     rows = rows.withColumn("bundle", F.pmod(F.xxhash64("id", "text"), F.lit(bundles)).cast("int")).select("bundle", "id", "text")
     anchors = materialise(ask_anchors(rows, shards), "repeats-anchors")
-    shared = resolve(anchors, [("sum", "<u1")], bundles, "repeats-shared", keep=lambda v: v[0] >= 2)
+    shared = resolve(anchors, [("sum", "<i8")], bundles, "repeats-shared", keep=lambda v: v[0] >= 2)
     discard(anchors)
     asked = materialise(ask_windows(rows, shared, shards), "repeats-windows")
     discard(shared)
