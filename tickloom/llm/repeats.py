@@ -38,7 +38,7 @@ from .exchange import PACK, column, packed, planes, reduced, resolve, rows_of
 from .run_index import LENGTH, RunIndex
 from .sampled_pieces import GOLDEN, powers
 
-GRAM, POSITION_BITS, CHUNK, BUNDLE = 18, 28, 1 << 20, 24 << 20
+GRAM, POSITION_BITS, CHUNK, BUNDLE = 18, 28, 1 << 20, 8 << 20
 SPAN = LENGTH - GRAM + 1
 PER_INDEX = 512  # windows of one anchor in one index
 LAST = np.iinfo(np.int64).max
@@ -331,7 +331,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     shards = shuffle_partitions(spark)
-    bundles = max(shards, 1 + size // BUNDLE)
+    bundles = max(2 * shards, 1 + size // BUNDLE)
     rows = rows.withColumn("bundle", F.pmod(F.xxhash64("id", "text"), F.lit(bundles)).cast("int")).select("bundle", "id", "text")
     anchors = materialise(ask_anchors(rows, shards), "repeats-anchors")
     shared = resolve(anchors, [("sum", "<i8")], bundles, "repeats-shared", keep=lambda v: v[0] >= 2)
@@ -341,7 +341,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = resolve(asked.filter("kind = 0"), [("min", "<i8")], bundles, "repeats-least")
     several = resolve(asked.filter("kind = 1"), [("min", "<u8"), ("spread", "<u8"), ("sum", "<i8")], bundles, "repeats-several", keep=lambda v: v[0] != v[1], send=[2])
     discard(asked)
-    indexes = shards
+    indexes = 4 * shards  # an index takes about 120 bytes of memory a byte of its windows
     open_ = materialise(open_windows(rows, least.union(several), indexes, per_index), "repeats-open")
     discard(several)
     strings = materialise(ask_strings(open_, shards), "repeats-strings")
