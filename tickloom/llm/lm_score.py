@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary, chunks, materialise, shuffle_partitions, table, utf8
+from .common import binary, chunks, discard, materialise, shuffle_partitions, table, utf8
 from .context_tree import Level, keys_of, levels, ln_kt, mixed, summed
 from .langid import held_out
 from .quality import LOWER
 from .sampled_pieces import GOLDEN, powers
 
-DEPTH, TOP, PER_GROUP, BUNDLE, CHUNK = 5, 2, 64, 32 << 20, 1 << 20
+DEPTH, TOP, PER_GROUP, BUNDLE, CHUNK = 5, 2, 64, 8 << 20, 1 << 20
 PACK = "bundle int, shard int, kind int, keys binary, n binary"
 BASE = LOWER.astype(np.uint8)
 WHITE = np.zeros(256, bool)
@@ -247,12 +247,13 @@ def lm_score(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), mark.alias("train"))
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.sum(F.col("train").cast("long")), F.lit(0))).first()
     shards = shuffle_partitions(spark)
-    bundles = max(shards, 1 + size // BUNDLE)
+    bundles = max(2 * shards, 1 + size // BUNDLE)
     rows = rows.withColumn("bundle", F.pmod(F.xxhash64("id", "text"), F.lit(bundles)).cast("int"))
     packed = materialise(packs(rows, shards), "lm-packs")
     merged = materialise(model(packed), "lm-model")
     words, distinct = merged.filter("kind = 1").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     answers = materialise(replies(packed, merged, top_levels(top_sums(merged)), -(-bundles // PER_GROUP)), "lm-answers")
+    discard(packed, merged)
     total = words + ends
     out = scored(rows, answers, rows.schema["id"].dataType.simpleString(), total, distinct + (ends > 0), ends)
     return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
