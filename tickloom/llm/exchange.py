@@ -1,7 +1,7 @@
 """Reductions by key over packed arrays, with answers to those who asked.
 
 An owner (a bundle of texts, a shard of an index) has distinct 64-bit keys with values. They travel as packs: one row for
-each owner and shard of the key space, of numpy arrays. A shard reduces the packs of groups of 64 owners, then the
+each owner and shard of the key space, of numpy arrays. A shard reduces the packs of groups of 256 owners, then the
 results, and answers each pack with the reduced values of its keys. A key is once in a pack, however many of the owner's
 rows hold it, so a key of a third of all rows costs a number per owner.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise
 
-PER_GROUP = 64
+PER_GROUP = 256
 MIX = np.uint64(0x9E3779B97F4A7C15)
 COLUMNS = ["owner", "shard", "kind", "keys", "v0", "v1", "v2"]
 PACK = "owner int, shard int, kind int, keys binary, v0 binary, v1 binary, v2 binary"
