@@ -1,0 +1,52 @@
+import random
+
+import corpus_pipeline
+from tickloom.llm.near_dedup import near_components
+
+from .odd import odd_texts
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain(texts):
+    sets, root = [plain_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or len(a & b) * 5 >= len(a | b) * 4:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def near_copies():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = odd_texts()
+    for group in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(8, 220))]
+        for _ in range(60 if group == 0 else 6):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_components_against_all_pairs(docs_of):
+    texts = near_copies()
+    want = plain(texts)
+    assert len(set(want)) < len(set(map(frozenset, map(plain_set, texts))))
+    got = {r.doc_id: r.component_id for r in near_components(docs_of(texts)).collect()}
+    assert got == dict(enumerate(want))
+
+
+def test_the_pipeline_drops_near_copies_at_eight_tenths(spark, docs_of):
+    texts = near_copies()
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs_of(texts), "")
+    assert kept.columns == docs_of(texts).columns and {r.doc_id for r in kept.collect()} == set(plain(texts))
+    assert near_components(docs_of(texts).limit(0)).count() == 0

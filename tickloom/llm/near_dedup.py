@@ -1,0 +1,175 @@
+"""Near-deduplication by exact Jaccard similarity of word shingles.
+
+A text is the set of its five-word shingles (A-Z in lower case, XXH64 values); one with fewer words is one shingle. Texts whose
+sets have a Jaccard similarity of ``similarity`` or more are linked; a component is what links reach.
+
+Texts with equal sets collapse to one class first. Candidates are classes that share one of 25 bands of four MinHash
+values: a pair at 0.8 shares none with probability 2e-6, a pair at 0.7 with 1e-3. Each candidate's similarity is
+then computed from the whole sets. A bucket's classes are first linked along a chain of neighbours, in another order in each
+band. Then the pairs that this left in different components are compared, all of them, by sketches of 384 MinHash bytes in tiles with numpy:
+a pair at 0.8 fails there with probability 5e-6, and what passes is compared whole. So only pairs already connected are left out, and a large
+group makes no table of all its pairs.
+
+Defined results: null and empty texts and texts without words have the empty set, all alike; the row kept of a component is the one
+with the smallest id that isn't null; repeated rows stand or fall together; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from xxhash import xxh3_128_digest, xxh64_intdigest
+
+from .common import materialise, shuffle_partitions
+from .simhash import components
+
+BANDS, ROWS, SKETCH, TILE = 25, 4, 384, 512
+_rng = np.random.default_rng(17)
+FLIP, TIMES = _rng.integers(0, 2**64, (2, SKETCH, 1), np.uint64)
+TIMES |= np.uint64(1)
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def shingles(text: bytes, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct shingles' hashes in order."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros(0, np.uint64)
+    joined, ends = b" ".join(tokens), np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    most = min(words, len(tokens))
+    starts = np.concatenate(([0], ends[:-most])).tolist()
+    return np.unique(np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, (ends[most - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def minhash(s: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A hash of each band of four MinHash values, none for the empty set; a byte of each MinHash value."""
+    if not len(s):
+        return np.zeros(0, np.int64), bytes(SKETCH)
+    least = np.full(SKETCH, 2**64 - 1, np.uint64)
+    for at in range(0, len(s), 1024):
+        least = np.minimum(least, ((s[at : at + 1024] ^ FLIP) * TIMES).min(1))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in least[: BANDS * ROWS].reshape(BANDS, ROWS).T:
+        out = (out ^ column) * MIX
+        out ^= out >> np.uint64(32)
+    return out.view(np.int64), (least >> np.uint64(16)).astype(np.uint8).tobytes()
+
+
+def _texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for t in batch.column(1).cast(pa.binary()):
+        yield shingles(t.as_py() or b"")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, compared whole."""
+    up, down = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                hit[i] = down * both >= up * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit))
+
+    left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "sa"), ("b", "sb")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+
+
+RECORD = np.dtype([("key", "<u8", 2), ("root", "<u8", 2), ("n", ">i8"), ("sketch", "u1", SKETCH)])
+
+
+def across(split: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) in one bucket with different roots that may be similar by their sizes and sketches, each once, from
+    (bucket, key, n, root, sketch)."""
+    up, down = similarity
+    share = up / down
+    least = int(SKETCH * share - 4.5 * (SKETCH * share * (1 - share)) ** 0.5)
+    packed = F.concat("key", "root", F.unhex(F.lpad(F.hex("n"), 16, "0")), "sketch")
+    tile = F.floor((F.expr("row_number() OVER (PARTITION BY bucket ORDER BY key)") - 1) / TILE)
+    tiles = split.select("bucket", tile.alias("tile"), packed.alias("row")).groupBy("bucket", "tile").agg(F.collect_list("row").alias("rows"))
+    tiles = materialise(tiles, "near-tiles")
+    left, right = (tiles.select("bucket", F.col("tile").alias(t), F.col("rows").alias(r)) for t, r in (("ta", "ra"), ("tb", "rb")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(b"".join(batch.column(c)[k].as_py()), RECORD) for c in (1, 3))
+                same = batch.column(0)[k] == batch.column(2)[k]
+                for at in range(0, len(x), 16):
+                    z = x[at : at + 16, None]
+                    maybe = (z["root"] != y["root"]).any(-1) & (np.minimum(z["n"], y["n"]) * down >= np.maximum(z["n"], y["n"]) * up)
+                    i, j = np.nonzero(maybe & (np.arange(at, at + len(z))[:, None] < np.arange(len(y))) if same else maybe)
+                    hit = np.count_nonzero(x["sketch"][at + i] == y["sketch"][j], axis=1) >= least
+                    found = [[v.tobytes() for v in z] for z in (x["key"][at + i[hit]], y["key"][j[hit]])]
+                    if found[0]:
+                        yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in found], ["a", "b"])
+
+    met = left.join(right, "bucket").filter("ta <= tb").repartition(4 * shuffle_partitions(split.sparkSession), "bucket", "ta", "tb")
+    found = met.select("ta", "ra", "tb", "rb").mapInArrow(run, "a binary, b binary")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+    """(id, component_id) of each row; ``similarity`` is a fraction."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    up, down = similarity
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, bands, sketches = [], [], [], []
+            for s in _texts(batch):
+                keys.append(xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                band, sketch = minhash(s)
+                bands.append(band)
+                sketches.append(sketch)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["id", "key", "n", "bands", "sketch"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                found = list(_texts(batch.slice(at, 1000)))
+                yield pa.RecordBatch.from_arrays([pa.array([xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], ["key", "shingles"])
+
+    marked = materialise(rows.mapInArrow(keyed, "id long, key binary, n long, bands array<long>, sketch binary"), "near-rows")
+    ids = marked.select("id", "key")
+    firsts = ids.groupBy("key").agg(F.min("id").alias("first"))
+    # the classes that share a bucket with others
+    members = marked.select("key", "n", F.explode("bands").alias("bucket")).distinct()
+    members = members.withColumn("shared", F.expr("count(1) OVER (PARTITION BY bucket)")).filter("shared > 1").drop("shared")
+    members = materialise(members, "near-members")
+    keys = members.select("key").distinct()
+    named = ids.join(keys, "key", "left_semi").select(F.col("id").alias("named")).distinct()
+    of = rows.join(named, rows["id"].eqNullSafe(named["named"]), "left_semi").mapInArrow(shingled, "key binary, shingles binary")
+    sets = materialise(of.join(keys, "key", "left_semi").dropDuplicates(["key"]), "near-sets")
+
+    order = "OVER (PARTITION BY bucket ORDER BY xxhash64(key, bucket), key)"
+    chain = members.select(F.col("key").alias("a"), F.col("n").alias("na"), F.expr(f"lag(key) {order}").alias("b"), F.expr(f"lag(n) {order}").alias("nb")).filter("b IS NOT NULL")
+    chain = chain.filter(F.least("na", "nb") * down >= F.greatest("na", "nb") * up)
+    chain = materialise(chain.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    links = materialise(similar(chain, sets, similarity), "near-links")
+    roots = components(links, "near-components")
+    split = members.join(roots, members["key"] == roots["node"], "left").select("key", "n", "bucket", F.coalesce("root", "key").alias("root"))
+    split = split.withColumn("split", F.expr("min(root) OVER (PARTITION BY bucket) < max(root) OVER (PARTITION BY bucket)")).filter("split")
+    sketches = marked.join(keys, "key", "left_semi").select("key", "sketch").distinct()
+    rest = across(split.join(sketches, "key"), similarity).join(chain, ["a", "b"], "left_anti")
+    rest = materialise(rest, "near-pairs")
+    more = materialise(similar(rest, sets, similarity), "near-links")
+    roots = components(links.union(more), "near-components")
+    linked = firsts.join(roots, firsts["key"] == roots["node"]).select("key", "first", "root")
+    lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    own = linked.join(lead, "root").select("key", "component_id")
+    own = materialise(firsts.join(own, "key", "left").select("key", F.coalesce("component_id", "first").alias("component_id")), "near-classes")
+    return ids.join(own, "key").select(F.col("id").alias(id_col), "component_id")
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The row with the smallest doc_id of each component, with all its columns."""
+    leads = near_components(docs).select("component_id").distinct()
+    return docs.join(leads, docs["doc_id"].eqNullSafe(leads["component_id"]), "left_semi").select(*docs.columns)
