@@ -54,3 +54,15 @@ def test_stage_and_query(spark, corpus, tmp_path):
     corpus.write.parquet(str(tmp_path / "documents.parquet"))
     out = op1_langid(spark, str(tmp_path))
     assert out.count() == corpus.count() and out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_unseen_long_texts_are_rejected_and_own_ones_of_any_length_kept(spark):
+    rng = random.Random(8)
+    make = lambda parts, n: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, make(PARTS[lang], rng.choice([4, 20, 100, 400])), lang, "s") for i in range(400) for lang in [("aa", "bb")[i % 2]]]
+    model = fit(train_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")), k=2)
+    other = [make(PARTS["cc"], n) for n in (100, 400, 2000) for _ in range(20)]
+    other += ["".join(rng.choices(pool, k=n)) for pool in ("ABCDEFGHIJabcdefghijklmnopqrstuvwxyz0123456789+/", [chr(c) for c in range(0x4E00, 0x9FA0)], [chr(c) for c in range(0x430, 0x450)] + [" "]) for n in (600, 2000, 8000) for _ in range(10)]
+    own = [make(PARTS[lang], n) for lang in ("aa", "bb") for n in (4, 20, 100, 400, 2000) for _ in range(20)]
+    flags = {n: [r._rejected for r in tag(spark.createDataFrame([(i, t) for i, t in enumerate(x)], "doc_id long, text string"), model).collect()] for n, x in (("other", other), ("own", own))}
+    assert all(flags["other"]) and sum(flags["own"]) <= 0.02 * len(own)

@@ -3,7 +3,10 @@
 A text is a vector of hashed byte trigrams (A-Z in lower case, other ASCII that isn't a letter as a space), weighted by
 log(1 + count) and the inverse document frequency, of length one. Each language has several centroids, clustered by
 spherical k-means, since its texts differ in kind and length. The nearest centroid by cosine gives the language;
-a text farther than ``reject_distance`` (1 - cosine) from all centroids is rejected.
+a text farther than ``reject_distance`` (1 - cosine) from all centroids is rejected, and so is one whose cosine is under what its
+language's own texts reach at its length. Long texts of any kind share slots by chance, so that floor is calibrated by length: each fifth of a
+language's sample is left out of clusters made for this only, and cut to several lengths; the floor is a share of the
+lowest hundredth of the cosines at each length, of the language or, where it has too few rows, of all together.
 
 Document frequencies are counted over all training rows. The clusters are fitted on a bounded sample: the
 ``sample_per_lang`` training rows of a language with the smallest seeded hashes, about. Only text and lang are used.
@@ -27,6 +30,8 @@ from pyspark.sql import types as T
 from .common import chunks, table, utf8
 
 SLOTS = 4096
+CUTS = tuple(4**i for i in range(2, 9))  # bytes
+QUANTILE, SHARE, FEWEST = 0.01, 0.75, 100
 FOLD = np.full(256, 32, np.uint8)
 FOLD[65:91] = FOLD[97:123] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
@@ -76,6 +81,33 @@ def clusters(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c.astype(np.float32)
 
 
+def left_out(texts: list[str], v: np.ndarray, idf: np.ndarray, k: int) -> list[np.ndarray]:
+    """For each of CUTS, (trigrams, cosine) of texts cut to it, by clusters made without them."""
+    out: list[list[np.ndarray]] = [[np.zeros((0, 2))] for _ in CUTS]
+    full, fold = (v != 0).any(1), np.arange(len(v)) % 5
+    for f in range(5):
+        if not (full & (fold != f)).any():
+            continue
+        c = clusters(v[full & (fold != f)], k)
+        held = [texts[i].encode() for i in np.flatnonzero(full & (fold == f))]
+        for found, cut in zip(out, CUTS, strict=True):
+            for _, tf in counts(pa.array([t[:cut] for t in held if len(t) >= cut], pa.binary())):
+                found.append(np.stack([tf.sum(1), (vectors(tf, idf) @ c.T).max(1)], axis=1))
+    return [np.concatenate(x) for x in out]
+
+
+def floors(by_lang: list[list[np.ndarray]]) -> list[list[tuple[float, float]]]:
+    """(trigrams, least cosine) of each language at the lengths of which there are enough texts."""
+    out: list[list[tuple[float, float]]] = [[] for _ in by_lang]
+    for at in range(len(CUTS) if by_lang else 0):
+        pool = np.concatenate([x[at] for x in by_lang])
+        for own, low in zip((x[at] for x in by_lang), out, strict=True):
+            part = own if len(own) >= FEWEST else pool
+            if len(part) >= FEWEST:
+                low.append((float(np.median(part[:, 0])), SHARE * float(np.quantile(part[:, 1], QUANTILE))))
+    return out
+
+
 def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     """In how many training texts each slot occurs, and the number of texts: SLOTS + 1 numbers for the driver."""
 
@@ -94,8 +126,8 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
     return df[:SLOTS], int(df[SLOTS])
 
 
-def fit(train: DataFrame, *, k: int = 4, sample_per_lang: int = 1000) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(language of each centroid, centroids, idf) from rows of (doc_id, text, lang); doc_id only draws the sample."""
+def fit(train: DataFrame, *, k: int = 4, sample_per_lang: int = 1000) -> tuple[list[str], np.ndarray, np.ndarray, list[list[tuple[float, float]]]]:
+    """(language of each centroid, centroids, idf, floors of each centroid's language) from rows of (doc_id, text, lang); doc_id only draws the sample."""
     df, n = document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
     seeded = F.abs(F.xxhash64(F.lit(11), "doc_id") % 1_000_000)
@@ -106,10 +138,22 @@ def fit(train: DataFrame, *, k: int = 4, sample_per_lang: int = 1000) -> tuple[l
         group = group.sort_values(["doc_id", "text"]).iloc[: 2 * sample_per_lang]
         v = np.concatenate([vectors(tf, idf) for _, tf in counts(pa.array(group["text"], pa.string()))])
         c = clusters(v[(v != 0).any(1)], k) if (v != 0).any() else v[:0]
-        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(c), "centroid": [x.tobytes() for x in c]})
+        held = b"".join(np.insert(x, 0, i, axis=1).tobytes() for i, x in enumerate(left_out(group["text"].tolist(), v, idf, k)))
+        return pd.DataFrame({"lang": [group["lang"].iloc[0]] * len(c), "centroid": [x.tobytes() for x in c], "held": [held if i == 0 else b"" for i in range(len(c))]})
+
+    rows = sorted(part.select("doc_id", "text", "lang").groupBy("lang").applyInPandas(run, "lang string, centroid binary, held binary").collect())
+    held = {r[0]: np.frombuffer(r[2]).reshape(-1, 3) for r in rows if r[2]}
+    low = dict(zip(held, floors([[x[x[:, 0] == i, 1:] for i in range(len(CUTS))] for x in held.values()]), strict=True))
+    return [r[0] for r in rows], np.array([np.frombuffer(r[1], np.float32) for r in rows]).reshape(-1, SLOTS), idf, [low.get(r[0], []) for r in rows]
+
 
-    rows = sorted(part.select("doc_id", "text", "lang").groupBy("lang").applyInPandas(run, "lang string, centroid binary").collect())
-    return [r[0] for r in rows], np.array([np.frombuffer(r[1], np.float32) for r in rows]).reshape(-1, SLOTS), idf
+def least_cosines(low: list[list[tuple[float, float]]], best: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The floor of each text by its centroid and its number of trigrams."""
+    out = np.zeros(len(best))
+    for i in np.unique(best):
+        at, least = zip((0, 0.0), *low[i], strict=True)
+        out[best == i] = np.interp(np.log1p(sizes[best == i]), np.log1p(at), least)
+    return out
 
 
 def has_letter(column: pa.Array) -> np.ndarray:
@@ -120,9 +164,9 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return np.array(out, bool)
 
 
-def tag(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_col: str = "text", *, reject_distance: float = 0.97) -> DataFrame:
+def tag(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, list[list[tuple[float, float]]]], text_col: str = "text", *, reject_distance: float = 0.97) -> DataFrame:
     """``docs`` with (lang_pred, score, rejected)."""
-    langs, centroids, idf = model
+    langs, centroids, idf, low = model
     names, schema = docs.columns, docs.schema
     where = names.index(text_col)
     full = T.StructType([*schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
@@ -130,15 +174,16 @@ def tag(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(where).cast(pa.string())
-            best, cosine = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            best, cosine, least = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             if langs:
                 for a, tf in counts(texts):
                     near = vectors(tf, idf) @ centroids.T
                     best[a : a + len(tf)], cosine[a : a + len(tf)] = near.argmax(1), near.max(1)
+                    least[a : a + len(tf)] = least_cosines(low, best[a : a + len(tf)], tf.sum(1))
             known = has_letter(texts) & bool(langs)
             cosine = np.where(known, np.clip(cosine, 0.0, 1.0), 0.0)
             pred = [langs[i] if ok else "und" for i, ok in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(cosine), pa.array(~known | (1 - cosine > reject_distance))], [*names, "_lang_pred", "_score", "_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(cosine), pa.array(~known | (1 - cosine > reject_distance) | (cosine < least))], [*names, "_lang_pred", "_score", "_rejected"])
 
     return docs.mapInArrow(run, full)
 
