@@ -4,8 +4,8 @@ import random
 import numpy as np
 import pytest
 
-from tickloom.llm import exchange
-from tickloom.llm.repeats import op6_repeats, remove_repeats, windows
+from tickloom.llm import bundles, repeats
+from tickloom.llm.repeats import op6_repeats, pieces, remove_repeats, windows
 from tickloom.llm.run_index import RunIndex
 
 from .odd import odd_texts
@@ -44,36 +44,47 @@ def passages():
     return texts
 
 
-@pytest.mark.parametrize("per_index,per_group", [(512, 64), (3, 3)])
-def test_against_a_plain_version(docs_of, monkeypatch, per_index, per_group):
-    monkeypatch.setattr(exchange, "PER_GROUP", per_group)  # groups of owners, and of them groups
+@pytest.mark.parametrize("hot_texts,part,most", [(8192, 1 << 21, 8 << 20), (2, 100, 500), (5, 1000, 50)])
+def test_against_a_plain_version(docs_of, monkeypatch, hot_texts, part, most):
+    monkeypatch.setattr(repeats, "bundled", lambda *a, **k: bundles.bundled(*a, most=most, **k))
     texts = passages()
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs_of(texts), per_index=per_index).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs_of(texts), hot_texts=hot_texts, part=part).collect()}
     want = plain(texts)
     assert {i: (got[i], want[i]) for i in want if got[i] != want[i]} == {}
 
 
-def test_a_window_holds_each_string_once():
-    data = np.frombuffer(("abc " * 30 + "the quick brown fox jumps over the lazy dog again and again").encode(), np.uint8)
-    text, start, length, anchor, content = windows(data, np.array([0, len(data)]))
-    assert np.concatenate([np.arange(s, s + n - 49) for s, n in zip(start, length, strict=True)]).tolist() == list(range(len(data) - 49))
-    assert length.max() <= 82 and len(anchor) == len(content) == len(text)
+def test_texts_with_equal_polynomial_hashes(docs_of):
+    texts = [x + "ecidpopmgdpamnaoihdkaaaamgna hophl" for x in ("gaaiaajdcadeaecb", "acfaedaaafaahaaa")]
+    assert [r.n_removed for r in remove_repeats(docs_of(texts)).collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("size", [60, 3000])
+def test_a_window_holds_each_string_once(monkeypatch, size):
+    monkeypatch.setattr(repeats, "CHUNK", size)
+    text = ("abc " * 30 + "the quick brown fox jumps over the lazy dog again and again").encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    found = [(s + at, n) for _, at, own, ends in pieces(data, offsets) for s, n in zip(*windows(own, ends)[1:3], strict=True)]
+    assert [p for s, n in found for p in range(s, s + n - 49)] == list(range(len(text) - 49))
+    assert max(n for _, n in found) <= 82
 
 
 def test_the_index_against_a_plain_version():
     rng = random.Random(1)
     base = bytes(rng.choice(b"ab ") for _ in range(200))
-    texts = [base[(a := rng.randrange(120)) : a + rng.randrange(50, 80)] for _ in range(80)]
-    owners = np.array([rng.randrange(40) for _ in texts])
+    texts = [base[(a := rng.randrange(120)) : a + rng.randrange(45, 80)] for _ in range(80)]
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    index = RunIndex(np.frombuffer(b"".join(texts), np.uint8), offsets, owners)
-    got, least = index.stream(), {}
-    for t, o in zip(texts, owners.tolist(), strict=True):
-        for i in range(len(t) - 49):
-            least[t[i : i + 50]] = min(o, least.get(t[i : i + 50], o))
-    for k, t in enumerate(texts):
-        assert got[offsets[k] : offsets[k] + len(t) - 49].tolist() == [least[t[i : i + 50]] for i in range(len(t) - 49)]
-    assert index.runs < offsets[-1] / 3
+    index, first = RunIndex(np.frombuffer(b"".join(texts), np.uint8), offsets), {}
+    strings = [t[i : i + 50] for t in texts for i in range(len(t) - 49)]
+    for k, x in enumerate(strings):
+        first.setdefault(x, k)
+    assert index.stream().tolist() == [first[x] for x in strings]
+    assert index.runs < len(strings)
+    ends = np.append(index.starts[1:], index.n) - 1
+    assert [strings[k] for k in index.samples] == [sorted(strings)[e] for e in ends]
+
+
+def test_the_index_of_nothing():
+    assert RunIndex(np.zeros(0, np.uint8), np.zeros(1, np.int64)).stream().tolist() == []
 
 
 def test_ids(spark):
@@ -81,6 +92,9 @@ def test_ids(spark):
     rows = [(5, p), (5, p + "x"), (None, p), (2, None)]
     got = sorted((r.doc_id or -1, r.n_removed) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, len(p)), (2, 0), (5, 0), (5, 0)]
+    rows = [(2**63 - 1, p), (None, p), (-(2**63), "x")]
+    got = {r.doc_id: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2**63 - 1: 0, None: len(p), -(2**63): 0}
 
 
 def test_text_and_empty(spark, docs_of, tmp_path):

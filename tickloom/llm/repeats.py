@@ -1,21 +1,19 @@
 """Removal of repeated passages: bytes covered by a 50-byte string that also starts in a document with a smaller id.
 
-Texts are dealt into bundles by a hash of id and text. Which strings can repeat is found by anchors: of the 33 18-byte
-strings in a 50-byte string, the one with the smallest hash. Equal strings have equal anchors at equal places, so a
-string can only repeat where its anchor does. The strings with one anchor, in a row, form a window (82 bytes at most).
-
-1. Bundles ask in how many texts their anchors are. Only windows of shared anchors go on.
-2. Bundles ask for the least id of each window, and whether its anchor has other windows. A window that is in a
-   document with a smaller id is removed whole; a window whose anchor has no other is settled.
-3. The rest, a document's own windows whose anchor also stands in different ones (the edges of passages, texts that differ in
-   places), go to run-length indexes (see run_index) by anchor: the run-compressed Burrows-Wheeler transform of
-   the windows, with sampled run ends, is streamed for matching statistics, which mark each string that a
-   document with a smaller id has. Anchors of many windows are dealt to several indexes, which exchange the least ids of
-   their strings.
-4. Bundles mark what was found on their texts and remove it.
-
-Windows (and strings of split anchors) are told apart by 64-bit hashes. Nothing is capped: anchors, windows and strings
-go once for each bundle or index, however many rows hold them.
+Run-length indexes decide that, by bytes (see run_index). So that no index grows with the corpus, equal strings are brought
+together first: of the 33 18-byte strings in a 50-byte string, the one with the smallest hash is its anchor. Equal strings have equal anchors
+at equal places. The strings in a row with one anchor form a window (82 bytes at most). Hashes only choose where windows meet: a
+collision costs work and changes nothing.
+
+1. Texts are written in bundles. Bundles ask in how many texts their anchors are; only windows of shared anchors go on.
+2. A bundle sends its distinct windows, each once with its least id, to a part of the key space by their anchor. An anchor in more than
+   ``hot_texts`` texts is no key: its windows go as single strings, each to a part of its own hash, so that no part gathers them.
+3. A part indexes its distinct windows, in the order of their least ids, as a run-compressed Burrows-Wheeler transform with sampled run
+   ends, and streams them through it: for each string, the sample tells the first window that has it, whose id is the least.
+4. Bundles get the least ids of their windows' strings, mark the strings whose least id is smaller than their own, and remove them.
+
+Parts and bundles have a few megabytes however large the input is. Nothing is capped: a window goes once for each bundle, however many
+rows hold it. Texts are cut into overlapping pieces while windows are sought, so a long text costs no more memory than its bytes.
 
 Defined results: a null text counts as empty; a null id counts as larger than all others, and as equal to other null ids;
 rows of one id don't remove each other's bytes; an empty table gives an empty result; further columns are ignored,
@@ -29,326 +27,309 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, materialise, shuffle_partitions, table, utf8
-from .exchange import PACK, column, packed, planes, reduced, resolve, rows_of
+from .bundles import MESSAGE, Texts, bundled, column, each, kind_of, messages, numbers, planes, runs
+from .common import chunks, discard, materialise, shuffle_partitions, table
 from .run_index import LENGTH, RunIndex
-from .sampled_pieces import GOLDEN, powers
 
-GRAM, POSITION_BITS, CHUNK, BUNDLE = 18, 28, 1 << 20, 8 << 20
+GRAM, CHUNK, PART = 18, 1 << 16, 2 << 20
 SPAN = LENGTH - GRAM + 1
-PER_INDEX = 512  # windows of one anchor in one index
-LAST = np.iinfo(np.int64).max
-
+POSITION_BITS, KEY_BITS = np.uint64(20), 44  # an anchor's key is the rest of its hash
+LOW = np.uint64((1 << 20) - 1)
+HOT_TEXTS = 8192
+TIMES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+ANCHORS, PLACES, WINDOWS, OWNERS = range(4)  # kinds of messages
 
-def scramble(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * GOLDEN
-    return x ^ (x >> np.uint64(29))
 
+def words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as numbers."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,)).copy() if len(data) > 7 else np.zeros(0, np.uint64)
 
-class Sums:
-    """Hashes of any stretches of some bytes."""
 
-    def __init__(self, data: np.ndarray):
-        self.power, self.inverse = powers(1 << max(20, len(data).bit_length()))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[: len(data)])))
-
-    def of(self, start: np.ndarray, length) -> np.ndarray:
-        return scramble((self.sums[start + length] - self.sums[start]) * self.inverse[start])
+def hashed(*parts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for k, x in enumerate(parts):
+        out += x
+        out *= TIMES[k % 3]
+        out ^= out >> np.uint64(32 - k % 3)
+    return out
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start, length, anchor's hash, window's hash) of the windows of texts that lie end to end."""
+    """(text, start, length, anchor's hash) of the windows of texts that lie end to end, a megabyte at most."""
     n = len(data)
     if n < LENGTH:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
-    sums = Sums(data)
-    grams = scramble((sums.sums[GRAM:] - sums.sums[:-GRAM]) * sums.inverse[: n - GRAM + 1])
-    low = np.uint64((1 << POSITION_BITS) - 1)
-    least, size = (grams & ~low) | np.arange(len(grams), dtype=np.uint64), 1
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
+    eight, m = words(data), n - GRAM + 1
+    grams = hashed(eight[:m], eight[8 : 8 + m], eight[GRAM - 8 : GRAM - 8 + m])
+    least, size = (grams & ~LOW) | np.arange(m, dtype=np.uint64), 1
     while 2 * size <= SPAN:
         least, size = np.minimum(least[:-size], least[size:]), 2 * size
     if size < SPAN:
-        more = SPAN - size
-        least = np.minimum(least[:-more], least[more:])
-    anchor = (least & low).astype(np.int64)
+        least = np.minimum(least[: size - SPAN], least[SPAN - size :])
+    anchor = (least & LOW).astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
     start = np.flatnonzero(offsets[1:][text] - np.arange(len(anchor)) >= LENGTH)
-    if not len(start):
-        return windows(data[:0], offsets[:1])
     anchor, text = anchor[start], text[start]
-    cut = np.flatnonzero(np.diff(anchor, prepend=-1) != 0)
-    last = np.append(cut[1:], len(start)) - 1
-    begin, length = start[cut], start[last] - start[cut] + LENGTH
-    own = grams[anchor[cut]]
-    content = sums.of(begin, length) ^ scramble(own + (anchor[cut] - begin + 256 * length).astype(np.uint64))
-    return text[cut], begin, length, own, content
-
-
-def sections(rows: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first text, ids, bytes, offsets) for runs of a bundle's texts, in the order of id and text: a text's number is the same each time."""
-    ids = rows["id"].combine_chunks().cast(pa.int64()).fill_null(LAST)
-    texts = rows["text"].combine_chunks().cast(pa.large_binary())
-    ids = ids if isinstance(ids, pa.Array) else ids.chunk(0)
-    texts = texts if isinstance(texts, pa.Array) else texts.chunk(0)
-    values, keys = ids.to_numpy(), texts.to_pylist()
-    order = sorted(range(len(values)), key=lambda i: (values[i], keys[i]))
-    del keys
-    texts, values = texts.take(pa.array(order, pa.int64())), values[order]
-    data, offsets = utf8(texts)
+    cut, count = runs(anchor)
+    return text[cut], start[cut], count + LENGTH - 1, grams[anchor[cut]]
+
+
+def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first text, place of the first byte, bytes, offsets) of runs of texts; a long text comes in pieces that overlap by 49 bytes."""
     for a, b in chunks(offsets, CHUNK):
-        yield a, values[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        if b - a > 1 or offsets[b] - offsets[a] <= CHUNK:
+            yield a, int(offsets[a]), data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+        else:
+            for x in range(int(offsets[a]), int(offsets[b]), CHUNK):
+                y = min(x + CHUNK + LENGTH - 1, int(offsets[b]))
+                yield a, x, data[x:y], np.array([0, y - x])
 
 
-def ask_anchors(docs: DataFrame, shards: int) -> DataFrame:
-    """Each bundle's anchors; v0 is 1, or 2 if two of its texts have the anchor."""
+def all_windows(t: Texts) -> tuple[np.ndarray, ...]:
+    """(text, start in the bundle's data, length, anchor's key) of a bundle's windows."""
+    found = [tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64))]
+    for first, at, data, offsets in pieces(t.data, t.offsets):
+        text, start, length, anchor = windows(data, offsets)
+        found.append((text + first, start + at, length, anchor >> POSITION_BITS))
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
 
-    def run(rows: pa.Table) -> pa.Table:
-        anchors, first, last = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for a, _, data, offsets in sections(rows):
-            text, _, _, anchor, _ = windows(data, offsets)
-            own, (x, y) = reduced(anchor, [text + a, text + a], ["min", "max"])
-            anchors.append(own)
-            first.append(x)
-            last.append(y)
-        keys, (x, y) = reduced(np.concatenate(anchors), [np.concatenate(first), np.concatenate(last)], ["min", "max"])
-        return rows_of(packed(rows["bundle"][0].as_py(), 0, keys, [1 + (x != y).astype(np.int64)], shards))
-
-    return docs.groupBy("bundle").applyInArrow(run, PACK)
-
-
-def shared_windows(rows: pa.Table, shared: np.ndarray) -> Iterator[tuple]:
-    """(first text, ids, bytes, offsets, windows) with the windows of shared anchors only."""
-    for a, ids, data, offsets in sections(rows):
-        found = windows(data, offsets)
-        if len(shared):
-            at = np.minimum(np.searchsorted(shared, found[3]), len(shared) - 1)
-            keep = shared[at] == found[3]
-        else:
-            keep = np.zeros(len(found[3]), bool)
-        yield a, ids, data, offsets, [x[keep] for x in found]
 
+def distinct_keys(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys in order, each once, and in how many texts each is."""
+    both = np.sort(key << POSITION_BITS | text.astype(np.uint64))
+    both = both[runs(both)[0]] >> POSITION_BITS
+    cut, count = runs(both)
+    return both[cut], count
 
-def ask_windows(docs: DataFrame, shared: DataFrame, shards: int) -> DataFrame:
-    """Kind 0: each bundle's windows, with the least id. Kind 1: their anchors, with the least window, its exclusive or with the greatest, and their number."""
 
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return rows_of([])
-        anchors, contents, ids_ = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for _, ids, _, _, (text, _, _, anchor, content) in shared_windows(rows, np.sort(column(answers, "keys", "<u8"))):
-            anchors.append(anchor)
-            contents.append(content)
-            ids_.append(ids[text])
-        anchor, content = np.concatenate(anchors), np.concatenate(contents)
-        keys, (least, anchor) = reduced(content, [np.concatenate(ids_), anchor], ["min", "min"])
-        bundle = rows["bundle"][0].as_py()
-        out = packed(bundle, 0, keys, [least], shards)
-        anchors, values = reduced(anchor, [keys, keys, np.ones(len(keys), np.int64)], ["min", "max", "sum"])
-        values[1] ^= values[0]
-        return rows_of(out + packed(bundle, 1, anchors, values, shards))
+def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(shard, from, to) of keys in order."""
+    shard = keys >> np.uint64(KEY_BITS - bits)
+    cut, count = runs(shard)
+    yield from zip(shard[cut].tolist(), cut.tolist(), (cut + count).tolist(), strict=True)
 
-    return docs.groupBy("bundle").cogroup(shared.groupBy("owner")).applyInArrow(run, PACK)
 
+def ask_anchors(texts: DataFrame, bits: int) -> DataFrame:
+    """Each bundle's anchors: the low half of their keys, and in how many of its texts each is."""
 
-WINDOWS = "shard int, bundle int, data binary, lengths binary, texts binary, ids binary, contents binary, split binary"
-WINDOWS_TYPE = pa.schema([("shard", pa.int32()), ("bundle", pa.int32()), *[(c, pa.binary()) for c in ("data", "lengths", "texts", "ids", "contents", "split")]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in each(batches):
+            text, _, _, key = all_windows(t)
+            keys, n = distinct_keys(text, key)
+            low, n = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(n, 65535).astype("<u2")
+            yield from messages([{"bundle": t.bundle, "kind": ANCHORS, "shard": s, "a": low[x:y].tobytes(), "b": planes(n[x:y])} for s, x, y in by_shard(keys, bits)]).to_batches()
 
+    return texts.mapInArrow(run, MESSAGE)
 
-def by_kind(answers: pa.Table, kind: int, *kinds: tuple[str, str]) -> list[np.ndarray]:
-    """The named columns of the answers of a kind, sorted by the first."""
-    own = answers.filter(pc.equal(answers["kind"], kind)) if answers.num_rows else answers
-    found = [column(own, *k) for k in kinds]
-    order = np.argsort(found[0], kind="stable")
-    return [x[order] for x in found]
 
+def count_anchors(asked: DataFrame, hot_texts: int) -> DataFrame:
+    """For each of a bundle's anchors: 0 if one text has it, 1 if several have, 2 if more than ``hot_texts``."""
 
-def at_key(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(where each key is among the sorted known ones, whether it is)."""
-    if not len(known):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-    return at, known[at] == keys
+    def run(rows: pa.Table) -> pa.Table:
+        own = [np.frombuffer(x.as_buffer(), "<u4") for x in rows["a"]]
+        n = column(rows, "b", "<u2").astype(np.int64)
+        both = np.sort(np.concatenate(own).astype(np.uint64) << np.uint64(32) | np.arange(len(n), dtype=np.uint64))
+        at = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        cut, count = runs(both >> np.uint64(32))
+        total = np.add.reduceat(n[at], cut)
+        state = np.empty(len(n), np.uint8)
+        state[at] = np.repeat((total > 1).astype(np.uint8) + (total > hot_texts), count)
+        ends, shard = np.cumsum([len(x) for x in own]), rows["shard"][0].as_py()
+        return messages([{"bundle": b, "kind": ANCHORS, "shard": shard, "a": state[y - len(x) : y].tobytes()} for b, x, y in zip(rows["bundle"].to_pylist(), own, ends, strict=True)])
 
+    return asked.groupBy("shard").applyInArrow(run, MESSAGE)
 
-def open_windows(docs: DataFrame, answers: DataFrame, shards: int, per_index: int) -> DataFrame:
-    """The windows, with their bytes, that only an index can settle, for each bundle and index."""
 
-    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        if not rows.num_rows:
-            return pa.Table.from_pylist([], WINDOWS_TYPE)
-        known, least = by_kind(answers, 0, ("keys", "<u8"), ("v0", "<i8"))
-        anchors, number = by_kind(answers, 1, ("keys", "<u8"), ("v2", "<i8"))
-        kept: list[tuple] = []
-        for a, ids, data, _, (text, start, length, anchor, content) in shared_windows(rows, anchors):
-            at, _ = at_key(known, content)
-            keep = np.flatnonzero(least[at] == ids[text]) if len(known) else np.zeros(0, np.int64)
-            _, first = np.unique(text[keep].astype(np.uint64) * GOLDEN ^ content[keep], return_index=True)  # a text's equal windows once
-            if len(keep := keep[first]):
-                each = [data[s : s + n].tobytes() for s, n in zip(start[keep], length[keep], strict=True)]
-                kept.append((each, text[keep] + a, ids[text[keep]], anchor[keep], content[keep]))
-        if not kept:
-            return pa.Table.from_pylist([], WINDOWS_TYPE)
-        each = [x for k in kept for x in k[0]]
-        text, own_id, anchor, content = (np.concatenate([k[i] for k in kept]) for i in range(1, 5))
-        parts = -(-number[at_key(anchors, anchor)[0]] // per_index)
-        salt = scramble(content + own_id.astype(np.uint64)) % np.maximum(parts, 1).astype(np.uint64)
-        shard = (scramble(anchor + salt * GOLDEN) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
-        out, split = [], (parts > 1).astype(np.uint8)
-        for x, y in zip(cut, np.append(cut[1:], len(order)), strict=True):
-            own = order[x:y]
-            data = [each[i] for i in own]
-            lengths = np.fromiter(map(len, data), np.uint8, len(data))
-            out.append({"shard": int(shard[own[0]]), "bundle": rows["bundle"][0].as_py(), "data": b"".join(data), "lengths": planes(lengths), "texts": planes(text[own].astype(np.uint32)), "ids": planes(own_id[own]), "contents": planes(content[own]), "split": planes(split[own])})
-        return pa.Table.from_pylist(out, WINDOWS_TYPE)
-
-    return docs.groupBy("bundle").cogroup(answers.groupBy("owner")).applyInArrow(run, WINDOWS)
-
-
-def streamed(rows: pa.Table, split_only: bool) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of an index (columns), the window and place of each 50-byte string, the least id that the index knows for it, and its
-    hash (of split anchors; else 0)."""
-    kinds = (("lengths", "<u1"), ("texts", "<u4"), ("ids", "<i8"), ("contents", "<u8"), ("split", "<u1"))
-    own = {k: column(rows, k, t) for k, t in kinds}
-    own["bundle"] = np.repeat(rows["bundle"].to_numpy(), [len(x) for x in rows["lengths"].to_pylist()])
-    data = np.frombuffer(b"".join(rows["data"].to_pylist()), np.uint8)
-    offsets = np.concatenate(([0], np.cumsum(own["lengths"], dtype=np.int64)))
-    if split_only:
-        keep = own["split"] == 1
-        data = data[np.repeat(keep, np.diff(offsets))]
-        own = {k: v[keep] for k, v in own.items()}
-        offsets = np.concatenate(([0], np.cumsum(own["lengths"], dtype=np.int64)))
-    if not len(own["ids"]):
-        none = np.zeros(0, np.int64)
-        return own, none, none, none, np.zeros(0, np.uint64)
-    least = RunIndex(data, offsets, own["ids"]).stream()
-    sizes = np.diff(offsets) - LENGTH + 1
-    window = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(window)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    at = offsets[window] + place
-    name = np.zeros(len(at), np.uint64)
-    if (split := own["split"][window] == 1).any():
-        name[split] = Sums(data).of(at[split], LENGTH)
-    return own, window, place, least[at], name
-
-
-def ask_strings(open_: DataFrame, shards: int) -> DataFrame:
-    """The strings of split anchors, with the least id that an index knows."""
+def cut_out(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> pa.Array:
+    """The stretches of some bytes, as an array."""
+    ends = np.concatenate(([0], np.cumsum(length)))
+    out = np.empty(int(ends[-1]), np.uint8)
+    for k in range(0, len(start), 1 << 14):
+        x, y = ends[k], ends[min(k + (1 << 14), len(start))]
+        out[x:y] = data[np.arange(y - x) + np.repeat(start[k : k + (1 << 14)] - ends[k : k + (1 << 14)][: len(start) - k] + x, length[k : k + (1 << 14)])]
+    return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(out)])
 
-    def run(rows: pa.Table) -> pa.Table:
-        _, _, _, least, name = streamed(rows, True)
-        keys, (least,) = reduced(name, [least], ["min"])
-        return rows_of(packed(rows["shard"][0].as_py(), 0, keys, [least], shards))
 
-    return open_.groupBy("shard").applyInArrow(run, PACK)
+def told_apart(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each stretch, where each number is first): stretches of equal bytes have equal numbers."""
+    code = cut_out(data, start, length).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
+    first[code[::-1]] = np.arange(len(code) - 1, -1, -1)
+    return code, first
 
 
-def found_repeats(open_: DataFrame, answers: DataFrame) -> DataFrame:
-    """Kind 2, for each bundle: stretches of strings to remove, as the window's hash and text and the first and last place in it."""
+def spread(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which stretch, start) of each 50-byte string of some stretches."""
+    count = length - LENGTH + 1
+    which = np.repeat(np.arange(len(start)), count)
+    return which, start[which] + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+
+
+def open_windows(texts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
+    """PLACES: where a bundle's shared windows are, and their numbers. WINDOWS: for each part, the distinct ones with their least ids."""
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return rows_of([])
-        own, window, place, least, name = streamed(rows, False)
-        known, (best,) = reduced(column(answers, "keys", "<u8"), [column(answers, "v0", "<i8")], ["min"])
-        split = np.flatnonzero(own["split"][window])
-        at, held = at_key(known, name[split])
-        least[split[held]] = np.minimum(least[split[held]], best[at[held]])
-        hit = np.flatnonzero(least < own["ids"][window])
-        if not len(hit):
-            return rows_of([])
-        new = np.append(True, (np.diff(hit) != 1) | (np.diff(window[hit]) != 0))
-        cut = np.flatnonzero(new)
-        first, last = hit[cut], hit[np.append(cut[1:], len(hit)) - 1]
-        w = window[first]
-        order = np.argsort(own["bundle"][w], kind="stable")
-        first, last, w = first[order], last[order], w[order]
-        bundle, cut = np.unique(own["bundle"][w], return_index=True)
-        out = []
-        for b, x, y in zip(bundle, cut, np.append(cut[1:], len(w)), strict=True):
-            stretch = place[first[x:y]].astype(np.uint32) << np.uint32(8) | place[last[x:y]].astype(np.uint32)
-            out.append({"owner": int(b), "shard": 0, "kind": 2, "keys": planes(own["contents"][w[x:y]]), "v0": planes(own["texts"][w[x:y]]), "v1": planes(stretch)})
-        return rows_of(out)
-
-    return open_.groupBy("shard").cogroup(answers.groupBy("owner")).applyInArrow(run, PACK)
-
-
-def removed(docs: DataFrame, answers: DataFrame, with_text: bool) -> DataFrame:
+            return messages([])
+        t = Texts(rows)
+        text, start, length, key = all_windows(t)
+        keys = distinct_keys(text, key)[0]
+        state = np.frombuffer(b"".join(kind_of(answers, ANCHORS)["a"].to_pylist()), np.uint8) if len(keys) else np.zeros(0, np.uint8)
+        keys, state = keys[state > 0], state[state > 0]
+        if not len(keys):
+            return messages([])
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        keep = np.flatnonzero(keys[at] == key)
+        text, start, length, key, hot = text[keep], start[keep], length[keep], key[keep], state[at[keep]] == 2
+        code, first = told_apart(t.data, start, length)
+        cold, warm = np.flatnonzero(~hot[first]), np.flatnonzero(hot[first])
+        # strings of the distinct windows of hot anchors
+        of, at = spread(start[first[warm]], length[first[warm]])
+        string, example = told_apart(t.data, at, np.full(len(at), LENGTH))
+        at, of = at[example], of[example]
+        eight = np.ndarray((max(1, len(t.data) - 7),), "<u8", t.data if len(t.data) > 7 else np.zeros(8, np.uint8), strides=(1,))
+        own = hashed(*(eight[at + k] for k in (0, 8, 16, 24, 32, 40, 42))) >> POSITION_BITS
+        # what is sent: the other windows, then the strings; in the order of parts
+        route = np.concatenate((key[first[cold]], own))
+        begin = np.concatenate((start[first[cold]], at))
+        size = np.concatenate((length[first[cold]], np.full(len(at), LENGTH)))
+        least = np.concatenate((text[first[cold]], text[first[warm]][of]))
+        order = np.argsort(route >> np.uint64(KEY_BITS - bits), kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        route, begin, size, least = route[order], begin[order], size[order], least[order]
+        # where they are
+        at_cold = np.full(len(first), -1)
+        at_cold[cold] = np.arange(len(cold))
+        plain, strings = np.flatnonzero(~hot), np.flatnonzero(hot)
+        base = np.zeros(len(first), np.int64)
+        count = length[first[warm]] - LENGTH + 1
+        base[warm] = np.cumsum(count) - count
+        which, where = spread(start[strings], length[strings])
+        string_of = string[base[code[strings]][which] + where - start[strings][which]] + len(cold)
+        places = [
+            np.concatenate((text[plain], text[strings][which])).astype("<u4"),
+            np.concatenate((start[plain], where)),
+            np.concatenate((length[plain], np.full(len(which), LENGTH))).astype(np.uint8),
+            number[np.concatenate((at_cold[code[plain]], string_of))].astype("<u4"),
+        ]
+        out = [{"bundle": t.bundle, "kind": PLACES, "shard": 0} | dict(zip("abcd", map(planes, places), strict=True))]
+        ids, null = t.ids.fill_null(0).to_numpy()[least], t.ids.is_null().to_numpy(zero_copy_only=False)[least]
+        for s, x, y in by_shard(route, bits):
+            data = cut_out(t.data, begin[x:y], size[x:y]).buffers()[2].to_pybytes()
+            out.append({"bundle": t.bundle, "kind": WINDOWS, "shard": s, "a": data, "b": size[x:y].astype(np.uint8).tobytes(), "c": planes(ids[x:y]), "d": null[x:y].tobytes()})
+        return messages(out)
+
+    return texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(run, MESSAGE)
+
+
+def settle(opened: DataFrame) -> DataFrame:
+    """OWNERS, for each of a bundle's windows in a part: how many stretches of strings there are with one least id, where each ends, and the id."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        size = np.frombuffer(b"".join(rows["b"].to_pylist()), np.uint8).astype(np.int64)
+        data = np.frombuffer(b"".join(rows["a"].to_pylist()), np.uint8)
+        ids, null = column(rows, "c", "<i8"), np.frombuffer(b"".join(rows["d"].to_pylist()), bool)
+        known, rank = np.unique(ids[~null], return_inverse=True)
+        owner = np.full(len(ids), len(known))
+        owner[~null] = rank
+        code, first = told_apart(data, np.cumsum(size) - size, size)
+        least = np.full(len(first), len(known))
+        np.minimum.at(least, code, owner)
+        # the index has each window once, in the order of the least ids
+        order = np.argsort(least, kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        text = cut_out(data, (np.cumsum(size) - size)[first[order]], size[first[order]])
+        index = RunIndex(np.frombuffer(text.buffers()[2], np.uint8), np.frombuffer(text.buffers()[1], np.int64))
+        window = np.repeat(np.arange(len(order)), index.rows)
+        found = least[order][window[index.stream()]]
+        cut, count = runs(window * (len(known) + 1) + found)
+        window, end = window[cut], cut + count - index.base[window[cut]]
+        stretches = np.bincount(window, minlength=len(order))
+        begin = np.cumsum(stretches) - stretches
+        # by the windows as they were sent
+        sent = number[code]
+        n = stretches[sent]
+        at = np.repeat(begin[sent] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        ids, null = np.append(known, 0)[found[cut]][at], (found[cut] == len(known))[at]
+        end, n, shard = end[at].astype(np.uint8), n.astype(np.uint8), rows["shard"][0].as_py()
+        windows = np.cumsum([0, *(len(x) for x in rows["b"].to_pylist())])
+        parts = np.concatenate(([0], np.cumsum(n, dtype=np.int64)))[windows]
+        return messages([
+            {"bundle": b, "kind": OWNERS, "shard": shard, "a": n[w:x].tobytes(), "b": end[y:z].tobytes(), "c": planes(ids[y:z].astype("<i8")), "d": null[y:z].tobytes()}
+            for b, w, x, y, z in zip(rows["bundle"].to_pylist(), windows, windows[1:], parts, parts[1:], strict=False)
+        ])
+
+    return opened.groupBy("shard").applyInArrow(run, MESSAGE)
+
+
+def marked(t: Texts, answers: pa.Table) -> np.ndarray:
+    """Which bytes of a bundle go."""
+    gone = np.zeros(len(t.data), bool)
+    places, owners = kind_of(answers, PLACES), kind_of(answers, OWNERS)
+    if not places.num_rows:
+        return gone
+    text, start, number = (column(places, c, k) for c, k in zip("abd", ("<u4", "<i8", "<u4"), strict=True))
+    n, end = (np.frombuffer(b"".join(owners[c].to_pylist()), np.uint8).astype(np.int64) for c in "ab")
+    ids, null = column(owners, "c", "<i8"), np.frombuffer(b"".join(owners["d"].to_pylist()), bool)
+    begin = np.concatenate(([0], end[:-1]))
+    first = np.cumsum(n) - n
+    begin[first] = 0
+    count = n[number]
+    which = np.repeat(np.arange(len(number)), count)
+    at = np.arange(len(which)) + np.repeat(first[number] - np.cumsum(count) + count, count)
+    own, own_null = t.ids.fill_null(0).to_numpy()[text], t.ids.is_null().to_numpy(zero_copy_only=False)[text]
+    hit = ~null[at] & (own_null[which] | (ids[at] < own[which]))
+    which, at = which[hit], at[hit]
+    change = np.zeros(len(t.data) + 1, np.int32)
+    np.add.at(change, start[which] + begin[at], 1)
+    np.add.at(change, start[which] + end[at] + LENGTH - 1, -1)
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
+
+
+def removed(texts: DataFrame, answers: DataFrame, with_text: bool) -> DataFrame:
     """Per row: n_bytes, n_removed, n_spans, and the SHA-256 of the rest, or the rest itself."""
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
     kept_type = pa.binary() if with_text else pa.string()
-    schema = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in names[1:4]], ("kept", kept_type)])
+    schema = pa.schema([("id", pa.int64()), *[(c, pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")], ("kept", kept_type)])
 
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        known, least = by_kind(answers, 0, ("keys", "<u8"), ("v0", "<i8"))
-        marks, texts, stretch = by_kind(answers, 2, ("keys", "<u8"), ("v0", "<u4"), ("v1", "<u4"))
-        out: list[tuple] = []
-        for a, ids, data, offsets in sections(rows):
-            text, start, length, _, content = windows(data, offsets)
-            begin, end = [], []
-            at, held = at_key(known, content)
-            whole = np.flatnonzero(held)
-            whole = whole[least[at[whole]] < ids[text[whole]]]
-            begin.append(start[whole])
-            end.append(start[whole] + length[whole])
-            if len(marks):
-                # a window has few stretches: all that stand under its hash, of its own text
-                low, high = np.searchsorted(marks, content), np.searchsorted(marks, content, "right")
-                some = np.flatnonzero(high > low)
-                count = (high - low)[some]
-                each = np.repeat(some, count)
-                k = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + low[each]
-                right = texts[k] == text[each] + a
-                each, k = each[right], k[right]
-                begin.append(start[each] + (stretch[k] >> np.uint32(8)).astype(np.int64))
-                end.append(start[each] + (stretch[k] & np.uint32(255)).astype(np.int64) + LENGTH)
-            change = np.zeros(len(data) + 1, np.int32)
-            np.add.at(change, np.concatenate(begin), 1)
-            np.add.at(change, np.concatenate(end), -1)
-            gone = np.cumsum(change[:-1]) > 0
-            for i, (x, y) in enumerate(zip(offsets, offsets[1:], strict=False)):
-                part = gone[x:y]
-                n = int(part.sum())
-                rest = data[x:y][~part].tobytes() if n else data[x:y].tobytes()
-                spans = int(part[0]) + int((part[1:] & ~part[:-1]).sum()) if n else 0
-                out.append((None if ids[i] == LAST else int(ids[i]), int(y - x), n, spans, rest if with_text else hashlib.sha256(rest).hexdigest()))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        t = Texts(rows)
+        gone, offsets = marked(t, answers), t.offsets
+        total = np.concatenate(([0], np.cumsum(gone)))[offsets]
+        begins = gone.copy()
+        begins[1:] &= ~gone[:-1]
+        heads = offsets[:-1][np.diff(offsets) > 0]
+        begins[heads] = gone[heads]
+        spans = np.concatenate(([0], np.cumsum(begins)))[offsets]
+        n, kept = np.diff(total), []
+        for x, y, m in zip(offsets.tolist(), offsets[1:].tolist(), n.tolist(), strict=False):
+            rest = t.data[x:y] if not m else t.data[x:y][~gone[x:y]]
+            kept.append(rest.tobytes() if with_text else hashlib.sha256(rest).hexdigest())
+        return pa.Table.from_arrays([t.ids, *map(pa.array, (np.diff(offsets), n, np.diff(spans))), pa.array(kept, kept_type)], schema=schema)
 
     kept = "binary" if with_text else "string"
-    return docs.groupBy("bundle").cogroup(answers.groupBy("owner")).applyInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept {kept}")
+    return texts.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(run, f"id long, n_bytes long, n_removed long, n_spans long, kept {kept}")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_text: bool = False, per_index: int = PER_INDEX) -> DataFrame:
-    """(id_col, n_bytes, n_removed, n_spans, kept_sha256 or kept_text) for each row."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_text: bool = False, hot_texts: int = HOT_TEXTS, part: int = PART) -> DataFrame:
+    """(id_col, n_bytes, n_removed, n_spans, kept_sha256 or kept_text) for each row; ``part``: bytes of text for each part of the key space."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = shuffle_partitions(spark)
-    bundles = max(shards, 1 + size // BUNDLE)
-    rows = rows.withColumn("bundle", F.pmod(F.xxhash64("id", "text"), F.lit(bundles)).cast("int")).select("bundle", "id", "text")
-    anchors = materialise(ask_anchors(rows, shards), "repeats-anchors")
-    shared = resolve(anchors, [("sum", "<i8")], bundles, "repeats-shared", keep=lambda v: v[0] >= 2)
-    discard(anchors)
-    asked = materialise(ask_windows(rows, shared, shards), "repeats-windows")
-    discard(shared)
-    least = resolve(asked.filter("kind = 0"), [("min", "<i8")], bundles, "repeats-least")
-    several = resolve(asked.filter("kind = 1"), [("min", "<u8"), ("spread", "<u8"), ("sum", "<i8")], bundles, "repeats-several", keep=lambda v: v[0] != v[1], send=[2])
+    texts = bundled(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", tag="repeats-texts", by_id=True)
+    size = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    bits = min(30, max(1, (max(shuffle_partitions(spark), size // part) - 1).bit_length()))
+    asked = materialise(ask_anchors(texts, bits), "repeats-anchors")
+    answers = materialise(count_anchors(asked, hot_texts), "repeats-shared")
     discard(asked)
-    indexes = 4 * shards  # an index takes about 120 bytes of memory a byte of its windows
-    open_ = materialise(open_windows(rows, least.union(several), indexes, per_index), "repeats-open")
-    discard(several)
-    strings = materialise(ask_strings(open_, shards), "repeats-strings")
-    best = resolve(strings, [("min", "<i8")], indexes, "repeats-best")
-    found = materialise(found_repeats(open_, best), "repeats-found")
-    discard(strings, best, open_)
-    out = removed(rows, least.union(found), with_text)
+    opened = materialise(open_windows(texts, answers, bits), "repeats-windows", partition_by="kind")
+    discard(answers)
+    owners = materialise(settle(opened.filter(F.col("kind") == WINDOWS)), "repeats-owners")
+    out = removed(texts, opened.filter(F.col("kind") == PLACES).unionByName(owners), with_text)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_text" if with_text else "kept_sha256"))
 
 

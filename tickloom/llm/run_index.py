@@ -1,12 +1,13 @@
-"""A run-length index over short texts, in numpy.
+"""A run-length index over short texts, in numpy, for matching statistics up to 50 bytes.
 
-The texts stand end to end with separators; their suffixes are sorted by prefix doubling, by the first 56 symbols. What is
-kept of that is the run-compressed Burrows-Wheeler transform: the runs' starts, the step of each run (a suffix's rank
-leads to the rank of the suffix one to the left by adding it, within a run), the sampled text positions of the run ends, and the
-ranks where the first 50 symbols change, with the least owner of each such group.
+The rows of the index are the 50-byte strings of the texts, in the order of their bytes; equal strings stand together, the one that comes
+last in the texts first. What is kept of that order is the run-compressed Burrows-Wheeler transform: a run ends where the byte before
+the strings changes, where the step to the row of the string one to the left changes, or where several equal strings begin or end. Of a run,
+the index has its start, its byte, its step, and the sampled position of its end.
 
-Streaming goes through all texts from right to left together, a step of the transform each time; at every position the
-rank's group tells the matching statistic that matters: who else has the next 50 symbols, at the least owner.
+Streaming goes through all texts from right to left together, a step of the transform each time, and finds the run of each row by
+search. At every position the matching statistic that matters is whether the next 50 bytes are also elsewhere, and where first: the
+end of their rows ends a run, whose sample is that place.
 """
 
 from __future__ import annotations
@@ -14,86 +15,75 @@ from __future__ import annotations
 import numpy as np
 
 LENGTH = 50
+START = np.uint16(256)  # before a text's first byte
 
 
-def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(suffixes sorted by their first 56 symbols, where their first 50 differ from the suffix before). Symbols are under 512."""
-    n = len(text)
-    padded = np.concatenate((text.astype(np.uint64), np.zeros(56, np.uint64)))
+def dense(key: np.ndarray) -> np.ndarray:
+    """The ranks of some numbers: 0 for the smallest, equal ones alike."""
+    order = np.argsort(key)
+    rank = np.empty(len(key), np.uint32)
+    rank[order] = np.cumsum(np.diff(key[order], prepend=key[order[:1]]) != 0)
+    return rank
 
-    def packed(size: int) -> np.ndarray:
-        key = np.zeros(n, np.uint64)
-        for k in range(size):
-            key = key << np.uint64(9) | padded[k : k + n]
-        return key
 
-    def ranks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
-        new = np.diff(key[order], prepend=key[order[:1]] ^ np.uint64(1)) != 0
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        return order, rank
-
-    def join(rank: np.ndarray, more: np.ndarray, by: int) -> np.ndarray:
-        after = np.zeros(n, np.int64)
-        after[: max(0, n - by)] = more[by:]
-        return rank.astype(np.uint64) << np.uint64(32) | after.astype(np.uint64)
-
-    _, seven = ranks(packed(7))
-    _, one = ranks(packed(1))
-    _, fourteen = ranks(join(seven, seven, 7))
-    _, twenty_eight = ranks(join(fourteen, fourteen, 14))
-    _, forty_nine = ranks(join(twenty_eight, ranks(join(fourteen, seven, 14))[1], 28))
-    _, fifty = ranks(join(forty_nine, one, 49))
-    order, _ = ranks(join(fifty, twenty_eight, 28))  # in the order of 56: the first 50, then more
-    return order, np.diff(fifty[order], prepend=-1) != 0
+def words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, as a number in their order; zeros stand after the data."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data),), ">u8", padded, strides=(1,)).astype(np.uint64)
 
 
 class RunIndex:
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, owners: np.ndarray):
-        """data: bytes of the texts, end to end; owners: a number for each text."""
-        m, sizes = len(offsets) - 1, np.diff(offsets)
-        self.ends = offsets[1:] + np.arange(m)  # of the separators
-        n = int(offsets[-1]) + m
-        text = np.ones(n + 1, np.int64)
-        text[np.arange(n - m) + np.repeat(np.arange(m), sizes)] = data.astype(np.int64) + 2
-        text[n] = 0
-        order, new = suffix_order(text)
-        rank = np.empty(n + 1, np.int64)
-        rank[order] = np.arange(n + 1)
-        left = order - 1
-        left[left < 0] = n
-        bwt = text[left]
-        # the transform, a run at a time; runs also end where the step changes, since suffixes are sorted by 56 symbols only
-        step = rank[left] - np.arange(n + 1)
-        head = (np.diff(bwt, prepend=-1) != 0) | (np.diff(step, prepend=step[:1] - 1) != 0)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        """data: bytes of the texts, end to end; a text under 50 bytes has no row."""
+        sizes = np.diff(offsets)
+        self.data, self.offsets, self.rows = data, offsets, np.maximum(sizes - LENGTH + 1, 0)
+        n = int(self.rows.sum())
+        base = np.cumsum(self.rows) - self.rows
+        self.base = base  # of a text's rows among all, by place
+        place = np.arange(n) + np.repeat(offsets[:-1] - base, self.rows)  # of each string
+        left = np.repeat(np.arange(len(sizes)), self.rows)
+        rank = dense(words(data))
+        for size in (8, 16):  # ranks of 16 and then 32 bytes; those that run beyond a text aren't used
+            after = np.zeros(len(data), np.uint32)
+            after[: max(0, len(data) - size)] = rank[size:]
+            rank = dense(rank.astype(np.uint64) << np.uint64(32) | after)
+        name = dense(rank[place].astype(np.uint64) << np.uint64(32) | rank[place + LENGTH - 32])
+        key = np.sort(name.astype(np.uint64) << np.uint64(32) | np.arange(n - 1, -1, -1, dtype=np.uint64))
+        order = n - 1 - (key & np.uint64(0xFFFFFFFF)).astype(np.int64)  # row -> string
+        row = np.empty(n, np.int64)
+        row[order] = np.arange(n)
+        first = place == offsets[left]
+        before = np.where(first, START, data[place - 1].astype(np.uint16))[order]
+        step = np.where(first[order], 0, row[order - 1] - np.arange(n))
+        last = np.append(np.diff(key >> np.uint64(32)) != 0, True)[:n]
+        several = ~(last & np.append(True, last[:-1])[:n])
+        head = np.ones(n, bool)
+        head[1:] = (before[1:] != before[:-1]) | (step[1:] != step[:-1]) | last[:-1] & (several[1:] | several[:-1])
         self.starts = np.flatnonzero(head)
-        self.steps = step[self.starts]
-        self.samples = order[np.append(self.starts[1:], n + 1) - 1]
-        self.groups = np.flatnonzero(new)
-        owner = np.full(n + 1, np.iinfo(np.int64).max)
-        owner[: n] = np.repeat(owners, sizes + 1)
-        self.least = np.minimum.reduceat(owner[order], self.groups)
-        self.first = rank[self.ends]  # the ranks that streaming begins with
-        self.offsets, self.sizes = offsets, sizes
+        self.bytes, self.steps, self.several = before[self.starts], step[self.starts], several[self.starts]
+        ends = np.append(self.starts[1:], n) - 1 if n else self.starts
+        self.samples = order[ends]
+        self.closing = np.flatnonzero(last[ends] & several[ends])  # the runs that end equal strings
+        self.at_end = row[base[self.rows > 0] + self.rows[self.rows > 0] - 1]  # the rows that streaming begins with
+        self.n = n
 
     @property
     def runs(self) -> int:
         return len(self.starts)
 
     def stream(self) -> np.ndarray:
-        """For each position of the texts' bytes, the least owner of the 50 bytes from it; a text's last 49 hold no answer."""
-        out = np.full(int(self.offsets[-1]), np.iinfo(np.int64).max)
-        at, live, back = self.first.copy(), np.arange(len(self.sizes)), 0
-        by_size = np.argsort(self.sizes, kind="stable")
-        live, at = by_size, at[by_size]
-        sizes = self.sizes[by_size]
-        while True:
+        """For each string of the texts, text by text, the first string that is equal to it."""
+        out = np.zeros(self.n, np.int64)
+        at, full = self.at_end, np.flatnonzero(self.rows)
+        order = np.argsort(self.rows[full], kind="stable")
+        at, sizes, to = at[order], self.rows[full][order], (self.base + self.rows - 1)[full][order]
+        back = 0
+        while len(at):
+            run = np.searchsorted(self.starts, at, "right") - 1
+            out[to - back] = to - back
+            held = np.flatnonzero(self.several[run])
+            out[(to - back)[held]] = self.samples[self.closing[np.searchsorted(self.closing, run[held])]]
             back += 1
-            skip = int(np.searchsorted(sizes, back))
-            live, at, sizes = live[skip:], at[skip:], sizes[skip:]
-            if not len(live):
-                return out
-            at = at + self.steps[np.searchsorted(self.starts, at, "right") - 1]
-            if back >= LENGTH:
-                out[self.offsets[live + 1] - back] = self.least[np.searchsorted(self.groups, at, "right") - 1]
+            skip = int(np.searchsorted(sizes, back, "right"))
+            at, sizes, to = (at + self.steps[run])[skip:], sizes[skip:], to[skip:]
+        return out
