@@ -1,13 +1,13 @@
-"""Texts in bundles: rows of some megabytes of texts, written once to the shared folder.
+"""Texts in bundles of some megabytes, written once to the shared folder.
 
-Later passes find the same texts together without hashing or shuffling them again, in tasks of bounded size: a bundle is cut by bytes
-and rows as they come, so that neither equal rows nor one id of many rows make a bundle larger. A longer text is a bundle of its own.
-Bundles talk to each other by messages: packed numpy arrays for a part (shard) of some key space.
+Later passes find the same texts together without hashing them again, in tasks of bounded size: a bundle is cut by bytes and rows as they
+come, so that neither equal rows nor one id of many rows make a bundle larger. A longer text is a bundle of its own. A first
+message of each bundle is written in the same pass. Messages are packed numpy arrays for a part (shard) of some key space.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +20,36 @@ from .common import chunks, materialise, utf8
 BUNDLE, ROWS = 8 << 20, 1 << 19
 MESSAGE = "bundle long, kind int, shard int, a binary, b binary, c binary, d binary"
 MESSAGE_TYPE = pa.schema([("bundle", pa.int64()), ("kind", pa.int32()), ("shard", pa.int32()), *[(c, pa.binary()) for c in "abcd"]])
+TEXT = -1  # the kind of rows that hold a text
 
 
-def bundled(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = None, *, tag: str, most: int = BUNDLE, by_id: bool = False) -> DataFrame:
-    """(bundle, n_bytes, ids, flags, sizes, data), a row for each bundle; a null text counts as empty. ``by_id``: a bundle's texts are in the
-    order of their ids, null last."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.lit(True) if flag is None else flag).alias("flag"))
+class Texts:
+    """The texts of a bundle, in their order."""
+
+    def __init__(self, bundle: int, ids: pa.Array, flags: np.ndarray, data: np.ndarray, offsets: np.ndarray):
+        self.bundle, self.ids, self.flags, self.data, self.offsets = bundle, ids, flags, data, offsets
+
+    def __len__(self) -> int:
+        return len(self.offsets) - 1
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Texts:
+        """From the rows of a bundle as they come out of a shuffle."""
+        order = pa.array(np.argsort(rows["place"].to_numpy()))
+        ids, flags, texts = (whole(rows[c]).take(order) for c in ("id", "flag", "text"))
+        return cls(rows["bundle"][0].as_py(), ids, flags.to_numpy(zero_copy_only=False).astype(bool), *utf8(texts))
+
+
+def whole(x: pa.ChunkedArray) -> pa.Array:
+    x = x.combine_chunks()
+    return x if isinstance(x, pa.Array) else x.chunk(0)
+
+
+def bundled(docs: DataFrame, id_col: str, text_col: str, ask: Callable[[Texts], list[dict]], flag: Column | None = None, *, tag: str, most: int = BUNDLE, by_id: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((bundle, place, id, flag, text), the bundles' messages); a null text counts as empty. ``by_id``: a bundle's texts are in the order of
+    their ids, null last."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), (F.lit(True) if flag is None else flag).alias("flag"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -33,50 +57,37 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, flag: Column | None = N
 
         part, k, held, size, count = TaskContext.get().partitionId(), 0, [], 0, 0
 
-        def out() -> pa.RecordBatch:
-            ids, flags, data, sizes = (x for x in zip(*held, strict=True))
-            ids, flags, data, sizes = pa.concat_arrays(ids), np.concatenate(flags), np.concatenate(data), np.concatenate(sizes)
+        def out() -> Iterator[pa.RecordBatch]:
+            ids, texts, flags = (pa.concat_arrays(x) for x in zip(*held, strict=True))
             if by_id:
-                order = pc.sort_indices(ids, null_placement="at_end").to_numpy()
-                texts = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(sizes)))), pa.py_buffer(data)])
-                data, ids, flags, sizes = utf8(texts.take(pa.array(order)))[0], ids.take(pa.array(order)), flags[order], sizes[order]
-            columns = [pa.array([(part << 32) + k]), pa.array([len(data)]), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)]
-            return pa.RecordBatch.from_arrays([*columns, *(pa.array([x.tobytes()], pa.binary()) for x in (flags, sizes, data))], ["bundle", "n_bytes", "ids", "flags", "sizes", "data"])
+                order = pc.sort_indices(ids, null_placement="at_end")
+                ids, texts, flags = ids.take(order), texts.take(order), flags.take(order)
+            n, bundle = len(ids), (part << 32) + k
+            own = {"bundle": pa.array(np.full(n, bundle)), "kind": pa.array(np.full(n, TEXT, np.int32)), "place": pa.array(np.arange(n, dtype=np.int32)), "id": ids, "flag": flags, "text": texts}
+            yield from aligned(pa.table(own), ids.type)
+            yield from aligned(messages(ask(Texts(bundle, ids, flags.to_numpy(zero_copy_only=False).astype(bool), *utf8(texts)))), ids.type)
 
         for batch in batches:
-            data, offsets = utf8(batch.column(1))
-            flags = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            _, offsets = utf8(batch.column(1))
             for a, b in chunks(offsets, most):
                 n = int(offsets[b] - offsets[a])
                 if held and (size + n > most or count + b - a > ROWS):
-                    yield out()
+                    yield from out()
                     k, held, size, count = k + 1, [], 0, 0
-                held.append((batch.column(0).slice(a, b - a), flags[a:b], data[offsets[a] : offsets[b]], np.diff(offsets[a : b + 1]).astype("<i8")))
+                held.append([c.slice(a, b - a) for c in batch.columns])
                 size, count = size + n, count + b - a
         if held:
-            yield out()
-
-    return materialise(rows.mapInArrow(run, f"bundle long, n_bytes long, ids array<{kind}>, flags binary, sizes binary, data binary"), tag)
-
-
-class Texts:
-    """The texts of a bundle's row."""
-
-    def __init__(self, rows: pa.Table | pa.RecordBatch, at: int = 0):
-        one = lambda name: rows.column(name)[at]
-        view = lambda name, kind: np.frombuffer(one(name).as_buffer(), kind)
-        self.bundle, self.ids = one("bundle").as_py(), one("ids").values
-        self.flags, self.data = view("flags", bool), view("data", np.uint8)
-        self.offsets = np.concatenate(([0], np.cumsum(view("sizes", "<i8"))))
-
-    def __len__(self) -> int:
-        return len(self.offsets) - 1
+            yield from out()
 
+    def aligned(rows: pa.Table, kind: pa.DataType) -> list[pa.RecordBatch]:
+        schema = pa.schema([*MESSAGE_TYPE, ("place", pa.int32()), ("id", kind), ("flag", pa.bool_()), ("text", pa.binary())])
+        return pa.table({f.name: rows[f.name] if f.name in rows.column_names else pa.nulls(rows.num_rows, f.type) for f in schema}, schema).to_batches()
 
-def each(batches: Iterator[pa.RecordBatch]) -> Iterator[Texts]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield Texts(batch, k)
+    written = materialise(rows.mapInArrow(run, f"{MESSAGE}, place int, id {kind}, flag boolean, text binary"), tag, partition_by="kind", compression="zstd")
+    texts = written.filter(F.col("kind") == TEXT).select("bundle", "place", "id", "flag", "text")
+    asked = written.filter(F.col("kind") != TEXT).select(*MESSAGE_TYPE.names)
+    asked._shared_path = written._shared_path
+    return texts, asked
 
 
 def planes(x: np.ndarray) -> bytes:

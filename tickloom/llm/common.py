@@ -47,11 +47,11 @@ def materialise(df: DataFrame, tag: str, partition_by: str | None = None, **opti
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of ``materialise`` that nothing reads any more, since what came of them is written."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Delete tables of ``materialise``, or a part (``column=value``) of them, that nothing reads any more, since what came of them is written."""
     for df in tables:
         spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path)
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path, part or ".")
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -24,13 +24,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bundles import MESSAGE, Texts, bundled, column, each, kind_of, messages, numbers, planes, runs
+from .bundles import MESSAGE, Texts, bundled, column, kind_of, messages, planes, runs
 from .common import chunks, discard, materialise, shuffle_partitions, table
 from .run_index import LENGTH, RunIndex
 
@@ -112,17 +113,12 @@ def by_shard(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(shard[cut].tolist(), cut.tolist(), (cut + count).tolist(), strict=True)
 
 
-def ask_anchors(texts: DataFrame, bits: int) -> DataFrame:
-    """Each bundle's anchors: the low half of their keys, and in how many of its texts each is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in each(batches):
-            text, _, _, key = all_windows(t)
-            keys, n = distinct_keys(text, key)
-            low, n = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(n, 65535).astype("<u2")
-            yield from messages([{"bundle": t.bundle, "kind": ANCHORS, "shard": s, "a": low[x:y].tobytes(), "b": planes(n[x:y])} for s, x, y in by_shard(keys, bits)]).to_batches()
-
-    return texts.mapInArrow(run, MESSAGE)
+def ask_anchors(t: Texts, bits: int) -> list[dict]:
+    """A bundle's anchors: the low half of their keys, and in how many of its texts each is."""
+    text, _, _, key = all_windows(t)
+    keys, n = distinct_keys(text, key)
+    low, n = (keys & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(n, 65535).astype("<u2")
+    return [{"bundle": t.bundle, "kind": ANCHORS, "shard": s, "a": low[x:y].tobytes(), "b": planes(n[x:y])} for s, x, y in by_shard(keys, bits)]
 
 
 def count_anchors(asked: DataFrame, hot_texts: int) -> DataFrame:
@@ -174,7 +170,7 @@ def open_windows(texts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return messages([])
-        t = Texts(rows)
+        t = Texts.of(rows)
         text, start, length, key = all_windows(t)
         keys = distinct_keys(text, key)[0]
         state = np.frombuffer(b"".join(kind_of(answers, ANCHORS)["a"].to_pylist()), np.uint8) if len(keys) else np.zeros(0, np.uint8)
@@ -299,7 +295,7 @@ def removed(texts: DataFrame, answers: DataFrame, with_text: bool) -> DataFrame:
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return schema.empty_table()
-        t = Texts(rows)
+        t = Texts.of(rows)
         gone, offsets = marked(t, answers), t.offsets
         total = np.concatenate(([0], np.cumsum(gone)))[offsets]
         begins = gone.copy()
@@ -320,15 +316,16 @@ def removed(texts: DataFrame, answers: DataFrame, with_text: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, with_text: bool = False, hot_texts: int = HOT_TEXTS, part: int = PART) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256 or kept_text) for each row; ``part``: bytes of text for each part of the key space."""
     spark = docs.sparkSession
-    texts = bundled(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", tag="repeats-texts", by_id=True)
-    size = texts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    size = rows.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).first()[0]
     bits = min(30, max(1, (max(shuffle_partitions(spark), size // part) - 1).bit_length()))
-    asked = materialise(ask_anchors(texts, bits), "repeats-anchors")
+    texts, asked = bundled(rows, "id", "text", partial(ask_anchors, bits=bits), tag="repeats-texts", by_id=True)
     answers = materialise(count_anchors(asked, hot_texts), "repeats-shared")
-    discard(asked)
-    opened = materialise(open_windows(texts, answers, bits), "repeats-windows", partition_by="kind")
+    discard(asked, part=f"kind={ANCHORS}")
+    opened = materialise(open_windows(texts, answers, bits), "repeats-windows", partition_by="kind", compression="zstd")
     discard(answers)
     owners = materialise(settle(opened.filter(F.col("kind") == WINDOWS)), "repeats-owners")
+    discard(opened, part=f"kind={WINDOWS}")
     out = removed(texts, opened.filter(F.col("kind") == PLACES).unionByName(owners), with_text)
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_text" if with_text else "kept_sha256"))
 
