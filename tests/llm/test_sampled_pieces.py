@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tickloom.llm import sampled_pieces
 from tickloom.llm.sampled_pieces import decode, decode_pieces, encode, encode_pieces, load, op9_sampled_pieces, pieces_stage, vocabulary
 
 from .odd import odd_texts
@@ -55,6 +56,42 @@ def test_round_trips_of_the_public_file():
     assert again == [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:], strict=False)]  # whatever else is in the batch
 
 
+def test_words_of_equal_hashes_are_told_apart():
+    texts = [b"gaaiaajdcadeaecb acfaedaaafaahaaa"]
+    v = load()
+    assert decode(*encode(texts, np.zeros(1, np.uint64), v), v) == texts
+
+
+@pytest.mark.parametrize("alpha", [2.0, 3.0])
+def test_small_weights(alpha):
+    v = load(alpha=alpha)
+    texts = [("x" * n + "é").encode() for n in (1, 20, 59, 60, 61, 700, 3000)]
+    assert decode(*encode(texts, np.arange(7, dtype=np.uint64), v), v) == texts
+
+
+@pytest.mark.parametrize("window", [7, 1 << 15])
+def test_long_words_have_the_lattices_shares(small, monkeypatch, window):
+    monkeypatch.setattr(sampled_pieces, "LONG", 3)
+    monkeypatch.setattr(sampled_pieces, "WINDOW", window)
+    text, n = b"ababaabbab", 4000
+    want = ways(b" " + text, small)
+    total = sum(want.values())
+    ids, offsets = encode([text] * n, np.arange(n, dtype=np.uint64), small)
+    got = Counter(tuple(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:], strict=False))
+    assert set(got) <= set(want)
+    assert all(abs(got[way] / n - w / total) < 5 * math.sqrt(w / total / n) + 1e-3 for way, w in want.items())
+    monkeypatch.setattr(sampled_pieces, "LONG", 1 << 11)
+    same = encode([text] * n, np.arange(n, dtype=np.uint64), small)
+    assert ids.tolist() == same[0].tolist()  # the same draws either way
+
+
+def test_a_long_line_without_spaces():
+    text = "".join(chr(0x4E00 + i * i % 5000) for i in range(150_000)).encode() + b"a b"
+    v = load()
+    ids, offsets = encode([text, b"c"], np.zeros(2, np.uint64), v)
+    assert decode(ids, offsets, v) == [text, b"c"]
+
+
 def test_frames(spark, docs_of):
     texts = odd_texts()
     docs = docs_of(texts)

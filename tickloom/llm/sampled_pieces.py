@@ -7,20 +7,24 @@ with exactly its share of the total weight. Random numbers are made from (seed,
 segmentation doesn't depend on partitions, batches or other rows.
 
 No piece of the file spans a line break or continues after a space, so the lattice falls apart into words; distinct words
-of a batch are filtered once, all together in numpy, and their occurrences are drawn together, a piece each step.
+of a batch are filtered once, all together in numpy, and their occurrences are drawn together, a piece each step. Equal words are
+those of equal bytes. Where the least weight of a word isn't a normal double, sums are of logarithms. A word over ``LONG`` bytes (a line
+without spaces) is filtered in windows: only the sums at the windows' ends are kept, and each window is filtered again
+when the draw, from the end, reaches it; so memory holds its bytes, its pieces and one window's lattice.
 
 A space is the file's word mark; one is added before a text, and the decoder takes it off. A byte that is no piece by
 itself has a byte piece, of weight e**-11.5; so have those of a literal word mark, which no other piece covers.
 Decoding joins the bytes of the pieces: it returns each text as it was.
 
 Defined results: a null text has null pieces and decodes to null; an empty text has no pieces and decodes to an empty
-text; a null key counts as a key of its own; rows that repeat a key and text get equal pieces; an empty table gives an empty
+text; a null key counts as a key of its own; rows that repeat a key and text get equal pieces (also copies that mixing makes); an empty table gives an empty
 result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,8 +40,7 @@ from .common import chunks, table, utf8
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 BYTE_LP = -11.5
-LINEAR = 60  # bytes up to which a word's smallest weight is a double
-CHUNK = 1 << 21
+CHUNK, LONG, WINDOW = 1 << 21, 1 << 11, 1 << 15  # bytes
 
 
 @dataclass
@@ -51,6 +54,11 @@ class Vocabulary:
     tables: list[tuple[np.ndarray, np.ndarray]]
     piece: np.ndarray  # of a state, or -1
 
+    @property
+    def linear(self) -> int:
+        """The bytes up to which a word's least weight is a normal double."""
+        return int(700 / max(1e-9, -float(self.lp.min())))
+
     def step(self, state: np.ndarray, byte: np.ndarray) -> np.ndarray:
         """The next states; 0 is dead."""
         key = ((state.astype(np.int64) << 8) | byte).ravel()
@@ -151,7 +159,7 @@ def forward(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, n
     by_length = edges(words, v)
     most = len(by_length)
     share, piece = np.zeros((n, most, m)), np.zeros((n, most, m), np.int32)
-    if n <= LINEAR:
+    if n <= v.linear:
         total, weights = np.zeros((n + 1, m)), [np.where(p >= 0, np.exp(v.lp[p]), 0.0) for p in by_length]
         total[0] = 1.0
         for end in range(1, n + 1):
@@ -176,6 +184,63 @@ def forward(words: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray, n
     return real.sum(1), np.cumsum(held, 1).ravel()[at], np.ascontiguousarray(piece.transpose(2, 0, 1)).ravel()[at], at % most + 1
 
 
+class LongWord:
+    """A word filtered in windows, in logarithms."""
+
+    def __init__(self, word: np.ndarray, v: Vocabulary):
+        self.word, self.v, self.most = word, v, int(np.diff(v.offsets).max())
+        self.frontiers, total = [], [0.0]  # of each window, the sums at the last places before it
+        for a in range(0, len(word), WINDOW):
+            self.frontiers.append(total[-self.most :])
+            total = self.window(a, self.frontiers[-1])[0]
+
+    def window(self, a: int, frontier: list[float]) -> tuple[list[float], list[int], list[int], list[int], list[float]]:
+        """The sums at the places a - len(frontier) + 1 to the window's end; and for the edges that end after a, by end and length:
+        where each end's begin, the pieces, their lengths, the sums of the ways through them."""
+        low, b = a - len(frontier) + 1, min(a + WINDOW, len(self.word))
+        by_length = edges(self.word[low : min(b + self.most, len(self.word)), None], self.v)
+        found = [(np.flatnonzero(x[:, 0] >= 0), k + 1, x[:, 0]) for k, x in enumerate(by_length)]
+        start, size, piece = (np.concatenate(x) for x in zip(*((s, np.full(len(s), k), x[s]) for s, k, x in found), strict=True))
+        end = start + size + low
+        keep = np.flatnonzero((end > a) & (end <= b))
+        keep = keep[np.lexsort((size[keep], end[keep]))]
+        ptr = np.searchsorted(end[keep], np.arange(a + 1, b + 2)).tolist()
+        ids, sizes, lp = piece[keep].tolist(), size[keep].tolist(), self.v.lp[piece[keep]].tolist()
+        total, ways = list(frontier), []
+        for x, y in zip(ptr, ptr[1:], strict=False):
+            here = len(total)
+            own = [total[here - sizes[e]] + lp[e] for e in range(x, y)]
+            top = max(own)
+            total.append(top + math.log(math.fsum(math.exp(w - top) for w in own)))
+            ways += own
+        return total, ptr, ids, sizes, ways
+
+    def draw(self, seed: np.uint64, place: int) -> np.ndarray:
+        """The pieces of an occurrence; ``place``: where the word begins in its text."""
+        out, at = [], len(self.word)
+        for k in range(len(self.frontiers) - 1, -1, -1):
+            a, frontier = k * WINDOW, self.frontiers[k]
+            if at <= a:
+                continue
+            total, ptr, ids, sizes, ways = self.window(a, frontier)
+            random = draws(seed, np.arange(a + 1, min(a + WINDOW, len(self.word)) + 1) + place).tolist()
+            while at > a:
+                x, y, u = ptr[at - a - 1], ptr[at - a], random[at - a - 1]
+                here, up = total[len(frontier) + at - a - 1], 0.0
+                for e in range(x, y):
+                    up += math.exp(ways[e] - here)
+                    if u < up:
+                        break
+                out.append(ids[e])
+                at -= sizes[e]
+        return np.array(out[::-1], np.int32)
+
+
+def draws(seed: np.ndarray | np.uint64, byte: np.ndarray) -> np.ndarray:
+    """Random numbers of [0, 1) for places in texts."""
+    return (splitmix(seed + byte.astype(np.uint64)) >> np.uint64(11)) * 2.0**-53
+
+
 def split(buffer: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where words begin: at a text's start, at and after a line break, at the first of some spaces."""
     line, space = buffer == 10, buffer == 32
@@ -202,16 +267,15 @@ def encode(texts: list[bytes], keys: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     heads = np.concatenate(([0], np.cumsum(sizes[full] + 1)))
     begin = split(buffer, heads[:-1])
     stop = np.append(begin[1:], len(buffer))
-    # equal words: of equal hashes and sizes
-    power, inverse = powers(1 << max(20, len(buffer).bit_length()))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * power[: len(buffer)])))
-    hashed = (sums[stop] - sums[begin]) * inverse[begin]
-    hashed = (hashed ^ (hashed >> np.uint64(31))) * GOLDEN + (stop - begin).astype(np.uint64)
-    _, example, code = np.unique(hashed, return_index=True, return_inverse=True)
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(np.append(begin, len(buffer))), pa.py_buffer(buffer)])
+    code = words.dictionary_encode().indices.to_numpy().astype(np.int64)
+    example = np.zeros(int(code.max()) + 1, np.int64)
+    example[code[::-1]] = np.arange(len(code) - 1, -1, -1)
     size, at = (stop - begin)[example], begin[example]
     order = np.argsort(size, kind="stable")
+    order = order[: np.searchsorted(size[order], LONG, "right")]
     base, nodes = np.zeros(len(size), np.int64), 0  # the node of a word's start
-    counts, share, piece, length = [], [], [], []
+    counts, share, piece, length = [np.zeros(0, np.int64)], [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
     cuts = np.append(np.flatnonzero(np.diff(size[order], prepend=-1)), len(order))
     for a, b in zip(cuts, cuts[1:], strict=False):
         n = int(size[order[a]])
@@ -233,10 +297,17 @@ def encode(texts: list[bytes], keys: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     start = base[code]
     state = start + stop - begin
     byte = stop - heads[doc]  # of the node, within its text
-    seeds, live, drawn, number = splitmix(keys[full]), np.arange(len(code)), [], np.zeros(len(code), np.int64)
+    seeds, live, drawn, number = splitmix(keys[full]), np.flatnonzero(size[code] <= LONG), [], np.zeros(len(code), np.int64)
+    long = {}
+    for w in np.flatnonzero(size[code] > LONG).tolist():
+        if code[w] not in long:
+            long[code[w]] = LongWord(buffer[begin[w] : stop[w]], v)
+        drawn.append((w, long[code[w]].draw(seeds[doc[w]], int(begin[w] - heads[doc[w]]))))
+        number[w] = len(drawn[-1][1])
+    apart, drawn = drawn, []
     while len(live):
         node = state[live]
-        u = (splitmix(seeds[doc[live]] + byte[live].astype(np.uint64)) >> np.uint64(11)) * 2.0**-53
+        u = draws(seeds[doc[live]], byte[live])
         edge, most = first[node], last[node] - 1
         go = np.arange(len(live))
         while len(go := go[(u[go] >= share[edge[go]]) & (edge[go] < most[go])]):
@@ -250,6 +321,8 @@ def encode(texts: list[bytes], keys: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     out = np.zeros(int(ends[-1]), np.int32)
     for k, (which, ids) in enumerate(drawn):
         out[ends[which] - 1 - k] = ids
+    for w, ids in apart:
+        out[ends[w] - len(ids) : ends[w]] = ids
     offsets = np.zeros(len(texts) + 1, np.int64)
     offsets[full + 1] = np.diff(np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(words)))])
     return out, np.cumsum(offsets)
