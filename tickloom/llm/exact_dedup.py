@@ -1,14 +1,16 @@
 """Exact deduplication with an extendible-hash index on shared files, in DataFrame operations only.
 
-Texts are equal when their bytes are, after each run of ``[\\x20\\x09-\\x0D]`` became one space. Every distinct text has
-one entry in the index, at the 64-bit hash of its text. Entries are made by an aggregation on (hash, text), which
-compares bytes and combines copies before the shuffle, so that a text with a third of all rows sends one row a task.
-Entries of different texts under one hash form a chain, told apart by the SHA-256 of their bytes.
+Texts are equal when their bytes are, after each run of ``[\\x20\\x09-\\x0D]`` became one space. Rows are written once with their normalised
+text and its 64-bit hash, the key. Every distinct text has one entry in the index. Entries are made by an aggregation on
+(key, text), which compares bytes and combines copies before the shuffle, so that a text with a third of all rows sends one row a task.
 
-The directory starts as one bucket and doubles as long as a bucket is overfull: a bucket with more than
-``bucket_entries`` entries is split by the next bit of the hash, up to ``max_depth`` bits. It has 2**max_depth rows at
-most, which bounds its broadcast. Owner tasks sort key ranges, number the chains and write the buckets to the
-shared folder; rows then find their entry by (hash, SHA-256).
+The directory starts with as many buckets as entries ask for on average, by the first bits of the key, and doubles as long as a bucket is
+overfull: a bucket with more than ``bucket_entries`` entries is split by the next bit, unless all of them have one key. It is a table of (depth,
+prefix); it is broadcast only up to ``BROADCAST`` buckets, which are counted. Through it each entry gets its bucket; owner tasks
+take key ranges, number the entries under one key as a chain, and write them to the shared folder.
+
+A row looks its bucket up in the directory, and in the bucket its key. A chain of one entry has the row's text, since rows and entries are
+of the same texts. In longer chains the row's bytes are compared with the entries'.
 
 Defined results: a null text counts as empty; in a group with null ids the smallest id that isn't null stays;
 rows that repeat the smallest id of their group are all kept (they are the same document); an empty table gives an
@@ -17,11 +19,14 @@ empty result; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, table
+from .common import discard, materialise, shuffle_partitions, table
 
+BROADCAST = 65_536
 WHITE = r"[\x20\x09-\x0D]+"
 
 
@@ -29,45 +34,73 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), WHITE, " ")
 
 
-def directory(cells: DataFrame, bucket_entries: int, max_depth: int) -> DataFrame:
-    """The bucket of each cell (hash prefix of max_depth bits): (cell, bucket, depth), for cells of (cell, n)."""
-    at = cells.select("cell", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    at = at.withColumn("prefix", F.expr(f"shiftright(cell, {max_depth} - depth)"))
-    full = at.groupBy("depth", "prefix").agg(F.sum("n").alias("entries"))
-    fits = at.join(full, ["depth", "prefix"]).filter((F.col("entries") <= bucket_entries) | (F.col("depth") == max_depth))
-    first = fits.groupBy("cell").agg(F.min("depth").alias("depth"))
-    return first.select("cell", "depth", F.expr(f"shiftleft(shiftright(cell, {max_depth} - depth), {max_depth} - depth)").alias("bucket"))
-
-
-def build_index(keyed: DataFrame, *, bucket_entries: int, max_depth: int) -> DataFrame:
-    """The index over rows of (id, key, norm): one entry for each distinct text, in files by bucket."""
-    spark = keyed.sparkSession
+def prefix(depth: int) -> Column:
+    """The first ``depth`` bits of the key."""
+    return F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
+
+
+def directory(entries: DataFrame, bucket_entries: int) -> tuple[DataFrame, list[int]]:
+    """((depth, prefix, bucket), the depths): the buckets of the keys; ``bucket`` is the first key of its range."""
+    depth, parts, open_ = max(0, (entries.count() // bucket_entries).bit_length() - 1), [], entries.select("key")
+    while True:
+        counts = open_.groupBy(prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
+        counts = materialise(counts, "dedup-directory")
+        full = (F.col("n") > bucket_entries) & (F.col("low") != F.col("high"))
+        start = F.shiftleft("prefix", 64 - depth) if depth else F.col("prefix")
+        parts.append(counts.filter(~full).select(F.lit(depth).alias("depth"), "prefix", start.alias("bucket")))
+        split = counts.filter(full).select("prefix")
+        if depth == 64 or split.isEmpty():
+            break
+        open_ = open_.withColumn("prefix", prefix(depth)).join(split, "prefix", "left_semi").select("key")
+        depth += 1
+    table = materialise(reduce(DataFrame.unionAll, parts), "dedup-directory")
+    depths = sorted(r[0] for r in table.select("depth").distinct().collect())  # 65 at most
+    return (F.broadcast(table) if table.count() <= BROADCAST else table), depths
+
+
+def routed(rows: DataFrame, buckets: DataFrame, depths: list[int]) -> DataFrame:
+    """``rows`` with the bucket of their key."""
+    at = [F.struct(F.lit(d).alias("depth"), prefix(d).alias("prefix")) for d in depths] or [F.struct(F.lit(0).alias("depth"), prefix(0).alias("prefix"))]
+    places = rows.withColumn("at", F.explode(F.array(*at)) if len(at) > 1 else at[0])
+    places = places.select(*rows.columns, F.col("at.depth").alias("depth"), F.col("at.prefix").alias("prefix"))
+    return places.join(buckets, ["depth", "prefix"]).drop("depth", "prefix")
+
+
+def entries_of(keyed: DataFrame) -> DataFrame:
+    """An entry for each distinct text of rows of (id, key, norm)."""
     entries = keyed.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    entries = entries.select("key", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
-    entries = materialise(entries.withColumn("cell", F.shiftrightunsigned("key", 64 - max_depth).cast("int")), "dedup-entries")
-    buckets = directory(entries.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), bucket_entries, max_depth)
-    owned = entries.join(F.broadcast(buckets), "cell").repartitionByRange(shuffle_partitions(spark), "key")
-    chain = Window.partitionBy("key").orderBy("keep_id", "text_sha256")
-    owned = owned.select("key", "text_sha256", "keep_id", "group_size", "depth", F.row_number().over(chain).alias("link"), "bucket")
-    return materialise(owned, "dedup-index", partition_by="bucket")
+    return entries.select("key", "norm", F.sha2("norm", 256).alias("text_sha256"), "keep_id", "group_size")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_entries: int = 65_536, max_depth: int = 14, hash_bits: int = 64) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, bucket_entries: int = 65_536, hash_bits: int = 64) -> DataFrame:
     """(id_col, keep_id, group_size, kept, text_sha256, bucket, link) for each row; ``hash_bits`` under 64 forces chains, for tests."""
+    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     key = F.xxhash64("norm")
-    keyed = rows.withColumn("key", key if hash_bits >= 64 else F.shiftleft(key, 64 - hash_bits))
-    index = build_index(keyed, bucket_entries=bucket_entries, max_depth=max_depth)
-    found = keyed.select("id", "key", F.sha2("norm", 256).alias("text_sha256")).join(index, ["key", "text_sha256"])
+    keyed = materialise(rows.withColumn("key", key if hash_bits >= 64 else F.shiftleft(key, 64 - hash_bits)), "dedup-rows", compression="zstd")
+    entries = materialise(entries_of(keyed).drop("norm"), "dedup-entries")
+    buckets, depths = directory(entries, bucket_entries)
+    chain = Window.partitionBy("bucket", "key")
+    owned = routed(entries, buckets, depths).repartitionByRange(shuffle_partitions(spark), "key")
+    owned = owned.withColumns({"link": F.row_number().over(chain.orderBy("keep_id", "text_sha256")), "chain": F.count(F.lit(1)).over(chain)})
+    index = materialise(owned, "dedup-index")
+    discard(entries)
+    found = routed(keyed.select("id", "key"), buckets, depths).join(index.filter("chain = 1"), ["bucket", "key"])
+    out = ["id", "keep_id", "group_size", "text_sha256", "bucket", "link"]
+    found = found.select(*out)
+    chained = index.filter("chain > 1")
+    if not chained.isEmpty():
+        own = keyed.join(chained.select("key").distinct(), "key", "left_semi")
+        by_bytes = entries_of(own).join(chained.select("key", "text_sha256", "bucket", "link"), ["key", "text_sha256"])
+        found = found.unionByName(own.join(by_bytes, ["key", "norm"]).select(*out))
     return found.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "bucket", "link")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that stay, with all their columns."""
-    tagged = docs.withColumn("_dedup_sha", F.sha2(normalised(F.col("text")), 256))
-    keep = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_dedup_id"), F.col("text_sha256").alias("_dedup_sha")).distinct()
-    kept = tagged.join(keep, (tagged["doc_id"].eqNullSafe(keep["_dedup_id"])) & (tagged["_dedup_sha"] == keep["_dedup_sha"]), "left_semi")
-    return kept.select(*docs.columns)
+    keep = exact_dedup(docs).filter("kept").select("doc_id", "text_sha256").distinct()
+    same = docs["doc_id"].eqNullSafe(keep["doc_id"]) & (F.sha2(normalised(docs["text"]), 256) == keep["text_sha256"])
+    return docs.join(keep, same, "left_semi")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     start = np.flatnonzero(offsets[1:][text] - np.arange(len(anchor)) >= LENGTH)
     anchor, text = anchor[start], text[start]
     cut, count = runs(anchor)
-    return text[cut], start[cut], count + LENGTH - 1, grams[anchor[cut]]
+    return text[cut], start[cut], count + LENGTH - 1, hashed(grams[anchor[cut]])  # anew: least hashes aren't spread evenly
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
