@@ -1,4 +1,7 @@
+import math
 import random
+import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +59,51 @@ def test_stage_and_query(spark, corpus, tmp_path):
     assert out.count() == corpus.count() and out.columns[:4] == ["doc_id", "held_out", "lang_pred", "score"]
 
 
+def test_columns_that_clash(spark, corpus):
+    docs = corpus.limit(40).withColumns({"_score": F.lit("kept"), "_Rejected": F.lit(7), "__score": F.lit(1)})
+    kept = langid_stage(spark, docs, "")
+    assert kept.columns == docs.columns and {(r._score, r._Rejected) for r in kept.collect()} == {("kept", 7)}
+
+
+def plain_counts(text):
+    """Trigram slots by the rules of the module's docstring, one byte at a time."""
+    data = [32, *(b if b >= 128 else (b | 32 if 65 <= b & ~32 <= 90 else 32) for b in (text or "").encode()), 32]
+    out = Counter()
+    for a, b, c in zip(data, data[1:], data[2:], strict=False):
+        if (a, b, c) != (32, 32, 32):
+            out[((a << 16 | b << 8 | c) * 2654435761 % 2**32) >> 20] += 1
+    return out
+
+
+def test_predictions_against_a_plain_version(spark, corpus):
+    """From texts to scores, with one centroid for each language: the mean direction of its training rows."""
+    rows = [r for r in corpus.collect() if r.text is None or len(r.text) < 6000]
+    training = [r for r in rows if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    seen = Counter(s for r in training for s in plain_counts(r.text))
+
+    def vector(text):
+        v = {s: math.log1p(n) * math.log((1 + len(training)) / (1 + seen[s])) for s, n in plain_counts(text).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {s: x / max(size, 1e-9) for s, x in v.items()}
+
+    centroids = {}
+    for lang in PARTS:
+        total = Counter()
+        for r in training:
+            if r.lang == lang:
+                total.update(vector(r.text))
+        size = math.sqrt(sum(x * x for x in total.values()))
+        centroids[lang] = {s: x / size for s, x in total.items()}
+    model = fit(train_rows(spark.createDataFrame(rows, corpus.schema)), k=1, sample_per_lang=10_000)
+    for r in tag(spark.createDataFrame(rows, corpus.schema), model).collect():
+        v = vector(r.text)
+        cosine = {lang: sum(x * c.get(s, 0.0) for s, x in v.items()) for lang, c in centroids.items()}
+        best = max(sorted(cosine), key=cosine.get)
+        letters = any(map(str.isalpha, r.text or ""))
+        assert r._score == pytest.approx(max(0.0, cosine[best]) if letters else 0.0, abs=1e-4)
+        assert r._lang_pred == ("und" if not letters else best) or letters and sorted(cosine.values())[-1] - sorted(cosine.values())[-2] < 1e-4
+
+
 def test_unseen_long_texts_are_rejected_and_own_ones_of_any_length_kept(spark):
     rng = random.Random(8)
     make = lambda parts, n: " ".join("".join(rng.choices(parts, k=rng.randint(1, 3))) for _ in range(n))

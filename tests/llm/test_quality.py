@@ -1,10 +1,12 @@
+import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tickloom.llm.quality import Network, features, fit, index_vectors, op8_quality, score, tokens, train, word_vectors
+from tickloom.llm.quality import Network, contexts, features, fit, index_vectors, op8_quality, score, tokens, train, word_vectors
 
 from .odd import odd_texts
 
@@ -41,6 +43,54 @@ def test_features_of_a_text_do_not_depend_on_its_neighbours():
         assert np.allclose(features(pa.array([t]), v)[0], row, atol=1e-5)
 
 
+def plain_tokens(text):
+    out = []
+    for t in re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x09-\x0d\x20]+", text.encode()):
+        h, power = 0, 1
+        for c in t.lower():  # ASCII only, on bytes
+            h, power = (h + c * power) % 2**64, power * 0x9E3779B97F4A7C15 % 2**64
+        out.append((((h ^ h >> 32) * 0x9E3779B97F4A7C15 % 2**64) >> 51, len(t), not re.match(rb"[0-9A-Za-z\x80-\xff]", t)))
+    return out
+
+
+def plain_features(text, vectors):
+    found = plain_tokens(text)
+    n = len(found)
+    if not n:
+        return [0.0] * 104
+    v = [vectors[s].tolist() for s, _, _ in found]
+    mean = [sum(x[d] for x in v) / n for d in range(48)]
+    square = [math.sqrt(sum(x[d] ** 2 for x in v) / n) for d in range(48)]
+    sizes = [k for _, k, _ in found]
+    average, kinds = sum(sizes) / n, len({s for s, _, _ in found})
+    repeats = sum(a[0] == b[0] for a, b in zip(found, found[1:], strict=False)) / n
+    spread = math.sqrt(max(0.0, sum(k * k for k in sizes) / n - average**2))
+    more = [math.log1p(n) / 5, math.sqrt(sum(x * x for x in mean)) * 2, sum(x for _, _, x in found) / n * 2, average / 5, repeats * 4, kinds / n, math.log1p(kinds) / 5, spread / 5]
+    return [4 * x for x in mean] + square + more
+
+
+def test_scores_against_a_plain_version(corpus):
+    """From texts to scores: tokens, random indexing over all documents, pooling and the network, one number at a time."""
+    docs, labels = corpus
+    vectors, net = fit(docs, labels)
+    rows, index = [r for r in docs.collect() if len(r.text or "") < 6000], index_vectors()
+    every = docs.filter("length(text) < 6000 or text is null")
+    context = np.zeros(index.shape)
+    for r in rows:
+        slots = [s for s, _, _ in plain_tokens(r.text or "")]
+        for i, s in enumerate(slots):
+            for j in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= j < len(slots):
+                    context[s] += index[slots[j]]
+    assert np.allclose(contexts(every, index), context, atol=1e-3)
+    got = {r.doc_id: r.score for r in score(every, (vectors, net)).collect()}
+    for r in rows[::5] + rows[-13:]:
+        x = [(a - m) / s for a, m, s in zip(plain_features(r.text or "", vectors), net.mean, net.scale, strict=True)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(x, net.w1[:, k], strict=True)) + net.b1[k]) for k in range(len(net.b1))]
+        z = (sum(h * w for h, w in zip(hidden, net.w2, strict=True)) + net.b2) / net.temperature
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-max(-40, min(40, z)))), abs=1e-4)
+
+
 def test_the_network_learns_and_is_calibrated():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(4000, 6))

@@ -4,7 +4,8 @@ from collections import Counter
 import numpy as np
 import xxhash
 
-from tickloom.llm.simhash import components, fingerprint, forest, simhash_components, simhash_stage
+import corpus_pipeline
+from tickloom.llm.simhash import components, fingerprint, forest, simhash_components, simhash_stage, similar_components
 
 from .odd import odd_texts
 
@@ -45,7 +46,7 @@ def test_a_forest_has_the_links_components():
     seeds = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 20).astype(np.uint64)) for s in seeds]))
     for radius in (2, 4, 30):
-        a, b = forest(fps, fps, True, radius)
+        a, b = (fps[x] for x in forest(fps[:, None], fps[:, None], True, radius))
         want = plain({int(f): int(f) for f in fps}, radius)
         got = {int(f): int(f) for f in fps}
         for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True)) * len(fps):
@@ -84,9 +85,73 @@ def test_against_a_plain_version(spark, docs_of):
     docs = docs_of(texts)
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash_components(docs, tile_size=16).collect()}
     assert got == {i: (f"{f:016x}", roots[i]) for i, f in want.items()}
-    kept = simhash_stage(spark, docs, "")
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(roots.values())
-
 
 def test_empty(docs_of):
     assert simhash_components(docs_of(["a"]).limit(0)).count() == 0
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_near(texts):
+    sets, root = [plain_set(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if a == b or len(a & b) * 5 >= len(a | b) * 4:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def near_copies():
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(500)]
+    texts = odd_texts()
+    for group in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(8, 220))]
+        for _ in range(60 if group == 0 else 6):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t))
+    rng.shuffle(texts)
+    return texts
+
+
+def test_similar_components_against_all_pairs(docs_of):
+    texts = near_copies()
+    want = plain_near(texts)
+    assert len(set(want)) < len(set(map(frozenset, map(plain_set, texts))))
+    rows = docs_of(texts).selectExpr("doc_id AS row", "doc_id AS id", "text")
+    found = similar_components(rows, tile_size=64).collect()
+    first = {}
+    for r in sorted(found):
+        first.setdefault(r.component, r.id)
+    assert {r.id: first[r.component] for r in found} == dict(enumerate(want))
+
+
+def test_parts_that_fall_apart_are_compared(docs_of):
+    """With a similarity that few candidates reach, all candidate pairs count."""
+    texts = near_copies()
+    sets = [plain_set(t) for t in texts]
+    found = {r.id: r.component for r in similar_components(docs_of(texts).selectExpr("doc_id AS row", "doc_id AS id", "text"), similarity=(19, 20)).collect()}
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) * 20 >= len(a | b) * 19:
+                assert found[i] == found[j], (i, j)
+
+
+def test_the_stage_drops_near_copies_at_eight_tenths(spark, docs_of):
+    texts = near_copies()
+    kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs_of(texts), "")
+    assert kept.columns == docs_of(texts).columns and {r.doc_id for r in kept.collect()} == set(plain_near(texts))
+    assert simhash_stage(spark, docs_of(texts).limit(0), "").count() == 0
+
+
+def test_the_stage_keeps_one_row_of_null_and_repeated_ids(spark):
+    rows = [(None, "a b c"), (None, "a b c"), (3, "a b c"), (3, "a b c"), (3, "x y z"), (None, "only"), (None, None), (4, "")]
+    kept = simhash_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept) == [(-1, "only"), (3, "a b c"), (3, "x y z"), (4, "")]

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from tickloom.llm.warc import LoserTree, capture_history, members, order, parse, read_archives, record, url_key, write_archives
+from tickloom.llm.warc import LoserTree, capture_history, captures, members, merged, order, parse, read_archives, record, url_key, write_archives
 
 PAGES = "page_id long, url string, html string, id int, digest string"
 
@@ -42,7 +42,8 @@ def test_archives_are_warc(spark):
         data = open(path.removeprefix("file:").replace("///", "/"), "rb").read()
         for at, size, content in members(io.BytesIO(data)):
             assert gzip.decompress(data[at : at + size]) == content and content.startswith(b"WARC/1.1\r\n")
-    assert read_archives(manifest).count() == 3
+    assert sorted(c[2] for r in manifest.collect() for c in captures(r.archive)) == [0, 1, 2]
+    assert {r.range for r in read_archives(manifest, [(url_key(pages.first().url), "2020-01-01T00:00:00Z")]).collect()} <= {0, 1}
 
 
 def test_a_record_and_back():
@@ -61,6 +62,18 @@ def test_loser_tree():
         assert list(LoserTree([iter(r) for r in runs])) == sorted((x for r in runs for x in r), key=order)
 
 
+@pytest.mark.parametrize("runs", [1, 5, 100])
+def test_blocks_are_merged_as_they_come(runs):
+    rng = random.Random(2)
+    row = lambda x, run, k: (f"{x:03d}", "t", x, "", 0, "", "", None, str(run), k, 0)
+    blocks = []
+    for run in range(runs):
+        own = sorted((row(rng.randint(0, 500), run, k) for k in range(rng.randint(0, 60))), key=order)
+        blocks += [(order(own[k]), str(run), own[k : k + 7]) for k in range(0, len(own), 7)]
+    got = list(merged(iter(sorted(blocks, key=lambda b: b[0]))))
+    assert got == sorted((c for b in blocks for c in b[2]), key=order)
+
+
 def test_url_keys():
     assert url_key("http://www.A.example.com:80/X?b=C") == "com,example,a)/x?b=c"
     assert url_key("") == ")/" and url_key("http://[bad") == "http://[bad"

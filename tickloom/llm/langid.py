@@ -32,6 +32,7 @@ from .common import chunks, table, utf8
 SLOTS = 4096
 CUTS = tuple(4**i for i in range(2, 9))  # bytes
 QUANTILE, SHARE, FEWEST = 0.01, 0.75, 100
+FEW_LANGS = 10_000
 FOLD = np.full(256, 32, np.uint8)
 FOLD[65:91] = FOLD[97:123] = np.arange(97, 123)
 FOLD[128:] = np.arange(128, 256)
@@ -130,9 +131,10 @@ def fit(train: DataFrame, *, k: int = 4, sample_per_lang: int = 1000) -> tuple[l
     """(language of each centroid, centroids, idf, floors of each centroid's language) from rows of (doc_id, text, lang); doc_id only draws the sample."""
     df, n = document_frequencies(train)
     idf = np.log((1 + n) / (1 + df)).astype(np.float32)
-    seeded = F.abs(F.xxhash64(F.lit(11), "doc_id") % 1_000_000)
+    seeded = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 40)).cast("double")
     sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    part = train.join(F.broadcast(sizes), "lang").filter(seeded * F.col("n") < F.lit(sample_per_lang * 1_000_000))
+    few = sizes.limit(FEW_LANGS + 1).count() <= FEW_LANGS  # else Spark joins as it sees fit
+    part = train.join(F.broadcast(sizes) if few else sizes, "lang").filter(seeded * F.col("n") < F.lit(float(sample_per_lang << 40)))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"]).iloc[: 2 * sample_per_lang]
@@ -164,12 +166,23 @@ def has_letter(column: pa.Array) -> np.ndarray:
     return np.array(out, bool)
 
 
+def result_names(docs: DataFrame) -> list[str]:
+    """Names for the columns that ``tag`` adds; with more underscores where ``docs`` has them already."""
+    out, taken = [], {c.lower() for c in docs.columns}
+    for name in ("_lang_pred", "_score", "_rejected"):
+        while name in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
 def tag(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, list[list[tuple[float, float]]]], text_col: str = "text", *, reject_distance: float = 0.97) -> DataFrame:
-    """``docs`` with (lang_pred, score, rejected)."""
+    """``docs`` with (_lang_pred, _score, _rejected), by the names of ``result_names``."""
     langs, centroids, idf, low = model
+    results = result_names(docs)
     names, schema = docs.columns, docs.schema
     where = names.index(text_col)
-    full = T.StructType([*schema.fields, T.StructField("_lang_pred", T.StringType()), T.StructField("_score", T.DoubleType()), T.StructField("_rejected", T.BooleanType())])
+    full = T.StructType([*schema.fields, *(T.StructField(c, t) for c, t in zip(results, (T.StringType(), T.DoubleType(), T.BooleanType()), strict=True))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +196,7 @@ def tag(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray, list[li
             known = has_letter(texts) & bool(langs)
             cosine = np.where(known, np.clip(cosine, 0.0, 1.0), 0.0)
             pred = [langs[i] if ok else "und" for i, ok in zip(best, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(cosine), pa.array(~known | (1 - cosine > reject_distance) | (cosine < least))], [*names, "_lang_pred", "_score", "_rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(cosine), pa.array(~known | (1 - cosine > reject_distance) | (cosine < least))], [*names, *results])
 
     return docs.mapInArrow(run, full)
 
@@ -194,7 +207,7 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 def langid_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that aren't rejected, with all their columns."""
-    return tag(docs, fit(train_rows(docs))).filter(~F.col("_rejected")).select(*docs.columns)
+    return tag(docs, fit(train_rows(docs))).filter(~F.col(result_names(docs)[2])).select(*docs.columns)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

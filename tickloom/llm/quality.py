@@ -2,15 +2,15 @@
 
 Tokens are runs of letters, digits and non-ASCII bytes, or runs of other symbols; each falls into a slot by its hash.
 Random indexing: a slot has a sparse random index vector, and its word vector adds up the index vectors of the
-tokens around it (two to either side) over the training sample, scaled to length one, beside its own index vector. A text is
+tokens around it (two to either side) over all documents, scaled to length one, beside its own index vector. A text is
 pooled to the mean and the root mean square of its word vectors and a few figures about its tokens. A two-layer numpy network
 (tanh, then sigmoid) is trained on these; a temperature fitted on a part kept from training calibrates its probabilities.
 
-The model is fitted on a bounded sample: the about ``sample`` labelled training rows with the smallest seeded hashes of
+The network is fitted on a bounded sample: the about ``sample`` labelled training documents with the smallest seeded hashes of
 their id. Only texts and labels enter; the score of a text depends on the text alone.
 
 Defined results: a null text counts as empty; an empty text is scored as one without tokens; labels that are null or
-whose document is absent don't train; a document labelled twice trains twice; with labels of one class only, that
+whose document is absent don't train; a document trains once with each label it has, by the least of its texts; with labels of one class only, that
 class's share is every score; repeated rows get equal scores; an empty table gives an empty result; further columns
 are ignored, whatever their names.
 """
@@ -63,21 +63,21 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def neighbours(column: pa.Array, index: np.ndarray) -> np.ndarray:
-    """The sums of the index vectors around each slot's tokens."""
-    data, offsets = utf8(column)
-    out = np.zeros((SLOTS, DIMS))
-    for a, b in chunks(offsets, 1 << 19):
-        slot, _, _, ends = tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-        doc = np.repeat(np.arange(b - a), np.diff(ends))
-        around = np.zeros((len(slot), DIMS), np.float32)
-        for k in (1, 2):
-            same = (doc[k:] == doc[:-k])[:, None]
-            around[k:] += index[slot[:-k]] * same
-            around[:-k] += index[slot[k:]] * same
-        for d in range(DIMS):
-            out[:, d] += np.bincount(slot, weights=around[:, d], minlength=SLOTS)
-    return out
+def neighbours(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, total: np.ndarray) -> None:
+    """Add to ``total``, for each slot, the index vectors around its tokens in some texts. Equal pairs of slots are counted first."""
+    slot, _, _, ends = tokens(data, offsets)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(ends))
+    pairs = np.concatenate([(slot[:-k] << SLOT_BITS | slot[k:])[doc[k:] == doc[:-k]].astype(np.uint32) for k in (1, 2) if len(slot) > k] or [np.zeros(0, np.uint32)])
+    pairs = np.sort(pairs)
+    cut = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])) if len(pairs) else np.zeros(0, np.int64)
+    n = np.diff(np.append(cut, len(pairs)))
+    a, b = (pairs[cut] >> SLOT_BITS).astype(np.int64), (pairs[cut] & (SLOTS - 1)).astype(np.int64)
+    for own, other in ((a, b), (b, a)):
+        order = np.argsort(own, kind="stable") if own is b else slice(None)
+        own, around = own[order], index[other[order]] * n[order, None]
+        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        if len(first):
+            total[own[first]] += np.add.reduceat(around, first)
 
 
 def word_vectors(context: np.ndarray, index: np.ndarray) -> np.ndarray:
@@ -167,26 +167,37 @@ def train(x: np.ndarray, y: np.ndarray, *, hidden: int = 32, epochs: int = 30, r
     return net
 
 
+def contexts(docs: DataFrame, index: np.ndarray) -> np.ndarray:
+    """The sums of the index vectors around each slot's tokens, over all documents: SLOTS rows for the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SLOTS, DIMS))
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for a, b in chunks(offsets, 1 << 22):
+                neighbours(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], index, total)
+        own = np.flatnonzero(total.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x) for x in total[own].T)], ["slot", *dims])
+
+    dims, out = [f"d{k}" for k in range(DIMS)], np.zeros((SLOTS, DIMS))
+    sums = docs.select("text").mapInArrow(run, ", ".join(["slot long", *(f"{d} double" for d in dims)]))
+    for slot, *x in sums.groupBy("slot").agg(*(F.sum(d) for d in dims)).collect():
+        out[slot] = x
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sample: int = 12_000) -> tuple[np.ndarray, Network]:
     """(word vectors, network). The sampled labels are at most about ``sample`` rows, which bounds their broadcast, and so is
     what the driver gets."""
-    rows = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col(label_col).cast("int").alias("_label"))
+    rows = labels.filter(F.col(label_col).isNotNull() & ~held_out(F.col("doc_id"), 5, 0)).select("doc_id", F.col(label_col).cast("int").alias("_label")).distinct()
     n = max(1, rows.count())
-    part = rows.filter(F.abs(F.xxhash64(F.lit(SEED), "doc_id") % 1_000_000) < int(1_000_000 * min(1.0, sample / n)))
+    part = rows.filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 40)).cast("double") * n < float(sample << 40))
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    part = materialise(text.join(F.broadcast(part), "doc_id").repartition(6, F.xxhash64("doc_id", "text")), "quality-sample")
+    ids = part.select("doc_id").distinct()
+    part = text.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(part), "doc_id")
+    part = materialise(part.repartition(6), "quality-sample")
     index = index_vectors()
-
-    def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((SLOTS, DIMS))
-        for batch in batches:
-            total += neighbours(batch.column(0), index)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], ["sums"])
-
-    context = np.zeros((SLOTS, DIMS))
-    for (sums,) in part.select("text").mapInArrow(around, "sums binary").collect():
-        context += np.frombuffer(sums, np.float32).reshape(SLOTS, DIMS)
-    vectors = word_vectors(context, index)
+    vectors = word_vectors(contexts(text, index), index)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

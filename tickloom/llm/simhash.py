@@ -1,32 +1,39 @@
 """SimHash near-deduplication by tiled exact comparison.
 
-A text gets a 64-bit fingerprint of its word shingles: a bit is 1 if it is set in over half of the shingles' XXH64
-values. Fingerprints that differ in at most ``radius`` bits are linked; a component is what links reach.
+A text gets a fingerprint of its word shingles: a bit is 1 if it is set in over half of the shingles' hashes. Fingerprints that
+differ in at most ``radius`` bits are linked; a component is what links reach.
 
 Equal fingerprints collapse to one class first, so copies never meet as pairs. Classes are packed into tiles, each
 of one population count, in the order of the population counts of their four 16-bit blocks. Two fingerprints differ in
 at least as many bits as their population counts do, so only tile pairs whose counts differ by ``radius`` or less
-are joined, and within a pair only those runs of 128 whose block counts come near enough. There, numpy takes
-the exclusive or and the bit count of all pairs: the comparison is exact and has no cap. A tile pair returns a spanning
-forest of its links, not the links. Components come from min-label propagation with pointer jumping over the
-forests, each round written to the shared folder.
+are paired, by number; the tiles' bytes are attached afterwards. Within a pair only those runs of 128 whose block counts come near
+enough are compared. There, numpy takes the exclusive or and the bit count of all pairs: the comparison is exact and has no cap. A tile pair
+returns a spanning forest of its links, not the links. Components come from min-label propagation with pointer jumping over the
+forests, each round written to the shared folder, until no label moves.
 
 The comparison is quadratic in the number of distinct fingerprints; the tests of counts leave out most of it.
 
+The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its fingerprints have 128 bits: at
+0.8, about 19 of them differ, with a deviation of 4; candidates are pairs that differ in 36 at most, and in 20 at most of the first
+64, by which tiles are compared. Each candidate's similarity is computed from the whole sets. Tile pairs first give forests of
+candidates; where these fall apart because a link isn't similar enough, all candidate pairs between the parts are compared.
+
 Defined results: null and empty texts and texts without words have fingerprint zero, linked like any other; the
 component's id is the smallest id that isn't null; repeated rows give repeated results; an empty table gives an
-empty result; further columns are ignored, whatever their names.
+empty result; further columns are ignored, whatever their names. The stage keeps one row of each component: of those with the smallest id
+(null last) the first; texts without words are one component.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
+from xxhash import xxh3_128_digest, xxh64_intdigest
 
 from .common import materialise, shuffle_partitions, table
 
@@ -65,11 +72,12 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 4, se
 
 def blocks(fps: np.ndarray) -> np.ndarray:
     """Population counts of the four 16-bit blocks."""
-    return np.bitwise_count(fps.view(np.uint16).reshape(-1, 4)).astype(np.int16)
+    return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
-def tiles(classes: DataFrame, most: int) -> DataFrame:
-    """(tile, pop, fps): tiles of up to ``most`` fingerprints of one population count."""
+def tiles(classes: DataFrame, fps: list[str], most: int) -> DataFrame:
+    """(tile, pop, nodes, fps): tiles of up to ``most`` classes (node long, the words of a fingerprint) of one population count of the
+    first word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -79,35 +87,59 @@ def tiles(classes: DataFrame, most: int) -> DataFrame:
         def out() -> Iterator[pa.RecordBatch]:
             nonlocal k, held
             if held:
-                fps = np.concatenate(held)
-                for at in range(0, len(fps), most):
-                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([pop], pa.int32()), pa.array([fps[at : at + most].tobytes()], pa.binary())], ["tile", "pop", "fps"])
+                own = np.concatenate(held)
+                for at in range(0, len(own), most):
+                    x = own[at : at + most]
+                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([pop], pa.int32()), *(pa.array([np.ascontiguousarray(y).tobytes()], pa.binary()) for y in (x[:, 0], x[:, 1:]))], ["tile", "pop", "nodes", "fps"])
                     k += 1
             held = []
 
         for batch in batches:
-            pops, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
+            pops, rows = batch.column(0).to_numpy(), np.stack([c.to_numpy().view(np.uint64) for c in batch.columns[1:]], axis=1)
             for x in np.unique(pops):
                 if x != pop or sum(map(len, held)) >= most:
                     yield from out()
                     pop = int(x)
-                held.append(fps[pops == x])
+                held.append(rows[pops == x])
         yield from out()
 
-    sorted_ = classes.select(F.bit_count("fp").cast("int").alias("pop"), "fp", *[F.bit_count(F.expr(f"shiftrightunsigned(fp, {s}) & 65535")).alias(f"b{s}") for s in (0, 16, 32, 48)])
+    first = fps[0]
+    sorted_ = classes.select(F.bit_count(first).cast("int").alias("pop"), "node", *fps, *[F.bit_count(F.expr(f"shiftrightunsigned({first}, {s}) & 65535")).alias(f"b{s}") for s in (0, 16, 32, 48)])
     # by population count and fingerprint: a range boundary may split a count, so no count is too much for a task
-    parts = max(6, classes.count() // most)
-    spread = sorted_.repartitionByRange(parts, "pop", "b0", "b16", "b32", "fp").sortWithinPartitions("pop", "b0", "b16", "b32", "fp")
-    return spread.select("pop", "fp").mapInArrow(run, "tile long, pop int, fps binary")
-
-
-def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles (or within one), as pairs of fingerprints."""
-    n, fps = len(a), a if same else np.concatenate((a, b))
-    base, parent = 0 if same else n, np.arange(len(fps))
-    ba, bb = blocks(a), blocks(b)
-    starts = np.arange(0, len(b), RUN)
-    low, high = np.minimum.reduceat(bb, starts), np.maximum.reduceat(bb, starts)
+    parts, by = max(6, classes.count() // most), ["pop", "b0", "b16", "b32", first, "node"]
+    spread = sorted_.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    return spread.select("pop", "node", *fps).mapInArrow(run, "tile long, pop int, nodes binary, fps binary")
+
+
+def near(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs (i, j) of fingerprints (rows of words) that differ in at most ``radius`` bits of the first word and ``total`` in all."""
+    ba, bb, starts = blocks(a[:, 0]), blocks(b[:, 0]), np.arange(0, len(b), RUN)
+    low, high, first = np.minimum.reduceat(bb, starts), np.maximum.reduceat(bb, starts), np.ascontiguousarray(b[:, 0])
+    for at in range(0, len(a), RUN):
+        x = a[at : at + RUN]
+        lo, hi = ba[at : at + RUN].min(0), ba[at : at + RUN].max(0)
+        may = np.maximum(0, np.maximum(low - hi, lo - high)).sum(1) <= radius
+        if same:
+            may &= starts + RUN > at
+        runs = np.flatnonzero(may)
+        for part in range(0, len(runs), 64):
+            cols = (starts[runs[part : part + 64], None] + np.arange(RUN)).ravel()
+            cols = cols[cols < len(b)]
+            i, j = np.nonzero(np.bitwise_count(x[:, 0, None] ^ first[cols]) <= radius)
+            j = cols[j]
+            if same:
+                i, j = i[j > i + at], j[j > i + at]
+            if a.shape[1] > 1:
+                keep = np.bitwise_count(x[i] ^ b[j]).sum(1, dtype=np.int64) <= total
+                i, j = i[keep], j[keep]
+            if len(i):
+                yield i + at, j
+
+
+def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tiles (or within one), as places in them."""
+    n = len(a)
+    base, parent = 0 if same else n, np.arange(n if same else n + len(b))
     left: list[int] = []
     right: list[int] = []
 
@@ -118,58 +150,57 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.nd
         parent[x] = up
         return up
 
-    for at in range(0, n, RUN):
-        x = a[at : at + RUN]
-        lo, hi = ba[at : at + RUN].min(0), ba[at : at + RUN].max(0)
-        near = np.maximum(0, np.maximum(low - hi, lo - high)).sum(1) <= radius
-        if same:
-            near &= starts + RUN > at
-        runs = np.flatnonzero(near)
-        for part in range(0, len(runs), 64):
-            cols = (starts[runs[part : part + 64], None] + np.arange(RUN)).ravel()
-            cols = cols[cols < len(b)]
-            hits = np.bitwise_count(x[:, None] ^ b[cols]) <= radius
-            for i in np.flatnonzero(hits.any(1)):
-                to = cols[hits[i]] + base
-                to = to[to > at + i]
-                if not len(to):
-                    continue
-                mine = roots(np.array([at + i]))[0]
-                others, which = np.unique(roots(to), return_index=True)
-                new = others != mine
-                if new.any():
-                    left += [at + int(i)] * int(new.sum())
-                    right += to[which[new]].tolist()
-                    parent[others] = mine
-    return fps[left], fps[right]
-
-
-def links(classes: DataFrame, radius: int, tile_size: int) -> DataFrame:
-    """(a, b): a spanning forest for each tile pair, over fingerprints as signed longs."""
-    spark = classes.sparkSession
-    tiled = materialise(tiles(classes, tile_size), "simhash-tiles")
-    # a pair of counts meets once: the tile with the smaller count, or tile number, is the left one
-    left = tiled.select(F.col("tile").alias("ta"), F.col("fps").alias("fa"), F.explode(F.expr(f"sequence(pop, least(64, pop + {radius}))")).alias("pop"), F.col("pop").alias("pa"))
-    right = tiled.select(F.col("tile").alias("tb"), F.col("fps").alias("fb"), "pop")
-    pairs = left.join(right, "pop").filter((F.col("pa") < F.col("pop")) | (F.col("ta") <= F.col("tb")))
+    for rows, cols in near(a, b, same, radius, total):
+        begin = np.flatnonzero(np.diff(rows, prepend=-1))
+        for x, y in zip(begin, np.append(begin[1:], len(rows)), strict=True):
+            mine = roots(rows[x : x + 1])[0]
+            others, which = np.unique(roots(cols[x:y] + base), return_index=True)
+            new = others != mine
+            left += [int(rows[x])] * int(new.sum())
+            right += cols[x:y][which[new]].tolist()
+            parent[others] = mine
+    return np.array(left, np.int64), np.array(right, np.int64)
+
+
+def tile_pairs(tiled: DataFrame, radius: int, salts: int = 8) -> DataFrame:
+    """(same, na, fa, nb, fb): each two tiles whose population counts come near enough, once. Numbers are paired first, a hot count in
+    ``salts`` parts; a pair of counts meets once, with the smaller count, or tile number, on the left."""
+    left = tiled.select(F.col("tile").alias("ta"), F.pmod("tile", F.lit(salts)).alias("salt"), F.explode(F.expr(f"sequence(pop, least(64, pop + {radius}))")).alias("pop"), F.col("pop").alias("pa"))
+    right = tiled.select(F.col("tile").alias("tb"), "pop", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
+    pairs = left.join(right, ["pop", "salt"]).filter((F.col("pa") < F.col("pop")) | (F.col("ta") <= F.col("tb"))).select("ta", "tb")
+    bytes_of = lambda x: tiled.select(F.col("tile").alias(f"t{x}"), F.col("nodes").alias(f"n{x}"), F.col("fps").alias(f"f{x}"))
+    both = pairs.join(bytes_of("a"), "ta").join(bytes_of("b"), "tb")
+    spread = both.repartition(4 * shuffle_partitions(tiled.sparkSession), "ta", "tb")
+    return spread.select((F.col("ta") == F.col("tb")).alias("same"), "na", "fa", "nb", "fb")
+
+
+def pairs_of(tiled: DataFrame, words: int, radius: int, found: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
+    """(a, b): what ``found`` gives for each pair of tiles, from their fingerprints and whether they are the same, as nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                a, b = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (1, 3))
-                x, y = forest(a, b, batch.column(0)[k] == batch.column(2)[k], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(v).view(np.int64)) for v in (x, y)], ["a", "b"])
+                same, na, fa, nb, fb = (c[k] for c in batch.columns)
+                a, b = (np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, words) for x in (fa, fb))
+                na, nb = (np.frombuffer(x.as_buffer(), np.int64) for x in (na, nb))
+                for i, j in found(a, b, same.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], ["a", "b"])
+
+    return tile_pairs(tiled, radius).mapInArrow(run, "a long, b long")
 
-    spread = pairs.select("ta", "fa", "tb", "fb").repartition(4 * shuffle_partitions(spark), "ta", "tb")
-    return spread.mapInArrow(run, "a long, b long")
 
+def links(classes: DataFrame, fps: list[str], radius: int, total: int, tile_size: int) -> DataFrame:
+    """(a, b): a spanning forest for each tile pair, over nodes."""
+    tiled = materialise(tiles(classes, fps, tile_size), "simhash-tiles")
+    return pairs_of(tiled, len(fps), radius, lambda a, b, same: iter([forest(a, b, same, radius, total)]))
 
-def components(edges: DataFrame, tag: str = "components", most_rounds: int = 64) -> DataFrame:
+
+def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node reached. Each round takes the least label
     around a node and then its label's label, and is written to the shared folder; rounds end when no label moves."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag)
     labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), tag)
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels, both["b"] == labels["node"]).select("a", "root").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         near = labels.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
@@ -177,14 +208,13 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 64)
         labels = new.select("node", "root")
         if new.filter("root != was").isEmpty():
             return labels
-    raise RuntimeError(f"components: no end after {most_rounds} rounds")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, seed: int = 42, radius: int = 4, tile_size: int = 65_536) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row."""
     fps = materialise(fingerprints(docs, id_col, text_col, words, seed), "simhash-fps")
     classes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
-    roots = components(links(classes, radius, tile_size), "simhash-components")
+    roots = components(links(classes.withColumn("node", F.col("fp")), ["fp"], radius, 64, tile_size), "simhash-components")
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "first", "root")
     lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = linked.join(lead, "root").select("fp", "component_id")
@@ -192,10 +222,97 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """The 128-bit hashes of the shingles, repeats included, as two numbers each."""
+    tokens = text.lower().split()
+    if not tokens:
+        return np.zeros((0, 2), np.uint64)
+    joined, ends = b" ".join(tokens), np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1)
+    most = min(words, len(tokens))
+    starts = np.concatenate(([0], ends[:-most])).tolist()
+    return np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in zip(starts, (ends[most - 1 :] - 1).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """128 bits of the shingles' hashes."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(h), 16_384):
+        ones += np.unpackbits(np.ascontiguousarray(h[at : at + 16_384]).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, compared whole."""
+    up, down = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                if min(len(x), len(y)) * down >= max(len(x), len(y)) * up:
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    hit[i] = down * both >= up * (len(x) + len(y) - both)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit))
+
+    left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "sa"), ("b", "sb")))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 20, total: int = 36, tile_size: int = 65_536) -> DataFrame:
+    """(row, id, component) of rows (row, id, text): ``component`` is the same for texts that links of similar sets of shingles connect."""
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for t in batch.column(2).cast(pa.binary()):
+                h = shingle_hashes(t.as_py() or b"", words)
+                fp = wide_fingerprint(h).view(np.int64)
+                for x, y in zip(out, (xxh3_128_digest(np.unique(h[:, 0]).tobytes()), int(fp[0]), int(fp[1])), strict=True):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["row", "id", "key", "f0", "f1"])
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = [np.unique(shingle_hashes(t.as_py() or b"", words)[:, 0]).tobytes() for t in part.column(1).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
+
+    fps = materialise(rows.select("row", "id", "text").mapInArrow(marked, "row long, id long, key binary, f0 long, f1 long"), "near-rows")
+    classes = fps.groupBy("key").agg(F.min("row").alias("node"), F.min("f0").alias("f0"), F.min("f1").alias("f1"))
+    classes = materialise(classes, "near-classes")
+    tiled = materialise(tiles(classes, ["f0", "f1"], tile_size), "near-tiles")
+    first = materialise(pairs_of(tiled, 2, radius, lambda a, b, same: iter([forest(a, b, same, radius, total)])), "near-candidates")
+    # the whole sets of the classes that have candidates, from the row that each class is named after
+    nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
+    texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
+    sets = materialise(texts.select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "near-sets")
+    linked = materialise(similar(first, sets, similarity), "near-links")
+    # what candidates connect and links don't: all candidate pairs between such parts
+    around, roots = components(first, "near-around"), components(linked, "near-roots")
+    parts = around.withColumnRenamed("root", "around").join(roots, "node", "left").select("node", "around", F.coalesce("root", "node").alias("root"))
+    apart = parts.groupBy("around").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("around")
+    some = materialise(parts.join(apart, "around").join(classes.select("node", "f0", "f1"), "node").select("node", "f0", "f1", "root"), "near-parts")
+    again = materialise(tiles(some.select("node", "f0", "f1"), ["f0", "f1"], tile_size), "near-tiles")
+    more = pairs_of(again, 2, radius, lambda a, b, same: near(a, b, same, radius, total))
+    own = lambda x: some.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    more = more.join(own("a"), "a").join(own("b"), "b").filter("root_a != root_b").select("a", "b").join(first, ["a", "b"], "left_anti")
+    more = materialise(similar(materialise(more, "near-candidates"), sets, similarity), "near-links")
+    roots = components(linked.union(more), "near-components")
+    of = classes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
+    return fps.join(of, "key").select("row", "id", "component")
+
+
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The row with the smallest doc_id of each component, with all its columns."""
-    leads = simhash_components(docs).select("component_id").distinct()
-    return docs.join(leads, docs["doc_id"].eqNullSafe(leads["component_id"]), "left_semi").select(*docs.columns)
+    """One row of each component, with all its columns."""
+    row = f"row_{uuid.uuid4().hex}"
+    tagged = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
+    found = similar_components(tagged.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")))
+    found = materialise(found, "near-components")
+    least = found.groupBy("component").agg(F.min("id").alias("least"))
+    leads = found.join(least, "component").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("row").alias(row)).select(row)
+    return tagged.join(leads, row, "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

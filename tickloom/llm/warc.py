@@ -5,10 +5,12 @@ Writing: of records with equal payloads, that with the smallest id is a response
 members, one a record, to the shared folder under names of its own and reports them in a manifest table; a retried task
 writes new ones, and only those in the manifest are read.
 
-Reading: a task streams the archives it is given, checks each response's payload against its digest, and returns the
-captures of each archive as a run, sorted by URL key, timestamp and id. The runs are an external merge: sorted runs in the
-shared folder, cut into key ranges; the owner of a range merges its parts of the runs with a loser tree, so
-that all ranges together are the captures in global order. A URL with many captures spans ranges by its timestamps.
+Reading: a task streams the archives it is given, checks each response's payload against its digest, and sorts the captures of
+each archive by URL key, timestamp and id. That is a run: it is cut at the bounds of key ranges (from a sample of keys, which only
+balances them) and written to the shared folder in blocks of up to 1024 captures. The owner of a range gets its blocks in the order of
+their first captures, without sorting captures again, and merges them as they come: a loser tree over the runs gives out what is
+before the next block's first capture. So a range is never held whole, and all ranges together are the captures in global
+order. A URL with many captures spans ranges by its timestamps.
 
 Defined results: a null payload counts as empty; a null url has the key ""; a null id takes part in nothing but its own
 record: it is response only if no record with an id has its payload, else revisits; rows that repeat the smallest id are all
@@ -19,6 +21,7 @@ whatever their names.
 from __future__ import annotations
 
 import base64
+import bisect
 import gzip
 import hashlib
 import uuid
@@ -139,35 +142,52 @@ def write_archives(pages: DataFrame, *, min_bytes: int = 0, archive_bytes: int =
     return materialise(rows.select("id", "url", "ts", "payload", "digest", "first", "revisit").mapInArrow(run, "archive string, records long"), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame) -> DataFrame:
-    """Captures of all archives: a run for each archive, in the order of (url_key, ts, id)."""
-    spark = manifest.sparkSession
+def captures(archive: str) -> list[tuple]:
+    """The captures of an archive in the order of (url_key, ts, id): a run."""
+    fs, path = file_system(archive)
+    found = []
+    with fs.open_input_stream(path, compression=None) as stream:
+        for position, length, data in members(stream):
+            warc, http, payload = parse(data)
+            kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:")
+            if kind == "response" and (digest32(payload) != digest or len(payload) != int(http["Content-Length"])):
+                raise ValueError(f"{archive}: the payload at {position} isn't that of its digest")
+            url = warc["WARC-Target-URI"]
+            refers = page_of(warc["WARC-Refers-To"]) if kind == "revisit" else None
+            found.append((url_key(url), warc["WARC-Date"], page_of(warc["WARC-Record-ID"]), url, int(http["Content-Length"]), digest, kind, refers, archive, position, length))
+    return sorted(found, key=order)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(CAPTURE_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CAPTURE_TYPES, strict=True)], CAPTURE_NAMES)
+
+
+def read_archives(manifest: DataFrame, bounds: list[tuple[str, str]] = []) -> DataFrame:  # noqa: B006
+    """(range, url_key, ts, id, archive, position, block): the runs of all archives, cut at ``bounds`` (url_key, ts) and into blocks, with
+    each block's first capture."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for archive in batch.column(0).to_pylist():
-                fs, path = file_system(archive)
-                found = []
-                with fs.open_input_stream(path, compression=None) as stream:
-                    for position, length, data in members(stream):
-                        warc, http, payload = parse(data)
-                        kind, digest = warc["WARC-Type"], warc["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if kind == "response" and (digest32(payload) != digest or len(payload) != int(http["Content-Length"])):
-                            raise ValueError(f"{archive}: the payload at {position} isn't that of its digest")
-                        url = warc["WARC-Target-URI"]
-                        refers = page_of(warc["WARC-Refers-To"]) if kind == "revisit" else None
-                        found.append((url_key(url), warc["WARC-Date"], page_of(warc["WARC-Record-ID"]), url, int(http["Content-Length"]), digest, kind, refers, archive, position, length))
-                found.sort(key=order)
-                for k in range(0, len(found), 4096):
-                    columns = zip(*found[k : k + 4096], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, CAPTURE_TYPES, strict=True)], CAPTURE_NAMES)
-
-    n = max(shuffle_partitions(spark), 1)
-    return manifest.repartition(n, "archive").mapInArrow(run, CAPTURE)
+                found = captures(archive)
+                cuts = [0, *(bisect.bisect_left(found, x, key=lambda c: c[:2]) for x in bounds), len(found)]
+                for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    for at in range(x, y, BLOCK):
+                        rows = found[at : min(at + BLOCK, y)]
+                        first = rows[0]
+                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((k, *first[:3], *first[8:10], batch_of(rows).serialize().to_pybytes()), BLOCK_TYPES, strict=True)], BLOCK_NAMES)
+
+    n = max(shuffle_partitions(manifest.sparkSession), 1)
+    return manifest.repartition(n, "archive").mapInArrow(run, "range int, url_key string, ts string, id long, archive string, position long, block binary")
 
 
+BLOCK = 1024
+BLOCK_NAMES = ["range", "url_key", "ts", "id", "archive", "position", "block"]
+BLOCK_TYPES = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary()]
 CAPTURE_NAMES = [x.split()[0] for x in CAPTURE.split(", ")]
 CAPTURE_TYPES = [pa.string() if x.endswith("string") else pa.int64() for x in CAPTURE.split(", ")]
+CAPTURE_SCHEMA = pa.schema(list(zip(CAPTURE_NAMES, CAPTURE_TYPES, strict=True)))
 
 
 def order(capture: tuple) -> tuple:
@@ -208,42 +228,76 @@ class LoserTree:
             self._play(winner)
 
 
-def merge(runs: DataFrame) -> DataFrame:
+def merged(blocks: Iterator[tuple[tuple, str, list[tuple]]]) -> Iterator[tuple]:
+    """The captures of blocks (order of the first capture, run, captures), which come in that order. What is before a block is given out as
+    soon as the captures held are twice those that had to stay the last time: about a block a run."""
+    open_: dict[str, list[tuple]] = {}
+    held = stayed = 0
+
+    def before(limit: tuple | None) -> Iterator[tuple]:
+        """What is before ``limit``; the rest stays open."""
+        taken = dict.fromkeys(open_, 0)
+        for capture in LoserTree([iter(x) for x in open_.values()]):
+            if limit is not None and order(capture) >= limit:
+                break
+            taken[capture[8]] += 1
+            yield capture
+        for run, n in taken.items():
+            if n == len(open_[run]):
+                del open_[run]
+            elif n:
+                open_[run] = open_[run][n:]
+
+    for first, run, rows in blocks:
+        if held >= 2 * stayed + 4 * BLOCK:
+            yield from before(first)
+            held = stayed = sum(map(len, open_.values()))
+        open_.setdefault(run, []).extend(rows)
+        held += len(rows)
+    yield from before(None)
+
+
+def merge(runs: DataFrame, ranges: int) -> DataFrame:
     """Captures in the order of (url_key, ts, id) over the partitions of the result."""
-    spark = runs.sparkSession
-    # a range's rows of a run come in the run's order: sorted by run and position in it
-    ranged = runs.repartitionByRange(shuffle_partitions(spark), "url_key", "ts", F.col("id").asc_nulls_first(), "archive", "position")
-    ranged = ranged.sortWithinPartitions("archive", "url_key", "ts", F.col("id").asc_nulls_first(), "position")
+    first = ["url_key", "ts", F.col("id").asc_nulls_first(), "archive", "position"]
+    ranged = runs.repartitionByRange(ranges, "range").sortWithinPartitions("range", *first)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts.setdefault(row[8], []).append(row)
-        out = []
-
-        def send() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CAPTURE_TYPES, strict=True)], CAPTURE_NAMES)
+        def blocks() -> Iterator[tuple[tuple, str, list[tuple]]]:
+            for batch in batches:
+                for k in range(batch.num_rows):
+                    own = pa.ipc.read_record_batch(batch.column(6)[k].as_buffer(), CAPTURE_SCHEMA)
+                    rows = list(zip(*(c.to_pylist() for c in own.columns), strict=True))
+                    yield order(rows[0]), rows[0][8], rows
 
-        for row in LoserTree([iter(p) for p in parts.values()]):
+        out = []
+        for row in merged(blocks()):
             out.append(row)
             if len(out) == 4096:
-                yield send()
+                yield batch_of(out)
                 out = []
-        if out:
-            yield send()
+        yield batch_of(out)
 
     return ranged.mapInArrow(run, CAPTURE)
 
 
+def key_bounds(rows: DataFrame, n: int, ranges: int, per_range: int = 64) -> list[tuple[str, str]]:
+    """(url_key, ts) between ``ranges`` ranges, from a sample of about ``per_range`` keys each; n: the number of rows."""
+    sample = rows.select("url", "ts").sample(min(1.0, per_range * ranges / max(1, n)), seed=3).limit(2 * per_range * ranges).collect()
+    keys = sorted((url_key(" ".join((r.url or "").split())), r.ts) for r in sample)
+    return sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)} if keys else set())
+
+
 def capture_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", ts_col: str | None = None, *, min_bytes: int = 0, archive_bytes: int = 64 << 20) -> DataFrame:
     """Write archives of all rows, read them back, and return the merged captures."""
     base = EPOCH.strftime("%Y-%m-%dT%H:%M:%SZ")
     made = F.concat(F.date_format(F.timestamp_seconds(F.lit(int(EPOCH.timestamp())) + F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     ts = made if ts_col is None else F.coalesce(F.date_format(F.col(ts_col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(base))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), ts.alias("ts"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
-    runs = materialise(read_archives(write_archives(rows, min_bytes=min_bytes, archive_bytes=archive_bytes)), "warc-runs")
-    return merge(runs)
+    manifest, ranges = write_archives(rows, min_bytes=min_bytes, archive_bytes=archive_bytes), shuffle_partitions(pages.sparkSession)
+    n = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
+    bounds = key_bounds(rows, n, ranges)
+    return merge(materialise(read_archives(manifest, bounds), "warc-runs"), ranges)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
