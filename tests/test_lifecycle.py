@@ -62,6 +62,55 @@ def test_a_batch_is_added_once(spark, tmp_path):
     assert store.points().count() == 2
 
 
+def test_batches_are_numbered_by_stream(spark, tmp_path):
+    job = Ingest(Store(spark, str(tmp_path)))
+    lines = lambda *v: spark.createDataFrame([(x, k) for k, x in enumerate(v)], "value string, seq long")
+    job.batch(lines(f"put m {T0 + 1} 1"), 5, stream="a")
+    job.batch(lines(f"put m {T0 + 2} 2", f"put m {T0 + 3} 3"), 0, stream="b")  # a fresh checkpoint
+    job.batch(lines(f"put m {T0 + 2} 2", f"put m {T0 + 3} 3"), 0, stream="b")  # a retry
+    job.batch(lines(f"put m {T0 + 4} 4"), 40_000, stream="a")
+    job.batch(lines(None, "", "bad"), 1, stream="b")
+    assert job.totals == {"accepted": 4, "delayed": 0, "invalid": 2} and job.store.points().count() == 4
+
+
+def test_a_later_write_wins(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    one = points(spark, 1, start=9)
+    store.add_series(one)
+    store.append(one)
+    store.append(points(spark, 1, 1, start=0))
+    for _ in range(2):
+        assert [r.val for r in select.query(store.series(), store.points(), Query("m"), T0, T0 + 1).collect()] == [1.0]
+        store.seal_all()
+
+
+def data_folders(path):
+    return sorted(p.parent.name for p in path.glob("data/chunk_start=*/name=*"))
+
+
+def test_files_go_with_their_chunks(spark, tmp_path):
+    store = Store(spark, str(tmp_path), grace=0)
+    for k in range(3):
+        store.append(points(spark, 1, H2 + 1, start=10 * k))
+    assert len(data_folders(tmp_path)) == 6
+    store.maintain(T0 + H2 + 900)  # seals the first chunk
+    assert data_folders(tmp_path) == [f"chunk_start={T0}"] + [f"chunk_start={T0 + H2}"] * 3 and store.points().count() == 6
+    store.maintain(T0 + H2 + 21600)
+    assert data_folders(tmp_path) == [f"chunk_start={T0 + H2}"] and store.points().count() == 3
+    kept = Store(spark, str(tmp_path / "b"), grace=3600)
+    kept.append(points(spark, 1))
+    kept.drop([T0])
+    assert len(data_folders(tmp_path / "b")) == 1 and kept.points().count() == 0
+
+
+def test_one_scan_and_few_registries(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    for k in range(lifecycle.KEEP + 3):
+        store.append(points(spark, 1, start=k))
+    plan = store.points()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Union" not in plan and len(list((tmp_path / "registry").glob("0*"))) <= lifecycle.KEEP + 1
+
+
 def test_streaming_files(spark, tmp_path):
     lines = tmp_path / "in"
     lines.mkdir()
@@ -74,7 +123,27 @@ def test_streaming_files(spark, tmp_path):
     job.start(stream(), str(tmp_path / "cp"), clock=lambda: T0 + H2 + 900).awaitTermination()
     assert job.totals == {"accepted": 4, "delayed": 1, "invalid": 1}
     rows = select.query(job.store.series(), job.store.points(), Query("m"), T0, T0 + H2).collect()
-    assert {r.metric: [(p.ts - T0, p.val) for p in r.points] for r in rows} == {"m host=a": [(1, 2.0)], "m host=b": [(H2, 3.0), (H2 + 1, 4.0)]}
+    assert sorted((r.metric, r.ts - T0, r.val) for r in rows) == [("m host=a", 1, 2.0), ("m host=b", H2, 3.0), ("m host=b", H2 + 1, 4.0)]
+    job.start(stream(), str(tmp_path / "new"), clock=lambda: T0 + H2 + 900).awaitTermination()  # reads all again, as another stream
+    assert job.totals == {"accepted": 6, "delayed": 4, "invalid": 2}
+
+
+def test_text_order_is_by_file(spark, tmp_path):
+    (tmp_path / "b big.txt").write_text("".join(f"put m {T0} {k}\n" for k in range(2000)))
+    (tmp_path / "a.txt").write_text(f"put m {T0} -1\n")
+    (tmp_path / "c.txt").write_text(f"put m {T0} 5\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        rows = TextSource(str(tmp_path)).load(spark)
+        assert [r.val for r in rows.orderBy("seq").collect()] == [-1.0, *map(float, range(2000)), 5.0]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_kafka_order(spark):
+    raw = spark.createDataFrame([(bytearray(encode(["x", "y"])), p, o) for p in (0, 7) for o in (3, 10**15)] + [(bytearray(b"junk"), 0, 4)], "value binary, partition int, offset long")
+    rows = KafkaSource("t", "b:1")._decoded(raw).orderBy("seq").collect()
+    assert len({r.seq for r in rows}) == 9 and [r.value for r in rows] == ["x", "x", "y", "y", None, "x", "x", "y", "y"]
 
 
 def test_text_sources(spark, tmp_path):
@@ -86,7 +155,8 @@ def test_text_sources(spark, tmp_path):
 def test_messages(spark):
     good = encode(["put m 1 2", "put m 2 3"], host="h")
     assert decode(good) == {"messages": ["put m 1 2", "put m 2 3"], "host": "h", "filename": None}
-    for bad in (None, b"", b"xyz", good[:-3], b"\0"):
+    nested = b"\x0c\0\x09" * 5000 + b"\0" * 5001
+    for bad in (None, b"", b"xyz", good[:-3], b"\0", nested):
         assert decode(bad) is None
     rows = spark.createDataFrame([(bytearray(good),), (bytearray(b"junk"),), (None,)], "value binary").select(decode_messages("value").messages.alias("m")).collect()
     assert [r.m for r in rows] == [["put m 1 2", "put m 2 3"], None, None]

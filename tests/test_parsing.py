@@ -36,6 +36,11 @@ def test_good_lines(spark):
     assert rows[2].tags[0].value == "v=1" and rows[1].val != rows[1].val
 
 
+def test_white_space_at_the_ends_of_values(spark):
+    rows = parse_put(spark.createDataFrame([("put m 1 2\r",), ("put m 1 \t2\t a=1",), ("put m 1\r 2",)], "value string")).collect()
+    assert [(r.reject_reason, r.val) for r in rows] == [(None, 2.0), (None, 2.0), ("timestamp", None)]
+
+
 def test_null_lines_and_other_columns(spark):
     row = parse_put(spark.createDataFrame([(None, 5)], "value string, seq long")).first()
     assert row.reject_reason == "fields" and row.seq == 5

@@ -21,7 +21,10 @@ def store(spark):
 
 
 def got(df):
-    return {r.metric: [(p.ts, p.val) for p in r.points] for r in df.collect()}
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: (r.metric, r.ts or 0)):
+        out.setdefault(r.metric, []).extend([] if r.ts is None else [(r.ts, r.val)])
+    return out
 
 
 def test_chunks_join_and_the_last_point_wins(store):
@@ -46,6 +49,19 @@ def test_zimsum_counts_repeated_points_and_is_one_series(store):
     assert got(select.query(*store, Query("m"), 0, 1, QueryAggregation.ZIMSUM)) == {"zimsum m": []}
 
 
+def test_nested_rows_are_by_chunk(store):
+    rows = select.nested(select.dedup(select.points_of(store[1], Query("m", (TagMatcher.exact("host", "a"),))))).orderBy("chunk_start").collect()
+    assert [(r.chunk_start, [tuple(p) for p in r.points]) for r in rows] == [(T0, [(T0 + 1, 2.0)]), (T0 + H2, [(T0 + H2 + 5, 3.0)])]
+
+
+def test_an_unknown_key_with_a_known_mapping(spark):
+    from tickloom.functions.matching import matches
+
+    tags = {"host": F.lit("a1")}
+    row = spark.range(1).select(*[matches(m, tags).alias(str(k)) for k, m in enumerate((TagMatcher.exact("host", "a1"), TagMatcher.exact("no", "a1"), TagMatcher.wildcard("no", "*"), TagMatcher.wildcard("host", "a*"), TagMatcher.regexp("no", "a"), TagMatcher.literal_or("host", "b|a1")))]).first()
+    assert list(row) == [True, False, False, True, False, True]
+
+
 def test_a_chunk_as_written(store):
     rows = select.chunk_query(*store, Query("m", (TagMatcher.exact("host", "a"),)), T0).orderBy("seq").collect()
     assert [r.val for r in rows] == [1.0, 2.0]

@@ -1,4 +1,5 @@
-"""Tag filters as column expressions over ``metric`` and ``tags array<struct<key, value, raw>>``.
+"""Tag filters as column expressions over ``metric`` and ``tags``: array<struct<key, value, raw>>, or, where the keys are known, a mapping of
+each key to its value, which leaves plain tests of columns.
 
 Filters that name values look at every value of a key; patterns look at its first value in the order of the tags. The
 expressions are built-in functions only, so they stay in the scan's generated code.
@@ -6,6 +7,7 @@ expressions are built-in functions only, so they stay in the scan's generated co
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 from operator import and_
 
@@ -15,18 +17,27 @@ from pyspark.sql import functions as F
 from ..plans.model import MatchType, Query, TagMatcher
 
 
-def has_key(key: str, tags: Column | str = "tags") -> Column:
+Tags = Column | str | Mapping[str, Column]
+
+
+def has_key(key: str, tags: Tags = "tags") -> Column:
+    if isinstance(tags, Mapping):
+        return F.lit(key in tags)
     return F.exists(tags, lambda t: t["key"] == key)
 
 
-def first_value(key: str, tags: Column | str = "tags") -> Column:
+def first_value(key: str, tags: Tags = "tags") -> Column:
     """The first value of a key, null without one."""
+    if isinstance(tags, Mapping):
+        return tags.get(key, F.lit(None).cast("string"))
     return F.try_element_at(F.filter(tags, lambda t: t["key"] == key), F.lit(1))["value"]
 
 
-def any_of(key: str, values: list[str], tags: Column | str = "tags") -> Column:
+def any_of(key: str, values: list[str], tags: Tags = "tags") -> Column:
     if not values:
         return F.lit(False)
+    if isinstance(tags, Mapping):
+        return F.coalesce(tags[key].isin(values), F.lit(False)) if key in tags else F.lit(False)
     return F.exists(tags, lambda t: (t["key"] == key) & t["value"].isin(values))
 
 
@@ -57,7 +68,7 @@ def alternatives(pattern: str, ignore_case: bool) -> list[str]:
     return [p.lower() if ignore_case else p for p in pattern.split("|") if p]
 
 
-def matches(m: TagMatcher, tags: Column | str = "tags") -> Column:
+def matches(m: TagMatcher, tags: Tags = "tags") -> Column:
     """Whether the series has the key and its value matches; for an excluding type, whether it is among the excluded."""
     value = first_value(m.key, tags)
     match m.type:
@@ -76,7 +87,7 @@ def matches(m: TagMatcher, tags: Column | str = "tags") -> Column:
             return F.coalesce(value.rlike(m.pattern), F.lit(False))
 
 
-def selects(q: Query, metric: Column | str = "metric", tags: Column | str = "tags") -> Column:
+def selects(q: Query, metric: Column | str = "metric", tags: Tags = "tags") -> Column:
     """Which series a query selects.
 
     All including matchers must hold. With excluding matchers only, the series must have all their keys; beside

@@ -42,18 +42,19 @@ def series_id(full_name: Column) -> Column:
 def parse_put(lines: DataFrame, line: str = "value") -> DataFrame:
     """The lines with (metric, ts, val, tags, full_name, series_id, chunk_start, reject_reason); of a rejected line all but the reason are null.
 
-    Fields are split at single spaces; empty ones at the end don't count. Checks come in the order of name and tags, timestamp, value, range."""
+    Fields are split at single spaces; empty ones at the end don't count. White space at
+    the ends of a value doesn't count, at those of a timestamp it does. Checks come in the order of name and tags, timestamp, value, range."""
     f = F.split(F.rtrim(F.col(line)), " ", -1)
     raw = clean_tags(F.when(F.size(f) > 4, F.slice(f, 5, F.greatest(F.size(f) - 4, F.lit(0)))).otherwise(F.array().cast("array<string>")))
     name, ts, val = F.try_element_at(f, F.lit(2)), F.try_element_at(f, F.lit(3)), F.try_element_at(f, F.lit(4))
-    number, value = ts.try_cast("bigint"), val.try_cast("double")
+    number, value = ts.try_cast("bigint"), trimmed(val).try_cast("double")
     reason = (
         F.when(F.col(line).isNull() | (F.size(f) < 4), "fields")
         .when(f[0] != "put", "not put")
         .when(trimmed(name) == "", "name")
         .when(~F.forall(raw, is_tag), "tags")
         .when(number.isNull() | (trimmed(ts) != ts), "timestamp")
-        .when(value.isNull() | (trimmed(val) != val), "value")
+        .when(value.isNull(), "value")
         .when((number < 0) | (number > MAX_TS), "range")
     )
     parsed = lines.select("*", reason.alias("reject_reason"), name.alias("_name"), number.alias("_ts"), value.alias("_val"), raw.alias("_raw"))

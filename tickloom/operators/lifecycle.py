@@ -8,6 +8,7 @@ decides which files count. A chunk's flag changes only with a registry that name
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import dataclass
 
@@ -20,6 +21,7 @@ from ..plans.model import CHUNK_SECONDS, POINTS, SERIES
 from .catalog import series_of
 
 METRICS_DELAY, STALE_DELAY = 15 * 60, 6 * 60 * 60
+KEEP = 10  # registries
 
 
 def chunks_of(points: DataFrame, prefix: str = "chunk") -> DataFrame:
@@ -69,55 +71,74 @@ def retained(points: DataFrame, now: int, stale_delay: int = STALE_DELAY) -> Dat
 
 @dataclass
 class Store:
-    """Points in Parquet under ``root``: one folder for each write, by chunk, and a registry of which folders hold which chunk.
+    """Points in Parquet under ``root``, by chunk and write, and a registry of which writes of a chunk count.
 
-    A registry is a small text file of its own, written through Spark; the highest numbered complete one counts. Readers that have an
-    older one keep reading its files, as nothing is overwritten."""
+    A registry is a small text file of its own, written through Spark; the highest numbered complete one counts, and the last ``KEEP`` stay.
+    Readers that have an older one keep reading its files: a folder that no longer counts is deleted ``grace`` seconds later."""
 
     spark: SparkSession
     root: str
     prefix: str = "chunk"
+    grace: int = 3600
 
-    def registry(self) -> tuple[int, dict[int, dict], int]:
-        """(version, chunk start -> its folders and whether it is sealed, last batch). An entry for each two hours kept: small by design."""
-        path = f"{self.root}/registry"
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        fs = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(where):
-            return 0, {}, -1
-        done = [int(f.getPath().getName()) for f in fs.listStatus(where) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    def _path(self, *parts: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, *parts)))
+
+    def _fs(self):
+        return self._path().getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def registry(self) -> tuple[int, dict]:
+        """(version, what counts): ``chunks``, chunk start -> its writes and whether it is sealed; ``batches``, the last batch of each stream;
+        ``trash``, when folders ceased to count. An entry for each two hours kept: small by design."""
+        done = sorted((int(f.getPath().getName()) for f in self._fs().globStatus(self._path("registry", "*")) or [] if self._fs().exists(self._path("registry", f.getPath().getName(), "_SUCCESS"))), reverse=True)
         if not done:
-            return 0, {}, -1
-        version = max(done)
-        text = self.spark.read.text(f"{path}/{version:012d}").first()[0]
-        held = json.loads(text)
-        return version, {int(k): v for k, v in held["chunks"].items()}, held["batch"]
-
-    def _publish(self, version: int, chunks: dict[int, dict], batch: int) -> None:
-        row = self.spark.createDataFrame([(json.dumps({"chunks": chunks, "batch": batch}),)], "value string").coalesce(1)
+            return 0, {"chunks": {}, "batches": {}, "trash": []}
+        held = json.loads(self.spark.read.text(f"{self.root}/registry/{done[0]:012d}").first()[0])
+        return done[0], held | {"chunks": {int(k): v for k, v in held["chunks"].items()}}
+
+    def _publish(self, version: int, held: dict, gone: list[str] = []) -> None:  # noqa: B006
+        """Write the next registry, in which the folders ``gone`` don't count; delete what ceased to count long enough ago, and old registries."""
+        now = time.time()
+        due = [p for t, p in held["trash"] if t <= now - self.grace]
+        held["trash"] = [[t, p] for t, p in held["trash"] if t > now - self.grace] + [[now, p] for p in gone]
+        row = self.spark.createDataFrame([(json.dumps(held),)], "value string").coalesce(1)
         row.write.text(f"{self.root}/registry/{version + 1:012d}")
+        for p in due:
+            self._fs().delete(self._path(p), True)
+        if version > KEEP:
+            self._fs().delete(self._path("registry", f"{version - KEEP:012d}"), True)
 
     def chunks(self) -> DataFrame:
-        rows = [(k, k + CHUNK_SECONDS, f"{self.prefix}_{k}", v["sealed"]) for k, v in sorted(self.registry()[1].items())]
+        rows = [(k, k + CHUNK_SECONDS, f"{self.prefix}_{k}", v["sealed"]) for k, v in sorted(self.registry()[1]["chunks"].items())]
         return self.spark.createDataFrame(rows, "chunk_start long, chunk_end long, data_set string, read_only boolean")
 
-    def append(self, points: DataFrame, batch_id: int | None = None) -> DataFrame:
+    def has(self, batch_id: int, stream: str = "") -> bool:
+        """Whether a batch of a stream is in."""
+        return batch_id <= self.registry()[1]["batches"].get(stream, -1)
+
+    def append(self, points: DataFrame, batch_id: int | None = None, stream: str = "") -> DataFrame:
         """Add the points of chunks that aren't sealed; the others come back, delayed. A batch that is in already, as after a
         restart of its stream, isn't added again."""
-        version, chunks, batch = self.registry()
-        if batch_id is not None and batch_id <= batch:
+        version, held = self.registry()
+        if batch_id is not None and batch_id <= held["batches"].get(stream, -1):
             return points.limit(0)
-        judged = late_status(points.select(*POINTS.fieldNames()), self.chunks())
-        folder = f"data/{uuid.uuid4().hex}"
-        good = judged.filter("status = 'accepted'").drop("status")
-        good.repartition("chunk_start").write.partitionBy("chunk_start").parquet(f"{self.root}/{folder}")
-        for start in self._starts(folder):
-            held = chunks.setdefault(start, {"folders": [], "sealed": False})
-            held["folders"].append(folder)
-        self._publish(version, chunks, batch if batch_id is None else batch_id)
+        judged = late_status(points.select("series_id", "ts", "val", F.col("seq").cast("decimal(38,0)").alias("seq"), "chunk_start"), self.chunks())
+        name = self._write(judged.filter("status = 'accepted'").drop("status"), version)
+        for start in self._starts(name):
+            held["chunks"].setdefault(start, {"writes": [], "sealed": False})["writes"].append(name)
+        if batch_id is not None:
+            held["batches"][stream] = batch_id
+        self._publish(version, held)
         return judged.filter("status = 'delayed'").drop("status")
 
+    def _write(self, points: DataFrame, version: int, *order: str) -> str:
+        """Write a folder for each chunk, in files of a size that Spark's advice gives, however few chunks there are."""
+        name = uuid.uuid4().hex
+        rows = points if "write" in points.columns else points.withColumn("write", F.lit(version).cast("long"))
+        rows = rows.withColumn("name", F.lit(name)).hint("rebalance", "chunk_start")
+        (rows.sortWithinPartitions("chunk_start", *order) if order else rows).write.mode("append").partitionBy("chunk_start", "name").parquet(f"{self.root}/data")
+        return name
+
     def series(self) -> DataFrame:
         """The series table; it outlives the chunks."""
         try:
@@ -130,43 +151,42 @@ class Store:
         known = self.series().select("series_id")
         series_of(batch).join(known, "series_id", "left_anti").write.mode("append").parquet(f"{self.root}/series")
 
-    def _read(self, folder: str) -> DataFrame:
-        return self.spark.read.schema(POINTS).parquet(f"{self.root}/{folder}")
-
-    def _starts(self, folder: str) -> list[int]:
-        return [r[0] for r in self._read(folder).select("chunk_start").distinct().collect()]
+    def _starts(self, name: str) -> list[int]:
+        found = self._fs().globStatus(self._path("data", "chunk_start=*", f"name={name}")) or []
+        return [int(f.getPath().getParent().getName().partition("=")[2]) for f in found]
 
     def points(self) -> DataFrame:
-        """All points; filters on chunk_start prune partitions."""
-        by_folder: dict[str, list[int]] = {}
-        for start, held in self.registry()[1].items():
-            for folder in held["folders"]:
-                by_folder.setdefault(folder, []).append(start)
-        out = None
-        for folder, starts in by_folder.items():
-            part = self._read(folder).filter(F.col("chunk_start").isin(starts)).select(*POINTS.fieldNames())
-            out = part if out is None else out.unionByName(part)
-        return self.spark.createDataFrame([], POINTS) if out is None else out
+        """All points, in one scan; filters on chunk_start prune partitions."""
+        paths = [f"{self.root}/{p}" for k, v in sorted(self.registry()[1]["chunks"].items()) for p in folders(k, v)]
+        if not paths:
+            return self.spark.createDataFrame([], POINTS)
+        return self.spark.read.schema(POINTS).option("basePath", f"{self.root}/data").parquet(*paths).select(*POINTS.fieldNames())
 
     def seal(self, starts: list[int]) -> None:
         """Compact each chunk into files of its own, sorted by series, then mark it; the flag comes with the files or not at all."""
-        version, chunks, batch = self.registry()
-        todo = [s for s in starts if s in chunks and not chunks[s]["sealed"]]
+        version, held = self.registry()
+        todo = [s for s in starts if s in held["chunks"] and not held["chunks"][s]["sealed"]]
         if not todo:
             return
-        folder = f"sealed/{uuid.uuid4().hex}"
-        rows = self.points().filter(F.col("chunk_start").isin(todo))
-        rows.repartition("chunk_start").sortWithinPartitions("chunk_start", "series_id", "seq").write.partitionBy("chunk_start").parquet(f"{self.root}/{folder}")
+        name = self._write(self.points().filter(F.col("chunk_start").isin(todo)), version, "series_id", "write", "seq")
+        gone = [p for s in todo for p in folders(s, held["chunks"][s])]
         for s in todo:
-            chunks[s] = {"folders": [folder], "sealed": True}
-        self._publish(version, chunks, batch)
+            held["chunks"][s] = {"writes": [name], "sealed": True}
+        self._publish(version, held, gone)
 
     def drop(self, starts: list[int]) -> None:
-        """Forget chunks; those that aren't there are no error. Their files go when no registry in use names them."""
-        version, chunks, batch = self.registry()
-        kept = {k: v for k, v in chunks.items() if k not in set(starts)}
-        if len(kept) < len(chunks):
-            self._publish(version, kept, batch)
+        """Forget chunks, and delete their files after ``grace``; chunks that aren't there are no error."""
+        version, held = self.registry()
+        gone = [p for s in starts if s in held["chunks"] for p in folders(s, held["chunks"][s])]
+        if gone:
+            held["chunks"] = {k: v for k, v in held["chunks"].items() if k not in set(starts)}
+            self._publish(version, held, gone)
+
+    def clean(self) -> None:
+        """Delete what ceased to count long enough ago."""
+        version, held = self.registry()
+        if any(t <= time.time() - self.grace for t, _ in held["trash"]):
+            self._publish(version, held)
 
     def maintain(self, now: int, metrics_delay: int = METRICS_DELAY, stale_delay: int = STALE_DELAY) -> tuple[int, int]:
         """A tick: drop what is stale, then seal what is past. Returns how many of each."""
@@ -175,10 +195,15 @@ class Store:
         past = [k for k, (s, sealed) in state.items() if s == "sealed" and not sealed]
         self.drop(stale)
         self.seal(past)
+        self.clean()
         return len(stale), len(past)
 
     def seal_all(self) -> None:
-        self.seal(list(self.registry()[1]))
+        self.seal(list(self.registry()[1]["chunks"]))
+
+
+def folders(start: int, chunk: dict) -> list[str]:
+    return [f"data/chunk_start={start}/name={n}" for n in chunk["writes"]]
 
 
 def with_chunks(points: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.chunks import overlaps
+from ..functions.chunks import chunk_start, overlaps
 from ..functions.matching import selects
 from ..plans.model import Query, QueryAggregation
 
@@ -17,9 +17,14 @@ def points_of(points: DataFrame, q: Query, first: int | None = None, last: int |
     return found if first is None else found.filter(overlaps(F.col("chunk_start"), first, last))
 
 
-def dedup(points: DataFrame, *by: str, seq: str | Column = "seq") -> DataFrame:
+def written(points: DataFrame) -> Column:
+    """The order in which points were written: by ``seq``, in a store by write first."""
+    return F.struct("write", "seq") if "write" in points.columns else F.col("seq")
+
+
+def dedup(points: DataFrame, *by: str) -> DataFrame:
     """Of points of one series and time, the last that was written. An aggregation with partial results, not a window."""
-    return points.groupBy(*(by or ("full_name",)), "ts").agg(F.max_by("val", seq).alias("val"))
+    return points.groupBy(*(by or ("full_name",)), "ts").agg(F.max_by("val", written(points)).alias("val"))
 
 
 def zimsum(points: DataFrame) -> DataFrame:
@@ -28,9 +33,9 @@ def zimsum(points: DataFrame) -> DataFrame:
 
 
 def nested(points: DataFrame, *by: str) -> DataFrame:
-    """One row for each series, its points sorted by time. A series' points of a query range fit a row by design; keep
-    long ranges flat."""
-    return points.groupBy(*(by or ("full_name",))).agg(F.array_sort(F.collect_list(F.struct("ts", "val"))).alias("points"))
+    """One row for each series and chunk, its points (ts, val) sorted by time: a row's size doesn't grow with the range."""
+    start = chunk_start(F.col("ts"))
+    return points.groupBy(*(by or ("full_name",)), start.alias("chunk_start")).agg(F.array_sort(F.collect_list(F.struct("ts", "val"))).alias("points"))
 
 
 def left_series(series: DataFrame, points: DataFrame, q: Query, first: int, last: int) -> DataFrame:
@@ -42,22 +47,22 @@ def left_series(series: DataFrame, points: DataFrame, q: Query, first: int, last
 
 
 def query(series: DataFrame, points: DataFrame, q: Query, first: int, last: int, agg: QueryAggregation = QueryAggregation.NONE, *, trim: bool = False, drop_empty: bool = False) -> DataFrame:
-    """(metric, points): the series of a query, chunk by chunk: points of a chunk that meets the range belong to the result even where they are
-    outside of it, unless ``trim``. A series without points is in the result with none, unless ``drop_empty``. ZIMSUM gives one
-    series, also of no points."""
-    window = points.filter(overlaps(F.col("chunk_start"), first, last))
-    if trim:
-        window = window.filter(F.col("ts").between(first, last))
+    """(metric, ts, val): the points of a query's series, a row each, chunk by chunk: points of a chunk that meets the range belong to the
+    result even where they are outside of it, unless ``trim``. A series without points is one row of nulls, unless ``drop_empty``; where no
+    chunk meets the range there is no series either. ZIMSUM gives one series, also one row of nulls without points."""
+    met = points.filter(overlaps(F.col("chunk_start"), first, last))
+    window = met.filter(F.col("ts").between(first, last)) if trim else met
     matched = series.filter(selects(q)).select("series_id", "full_name")
     if agg is QueryAggregation.ZIMSUM:
         total = zimsum(window.join(matched, "series_id", "left_semi"))
-        return total.agg(F.array_sort(F.collect_list(F.struct("ts", "val"))).alias("points")).select(F.lit(f"zimsum {q.label}").alias("metric"), "points")
-    # no chunk meets the range: no series either
-    if window.isEmpty():
-        return matched.limit(0).select(F.col("full_name").alias("metric"), F.lit(None).cast("array<struct<ts:bigint,val:double>>").alias("points"))
-    found = nested(dedup(window, "series_id"), "series_id")
-    out = matched.join(found, "series_id", "inner" if drop_empty else "left")
-    return out.select(F.col("full_name").alias("metric"), F.coalesce("points", F.array().cast("array<struct<ts:bigint,val:double>>")).alias("points"))
+        name = F.lit(f"zimsum {q.label}").alias("metric")
+        one = points.sparkSession.range(1).select(name)
+        return one.join(total.select(name, "ts", "val"), "metric", "left")
+    found = dedup(window, "series_id")
+    if drop_empty:
+        return matched.join(found, "series_id").select(F.col("full_name").alias("metric"), "ts", "val")
+    out = matched.filter(met.select(F.lit(1)).exists()).join(found, "series_id", "left")
+    return out.select(F.col("full_name").alias("metric"), "ts", "val")
 
 
 def chunk_query(series: DataFrame, points: DataFrame, q: Query, start: int) -> DataFrame:

@@ -14,11 +14,13 @@ SERIES = T.StructType([
     T.StructField("metric", T.StringType()),
     T.StructField("tags", T.ArrayType(TAG)),
 ])
+#: Points as they are stored: those of a later write come after all of an earlier one; within a write, seq tells the order.
 POINTS = T.StructType([
     T.StructField("series_id", T.LongType()),
     T.StructField("ts", T.LongType()),
     T.StructField("val", T.DoubleType()),
-    T.StructField("seq", T.LongType()),
+    T.StructField("write", T.LongType()),
+    T.StructField("seq", T.DecimalType(38, 0)),
     T.StructField("chunk_start", T.LongType()),
 ])
 

@@ -50,7 +50,7 @@ def picked(name: str, view: Run, q: Query, sql_table: str, where: str, first: in
     span = "" if first is None else f" AND chunk_start <= {last} AND chunk_start + 7200 >= {first}"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return select.dedup(select.points_of(view(spark, sf_dir), q, first, last)).select("full_name", "ts", "val")
+        return select.dedup(select.points_of(view(spark, sf_dir, q, first, last), q, first, last)).select("full_name", "ts", "val")
 
     QUERIES[name] = run
     SQL[name] = f"WITH {cte} SELECT full_name, ts, arg_max(val, seq) AS val FROM {sql_table} WHERE {where}{span} GROUP BY full_name, ts"
@@ -60,7 +60,7 @@ M = TagMatcher
 click, total = f"metric = '{CLICK}'", f"metric = '{TOTAL}'"
 picked("q_metric", views.events, Query(CLICK), "e", click)
 picked("q_exact", views.events, Query(CLICK, (M.exact("user", "42"),)), "e", f"{click} AND usr = '42'")
-picked("q_has_key", views.events, Query.parse(f"{CLICK} user=*"), "e", click, DAY, DAY + 6 * 3600)
+picked("q_has_key", views.events, Query.parse(f"{CLICK} user=*"), "e", click)
 picked("q_wildcard", views.events, Query(CLICK, (M.wildcard("user", "1*"),)), "e", f"{click} AND usr LIKE '1%'")
 picked("q_wildcard_infix", views.orders, Query(TOTAL, (M.wildcard("priority", "*-N*IFI*"),)), "o", f"{total} AND strpos(priority, '-N') > 0 AND strpos(substr(priority, 3), 'IFI') > 0")
 picked("q_iwildcard", views.orders, Query(TOTAL, (M.wildcard("priority", "*uRG*", True),)), "o", f"{total} AND strpos(lower(priority), 'urg') > 0")
@@ -68,48 +68,65 @@ picked("q_literal_or", views.orders, Query(TOTAL, (M.literal_or("priority", "|1-
 picked("q_iliteral_or", views.orders, Query(TOTAL, (M.literal_or("priority", "1-urgent|2-High", True),)), "o", f"{total} AND lower(priority) IN ('1-urgent', '2-high')")
 picked("q_not_literal_or", views.orders, Query(TOTAL, (M.not_literal_or("status", "F|O"),)), "o", f"{total} AND status NOT IN ('F', 'O')")
 picked("q_not_iliteral_or", views.orders, Query(TOTAL, (M.not_literal_or("priority", "1-urgent|3-medium", True),)), "o", f"{total} AND lower(priority) NOT IN ('1-urgent', '3-medium')")
-picked("q_not_mixed", views.events, Query(CLICK, (M.wildcard("user", "*"), M.not_literal_or("k", "1|2"))), "e", click, DAY, DAY + 86400)
+picked("q_not_mixed", views.events, Query(CLICK, (M.wildcard("user", "*"), M.not_literal_or("k", "1|2"))), "e", click)
 picked("q_multi_not", views.orders, Query(TOTAL, (M.not_literal_or("priority", "1-URGENT|2-HIGH"), M.not_literal_or("status", "F"))), "o", f"{total} AND NOT (priority IN ('1-URGENT', '2-HIGH') AND status = 'F')")
 picked("q_regexp", views.orders, Query(TOTAL, (M.regexp("priority", "[1-3]-(U|M)"),)), "o", f"{total} AND regexp_matches(priority, '[1-3]-(U|M)')")
 picked("q_mixed", views.orders, Query(TOTAL, (M.regexp("priority", "^[1-4]"), M.literal_or("status", "F|O"))), "o", f"{total} AND regexp_matches(priority, '^[1-4]') AND status IN ('F', 'O')")
 picked("q_time_range", views.events, Query(CLICK), "e", click, DAY + 7200, DAY + 14400)
-picked("q_none", views.events, Query(CLICK, (M.wildcard("user", "*"),)), "e", click, DAY, DAY + 5 * 86400)
+picked("q_none", views.events, Query(CLICK, (M.wildcard("user", "*"),)), "e", click)
 
 
 @query(f"""WITH {ITEMS} SELECT full_name, ts, val FROM l
 QUALIFY row_number() OVER (PARTITION BY full_name, ts ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC, val DESC) = 1""")
 def q_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.dedup(select.points_of(views.lineitems(spark, sf_dir), Query(PRICE)))
+    return select.dedup(select.points_of(views.lineitems(spark, sf_dir, Query(PRICE)), Query(PRICE)))
+
+
+FIRST, LAST = DAY, DAY + 31 * 86400  # all of the events
 
 
 @query(f"""WITH {EVENTS} SELECT s.full_name, p.ts, p.val FROM (SELECT DISTINCT full_name FROM e WHERE {click}) s LEFT JOIN
-  (SELECT full_name, ts, arg_max(val, seq) AS val FROM e WHERE chunk_start <= {DAY + 86400} AND chunk_start + 7200 >= {DAY} GROUP BY full_name, ts) p USING (full_name)""")
+  (SELECT full_name, ts, arg_max(val, seq) AS val FROM e WHERE chunk_start <= {LAST} AND chunk_start + 7200 >= {FIRST} GROUP BY full_name, ts) p USING (full_name)""")
 def q_left_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = views.with_ids(views.events(spark, sf_dir))
-    return select.left_series(catalog.series_of(points), points, Query(CLICK), DAY, DAY + 86400)
+    return select.left_series(catalog.series_of(points), points, Query(CLICK), FIRST, LAST)
 
 
 @query(f"WITH {EVENTS} SELECT ts, round(sum(val), 4) AS val FROM e WHERE {click} GROUP BY ts")
 def q_zimsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.zimsum(select.points_of(views.events(spark, sf_dir), Query(CLICK))).select("ts", F.round("val", 4).alias("val"))
+    return select.zimsum(select.points_of(views.events(spark, sf_dir, Query(CLICK)), Query(CLICK))).select("ts", F.round("val", 4).alias("val"))
 
 
 @query(f"WITH {ITEMS} SELECT ts, CAST(sum(CAST(val AS DECIMAL(18, 4))) AS DECIMAL(28, 4)) AS val FROM l WHERE flag = 'R' GROUP BY ts")
 def q_zimsum_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = select.points_of(views.lineitems(spark, sf_dir), Query(PRICE, (M.exact("flag", "R"),)))
+    q = Query(PRICE, (M.exact("flag", "R"),))
+    points = select.points_of(views.lineitems(spark, sf_dir, q), q)
     return points.groupBy("ts").agg(F.sum(F.col("val").cast("decimal(18,4)")).cast("decimal(28,4)").alias("val"))
 
 
-@query()
+@query(f"""WITH {EVENTS}, s AS (SELECT DISTINCT full_name FROM e WHERE {click} AND usr LIKE '1%'),
+p AS (SELECT full_name, ts, arg_max(val, seq) AS val FROM e WHERE chunk_start <= {LAST} AND chunk_start + 7200 >= {FIRST} GROUP BY full_name, ts)
+SELECT full_name AS metric, ts, val FROM s LEFT JOIN p USING (full_name)""")
 def q_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of a query with their points, those without points too; flat, so that no row grows with the range."""
     points = views.with_ids(views.events(spark, sf_dir))
-    return select.query(catalog.series_of(points), points, Query(CLICK, (M.wildcard("user", "1*"),)), DAY, DAY + 86400)
+    return select.query(catalog.series_of(points), points, Query(CLICK, (M.wildcard("user", "1*"),)), FIRST, LAST)
 
 
-@query()
+@query(f"""WITH {EVENTS} SELECT full_name, chunk_start, string_agg(ts || ':' || n, ',' ORDER BY ts) AS points
+FROM (SELECT full_name, chunk_start, ts, count(*) AS n FROM e WHERE {click} GROUP BY ALL) GROUP BY full_name, chunk_start""")
+def q_nested_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The times of each series and chunk in one row, with how many points each has."""
+    q = Query(CLICK)
+    n = views.events(spark, sf_dir, q).groupBy("full_name", "ts").agg(F.count(F.lit(1)).alias("val"))
+    text = F.array_join(F.transform("points", lambda p: F.concat_ws(":", p["ts"], p["val"])), ",")
+    return select.nested(n).select("full_name", "chunk_start", text.alias("points"))
+
+
+@query(f"WITH {EVENTS} SELECT 'zimsum {CLICK}' AS metric, ts, round(sum(val), 4) AS val FROM e WHERE {click} AND chunk_start <= {LAST} AND chunk_start + 7200 >= {FIRST} GROUP BY ts")
 def q_zimsum_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = views.with_ids(views.events(spark, sf_dir))
-    return select.query(catalog.series_of(points), points, Query(CLICK), DAY, DAY + 86400, QueryAggregation.ZIMSUM)
+    return select.query(catalog.series_of(points), points, Query(CLICK), FIRST, LAST, QueryAggregation.ZIMSUM).withColumn("val", F.round("val", 4))
 
 
 @query(f"WITH {EVENTS} SELECT full_name, ts, val, seq FROM e WHERE {click} AND chunk_start = {DAY + 7200}")
@@ -120,8 +137,8 @@ def chunk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS} SELECT metric, ts, val, seq FROM e WHERE full_name = '{CLICK} user=7'")
 def get_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = views.with_ids(views.events(spark, sf_dir))
-    return points.filter(F.col("series_id") == F.xxhash64(F.lit(f"{CLICK} user=7"))).filter(F.col("full_name") == f"{CLICK} user=7").select("metric", "ts", "val", "seq")
+    points = views.events(spark, sf_dir, Query(CLICK, (M.exact("user", "7"),)))
+    return points.filter(F.col("full_name") == f"{CLICK} user=7").select("metric", "ts", "val", "seq")
 
 
 @query(f"WITH {EVENTS} SELECT DISTINCT full_name, metric FROM e WHERE full_name = '{CLICK} user=7'")
@@ -302,9 +319,10 @@ def late_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {EVENTS} SELECT full_name, ts, val, seq FROM e WHERE chunk_start + 7200 > {NOW - 21600}")
 def retained_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.retained(views.events(spark, sf_dir), NOW).select("full_name", "ts", "val", "seq")
+    first = lifecycle.cutoff(NOW, lifecycle.STALE_DELAY)
+    return lifecycle.retained(views.events(spark, sf_dir, None, first, views.MAX_TS), NOW).select("full_name", "ts", "val", "seq")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The de-duplicated points of clicks by user over six hours."""
+    """The de-duplicated points of clicks by user."""
     return QUERIES["q_has_key"](spark, sf_dir)

@@ -13,6 +13,8 @@ MESSAGE = T.StructType([T.StructField("messages", T.ArrayType(T.StringType())),
 BOOL, BYTE, DOUBLE, I16, I32, I64, STRING, STRUCT, MAP, SET, LIST = 2, 3, 4, 6, 8, 10, 11, 12, 13, 14, 15
 FIXED = {BOOL: 1, BYTE: 1, DOUBLE: 8, I16: 2, I32: 4, I64: 8}
 
+DEPTH = 64
+
 
 class Reader:
     def __init__(self, data: bytes):
@@ -30,7 +32,9 @@ class Reader:
     def text(self) -> str:
         return self.take(self.number(">i")).decode()
 
-    def skip(self, kind: int) -> None:
+    def skip(self, kind: int, depth: int = 0) -> None:
+        if depth > DEPTH:
+            raise ValueError("the message is nested too deep")
         if kind in FIXED:
             self.take(FIXED[kind])
         elif kind == STRING:
@@ -38,16 +42,16 @@ class Reader:
         elif kind in (LIST, SET):
             inner, n = self.number(">b"), self.number(">i")
             for _ in range(n):
-                self.skip(inner)
+                self.skip(inner, depth + 1)
         elif kind == MAP:
             key, value, n = self.number(">b"), self.number(">b"), self.number(">i")
             for _ in range(n):
-                self.skip(key)
-                self.skip(value)
+                self.skip(key, depth + 1)
+                self.skip(value, depth + 1)
         elif kind == STRUCT:
             while inner := self.number(">b"):
                 self.number(">h")
-                self.skip(inner)
+                self.skip(inner, depth + 1)
         else:
             raise ValueError(f"no such type: {kind}")
 
