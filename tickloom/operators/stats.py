@@ -43,6 +43,20 @@ def stream_size(bits: Column) -> Column:
     return F.lit(5) + 8 * F.ceil(bits / 64)
 
 
+def series_sizes(points: DataFrame, *by: str) -> DataFrame:
+    """(by, chunk_start, points_count, timestamps_data_length, timestamps_data_size) of each series and chunk."""
+    bits = timestamp_bits(points, *by)
+    return bits.select(*(by or ("series_id",)), "chunk_start", F.col("points").alias("points_count"), F.floor(F.col("bits") / 64).alias("timestamps_data_length"), stream_size(F.col("bits")).alias("timestamps_data_size"))
+
+
+def store_stats(sizes: DataFrame) -> DataFrame:
+    """(chunk_start, stat, bucket, n): how many series a chunk has, how many have timestamps of ``bucket`` words, and their bytes in all."""
+    one = sizes.groupBy("chunk_start").agg(F.count(F.lit(1)).alias("MetricCount"), F.sum("timestamps_data_size").alias("TimeStampByteSize"))
+    found = one.unpivot("chunk_start", ["MetricCount", "TimeStampByteSize"], "stat", "n").select("chunk_start", "stat", F.lit(0).cast("long").alias("bucket"), "n")
+    spread = sizes.groupBy("chunk_start", F.col("timestamps_data_length").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return found.unionByName(spread.select("chunk_start", F.lit("TimeStampSizeDistribution").alias("stat"), "bucket", "n"))
+
+
 def integrity(lines: DataFrame, found: DataFrame) -> DataFrame:
     """(metric, expected, actual, ok): points put in against points read back."""
     a = lines.groupBy("metric").agg(F.count(F.lit(1)).alias("expected"))

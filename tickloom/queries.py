@@ -276,25 +276,40 @@ def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.unpack_chunks(_packed(spark, sf_dir)).join(series, "series_id").select("full_name", "chunk_start", "ts", "val")
 
 
-@query()
+BITS = SQL["stats_ts_bits"].removeprefix(f"WITH {EVENTS}, ")
+SIZES = f"""{BITS.partition("SELECT full_name, chunk_start, count(*) AS points")[0].rstrip()}, b AS (SELECT full_name, chunk_start, count(*) AS points_{BITS.partition("count(*) AS points")[2]}),
+s AS (SELECT full_name, chunk_start, points_ AS points_count, bits // 64 AS timestamps_data_length, 5 + 8 * ((bits + 63) // 64) AS timestamps_data_size FROM b),
+store AS (SELECT chunk_start, 'MetricCount' AS stat, 0 AS bucket, count(*) AS n FROM s GROUP BY chunk_start
+UNION ALL SELECT chunk_start, 'TimeStampSizeDistribution', timestamps_data_length, count(*) FROM s GROUP BY chunk_start, timestamps_data_length
+UNION ALL SELECT chunk_start, 'TimeStampByteSize', 0, CAST(sum(timestamps_data_size) AS BIGINT) FROM s GROUP BY chunk_start)"""
+
+
+@query(f"WITH {EVENTS}, {SIZES} SELECT * FROM s")
 def stats_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _packed(spark, sf_dir)
-    sizes = {f"{x}_{k}": v for x, b in (("timestamps", "ts_bits"), ("values", "val_bits")) for k, v in (("data_length", F.floor(F.col(b) / 64)), ("data_size", stats.stream_size(F.col(b))))}
-    return p.select("series_id", "chunk_start", F.col("n").alias("points_count"), *[v.alias(k) for k, v in sizes.items()])
+    return stats.series_sizes(views.events(spark, sf_dir), "full_name")
 
 
-@query()
+@query(f"WITH {EVENTS}, {SIZES} SELECT * FROM store")
 def stats_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _packed(spark, sf_dir)
-    sizes = [F.sum(stats.stream_size(F.col(b))).alias(k) for k, b in (("timestamp_byte_size", "ts_bits"), ("values_byte_size", "val_bits"))]
-    return p.groupBy("chunk_start").agg(F.count(F.lit(1)).alias("metric_count"), *sizes, F.sum(F.length("blob")).alias("time_series_byte_size"))
+    return stats.store_stats(stats_series(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {EVENTS}, {SIZES}, i AS (SELECT * FROM ({SQL["stats_index"]}))
+SELECT chunk_start, 'metricStore_' || stat AS stat, bucket, n FROM store UNION ALL SELECT NULL, 'tagStore_' || stat, bucket, n FROM i""")
 def stats_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store = stats_store(spark, sf_dir).select("chunk_start", F.explode(F.create_map(*[x for c in ("metric_count", "timestamp_byte_size", "values_byte_size", "time_series_byte_size") for x in (F.lit(f"metricStore_{c}"), F.col(c))])).alias("stat", "n"))
-    tags = stats_index(spark, sf_dir).filter("bucket = 0").select(F.lit(None).cast("long").alias("chunk_start"), F.concat(F.lit("tagStore_"), "stat").alias("stat"), "n")
-    return store.unionByName(tags)
+    index = stats_index(spark, sf_dir).withColumn("chunk_start", F.lit(None).cast("long"))
+    both = stats_store(spark, sf_dir).withColumn("stat", F.concat(F.lit("metricStore_"), "stat")), index.withColumn("stat", F.concat(F.lit("tagStore_"), "stat"))
+    return both[0].unionByName(both[1])
+
+
+@query()
+def stats_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sizes that depend on packed values, by chunk."""
+    p = _packed(spark, sf_dir)
+    sizes = p.groupBy("chunk_start").agg(F.sum(stats.stream_size(F.col("val_bits"))).alias("ValuesByteSize"), F.sum(F.length("blob").cast("long")).alias("TimeSeriesByteSize"))
+    spread = p.groupBy("chunk_start", F.floor(F.col("val_bits") / 64).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.unpivot("chunk_start", ["ValuesByteSize", "TimeSeriesByteSize"], "stat", "n").select("chunk_start", "stat", F.lit(0).cast("long").alias("bucket"), "n")
+    return found.unionByName(spread.select("chunk_start", F.lit("ValueSizeDistribution").alias("stat"), "bucket", "n"))
 
 
 @query("SELECT 'event.' || event_type AS metric, count(*) AS expected, count(*) AS actual, true AS ok FROM events GROUP BY 1")
