@@ -5,6 +5,7 @@ from fractions import Fraction
 
 from pyspark.sql import functions as F
 
+from tickloom.llm.mixing import deal as deal_nodes
 from tickloom.llm.mixing import LEVELS, mix, mixing_stage, tokens, with_leaves
 
 from .odd import odd_texts
@@ -38,6 +39,13 @@ def test_tokens(docs_of):
     assert got == {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t in enumerate(texts)}
 
 
+def test_supplies_per_weight_that_doubles_cannot_tell_apart(spark):
+    """10**17 + 1 tokens at weight 1 and 2 * 10**17 + 1 at weight 2: the second comes first, so the first gets the rest of rounding."""
+    nodes = spark.createDataFrame([("a", 10**17 + 1, 1), ("b", 2 * 10**17 + 1, 2)], "node string, cap long, weight long")
+    nodes = nodes.select("node", *(F.col(c).cast("decimal(38,0)").alias(c) for c in ("cap", "weight")), (2 / F.col("weight")).cast("decimal(18,0)").alias("scale"), F.lit(3 * 10**17 + 1).cast("decimal(38,0)").alias("_budget"))
+    assert {r.node: int(r.budget) for r in deal_nodes(nodes, [], "node").collect()} == {"a": 10**17 + 1, "b": 2 * 10**17}
+
+
 def test_budgets_and_prefixes_against_a_plain_version(spark):
     weights = {"_mix_domain": {"d0": 5, "d1": 1}, "_mix_lang": {"en": 3}, "_mix_source": {}}
     rows = [(i, " ".join(["w"] * (1 + i * i % 40)), ["en", "de", None][i % 3], f"s{i % 11}") for i in range(400)]

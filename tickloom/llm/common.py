@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -18,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset and all runs on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if not spark.sparkContext.getCheckpointDir():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
@@ -31,11 +37,25 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tickloom/{tag}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, tag: str, partition_by: str | None = None, **options) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised within are deleted at the end, but for those to ``keep``."""
+    made = _made.set([])
+    try:
+        yield
+    finally:
+        for path in _made.get() or []:
+            delete(spark, path)
+        _made.reset(made)
+
+
+def materialise(df: DataFrame, tag: str, partition_by: str | None = None, *, keep: bool = False, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage: a lost executor costs no earlier
     stage. The shuffle files of the write are removed when it ends."""
     spark = df.sparkSession
     path, before = shared_path(spark, tag), spark.conf.get(CLEANUP, "false")
+    if (made := _made.get()) is not None and not keep:
+        made.append(path)
     spark.conf.set(CLEANUP, "true")
     try:
         writer = df.write.options(**options)
@@ -47,12 +67,15 @@ def materialise(df: DataFrame, tag: str, partition_by: str | None = None, **opti
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard(*tables: DataFrame, part: str = "") -> None:
     """Delete tables of ``materialise``, or a part (``column=value``) of them, that nothing reads any more, since what came of them is written."""
     for df in tables:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._shared_path, part or ".")
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, f"{df._shared_path}/{part}" if part else df._shared_path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -41,10 +41,11 @@ def prefix(depth: int) -> Column:
 
 def directory(entries: DataFrame, bucket_entries: int) -> tuple[DataFrame, list[int]]:
     """((depth, prefix, bucket), the depths): the buckets of the keys; ``bucket`` is the first key of its range."""
-    depth, parts, open_ = max(0, (entries.count() // bucket_entries).bit_length() - 1), [], entries.select("key")
+    depth, parts, open_, made = max(0, (entries.count() // bucket_entries).bit_length() - 1), [], entries.select("key"), []
     while True:
         counts = open_.groupBy(prefix(depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
         counts = materialise(counts, "dedup-directory")
+        made.append(counts)
         full = (F.col("n") > bucket_entries) & (F.col("low") != F.col("high"))
         start = F.shiftleft("prefix", 64 - depth) if depth else F.col("prefix")
         parts.append(counts.filter(~full).select(F.lit(depth).alias("depth"), "prefix", start.alias("bucket")))
@@ -54,6 +55,7 @@ def directory(entries: DataFrame, bucket_entries: int) -> tuple[DataFrame, list[
         open_ = open_.withColumn("prefix", prefix(depth)).join(split, "prefix", "left_semi").select("key")
         depth += 1
     table = materialise(reduce(DataFrame.unionAll, parts), "dedup-directory")
+    discard(*made)
     depths = sorted(r[0] for r in table.select("depth").distinct().collect())  # 65 at most
     return (F.broadcast(table) if table.count() <= BROADCAST else table), depths
 

@@ -22,11 +22,12 @@ own; further columns stay as they are (names that begin with ``_mix_`` are reser
 from __future__ import annotations
 
 from collections.abc import Mapping
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import discard, materialise, table
 
 LEVELS = ("_mix_domain", "_mix_lang", "_mix_source")
 CELL_DIGITS = 3
@@ -50,6 +51,16 @@ def with_leaves(docs: DataFrame) -> DataFrame:
     })
 
 
+def scale(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
+    """The least common multiple of a level's weights, divided by a node's."""
+    named = weights.get(level) or {}
+    every = lcm(*map(int, named.values()))
+    out = F.lit(every)
+    for name, w in named.items():
+        out = F.when(F.col(level) == name, F.lit(every // int(w))).otherwise(out)
+    return out.cast("decimal(18,0)")
+
+
 def weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
     named = weights.get(level) or {}
     out = F.lit(1)
@@ -61,7 +72,7 @@ def weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
 def deal(nodes: DataFrame, parent: list[str], level: str) -> DataFrame:
     """(…, budget): each parent's ``_budget`` dealt to its children (level, cap, weight)."""
     siblings = Window.partitionBy(*(parent or [F.lit(0)]))
-    order = siblings.orderBy(F.col("cap").cast("double") / F.col("weight").cast("double"), level)
+    order = siblings.orderBy(F.expr("cap * scale"), level)  # by supply per weight, in integers
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     zero = F.lit(0).cast("decimal(38,0)")
     x = nodes.withColumn("used", F.coalesce(F.sum("cap").over(before), zero))
@@ -81,7 +92,7 @@ def budgets(leaves: DataFrame, weights: Mapping[str, Mapping[str, int]], share:
     above: DataFrame | None = None
     for k, level in enumerate(LEVELS):
         own = leaves.groupBy(*LEVELS[: k + 1]).agg(F.sum("cap").cast("decimal(38,0)").alias("cap"))
-        own = own.withColumn("weight", weight(level, weights))
+        own = own.withColumn("weight", weight(level, weights)).withColumn("scale", scale(level, weights))
         own = own.crossJoin(F.broadcast(total)) if above is None else own.join(above, list(LEVELS[:k]))  # total is one row
         above = deal(own, list(LEVELS[:k]), level).select(*LEVELS[: k + 1], F.col("budget").alias("_budget"))
     return leaves.join(above, list(LEVELS)).select(*LEVELS, "supply", F.col("_budget").cast("long").alias("budget"))
@@ -98,13 +109,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", *, weights: Mapping[str, Mappin
     plan = budgets(small.groupBy(*leaf).agg(F.sum("_mix_tokens").alias("supply")), weights, share, max_epochs)
     whole = F.when(F.col("supply") > 0, F.expr("budget div supply")).otherwise(F.lit(0))
     plan = plan.withColumn("_mix_whole", whole).withColumn("_mix_rest", F.col("budget") - F.col("_mix_whole") * F.col("supply"))
-    plan = materialise(plan.select(*leaf, "supply", "budget", "_mix_whole", "_mix_rest"), "mix-budgets")
+    budgeted = plan = materialise(plan.select(*leaf, "supply", "budget", "_mix_whole", "_mix_rest"), "mix-budgets")
     key = seeded(seed, F.col("_mix_whole"), F.col("_mix_id"))
     cells = small.join(plan, leaf).groupBy(*leaf, "_mix_rest", F.substring(key, 1, CELL_DIGITS).alias("cell")).agg(F.sum("_mix_tokens").alias("n"))
     by_leaf = Window.partitionBy(*leaf).orderBy("cell")
     cells = cells.withColumn("upto", F.sum("n").over(by_leaf))
     edge = cells.filter(F.col("upto") > F.col("_mix_rest")).groupBy(*leaf).agg(F.min("cell").alias("_mix_edge"), F.min_by(F.col("upto") - F.col("n"), "cell").alias("_mix_below"))
     plan = materialise(plan.join(edge, leaf, "left").select(*leaf, "budget", "_mix_whole", "_mix_rest", F.coalesce("_mix_edge", F.lit("~")).alias("_mix_edge"), F.coalesce("_mix_below", F.lit(0)).alias("_mix_below")), "mix-plan")
+    discard(small, budgeted)
     rows = docs.join(plan.withColumnRenamed("budget", "_mix_budget"), leaf)
     rows = rows.withColumn("_mix_key", seeded(seed, F.col("_mix_whole"), F.col(id_col))).withColumn("_mix_cell", F.substring("_mix_key", 1, CELL_DIGITS))
     sure = rows.filter(F.col("_mix_cell") != F.col("_mix_edge")).withColumn("_mix_in", F.col("_mix_cell") < F.col("_mix_edge"))

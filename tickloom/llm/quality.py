@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, table, utf8
+from .common import chunks, discard, materialise, table, utf8
 from .langid import held_out
 from .sampled_pieces import GOLDEN, powers
 
@@ -205,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", sampl
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], ["doc_id", "x", "_label"])
 
     found = sorted(part.select("doc_id", "text", "_label").mapInArrow(pooled, "doc_id long, x binary, _label int").collect())
+    discard(part)
     x = np.array([np.frombuffer(r[1], np.float32) for r in found]).reshape(len(found), 2 * DIMS + 8)
     return vectors, train(x, np.array([r[2] for r in found], float))
 

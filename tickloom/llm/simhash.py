@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import materialise, shuffle_partitions, table
+from .common import discard, materialise, shuffle_partitions, table
 
 RUN = 128
 
@@ -189,32 +189,31 @@ def pairs_of(tiled: DataFrame, words: int, radius: int, found: Callable[..., Ite
     return tile_pairs(tiled, radius).mapInArrow(run, "a long, b long")
 
 
-def links(classes: DataFrame, fps: list[str], radius: int, total: int, tile_size: int) -> DataFrame:
-    """(a, b): a spanning forest for each tile pair, over nodes."""
-    tiled = materialise(tiles(classes, fps, tile_size), "simhash-tiles")
-    return pairs_of(tiled, len(fps), radius, lambda a, b, same: iter([forest(a, b, same, radius, total)]))
-
-
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node reached. Each round takes the least label
     around a node and then its label's label, and is written to the shared folder; rounds end when no label moves."""
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag)
-    labels = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), tag)
+    held = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), tag)
     while True:
+        labels = held.select("node", "root")
         around = both.join(labels, both["b"] == labels["node"]).select("a", "root").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         near = labels.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
         new = materialise(near.join(jump, "root").select("node", F.least("root", "up").alias("root"), "was"), tag)
-        labels = new.select("node", "root")
+        discard(held)
+        held = new
         if new.filter("root != was").isEmpty():
-            return labels
+            discard(both)
+            return new.select("node", "root")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, seed: int = 42, radius: int = 4, tile_size: int = 65_536) -> DataFrame:
     """(id_col, fingerprint, component_id) for each row."""
     fps = materialise(fingerprints(docs, id_col, text_col, words, seed), "simhash-fps")
     classes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
-    roots = components(links(classes.withColumn("node", F.col("fp")), ["fp"], radius, 64, tile_size), "simhash-components")
+    tiled = materialise(tiles(classes.withColumn("node", F.col("fp")), ["fp"], tile_size), "simhash-tiles")
+    roots = components(pairs_of(tiled, 1, radius, lambda a, b, same: iter([forest(a, b, same, radius)])), "simhash-components")
+    discard(tiled)
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "first", "root")
     lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     of = linked.join(lead, "root").select("fp", "component_id")

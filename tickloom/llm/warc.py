@@ -35,7 +35,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path, shuffle_partitions, table
+from .common import discard, materialise, shared_path, shuffle_partitions, table
 
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
@@ -297,7 +297,9 @@ def capture_history(pages: DataFrame, id_col: str = "page_id", url_col: str = "u
     manifest, ranges = write_archives(rows, min_bytes=min_bytes, archive_bytes=archive_bytes), shuffle_partitions(pages.sparkSession)
     n = manifest.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     bounds = key_bounds(rows, n, ranges)
-    return merge(materialise(read_archives(manifest, bounds), "warc-runs"), ranges)
+    runs = materialise(read_archives(manifest, bounds), "warc-runs")
+    discard(manifest)
+    return merge(runs, ranges)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
