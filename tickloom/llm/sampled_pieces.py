@@ -217,9 +217,9 @@ class LongWord:
 
     def draw(self, seed: np.uint64, place: int) -> np.ndarray:
         """The pieces of an occurrence; ``place``: where the word begins in its text."""
-        out, at = [], len(self.word)
+        found, at = [], len(self.word)
         for k in range(len(self.frontiers) - 1, -1, -1):
-            a, frontier = k * WINDOW, self.frontiers[k]
+            a, frontier, out = k * WINDOW, self.frontiers[k], []
             if at <= a:
                 continue
             total, ptr, ids, sizes, ways = self.window(a, frontier)
@@ -233,7 +233,8 @@ class LongWord:
                         break
                 out.append(ids[e])
                 at -= sizes[e]
-        return np.array(out[::-1], np.int32)
+            found.append(np.array(out, np.int32))
+        return np.concatenate(found)[::-1]
 
 
 def draws(seed: np.ndarray | np.uint64, byte: np.ndarray) -> np.ndarray:
@@ -330,11 +331,14 @@ def encode(texts: list[bytes], keys: np.ndarray, v: Vocabulary) -> tuple[np.ndar
 
 def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> list[bytes]:
     """The bytes of each text, less the space that encoding added."""
-    sizes = np.diff(v.offsets)[ids]
-    stop = np.concatenate(([0], np.cumsum(sizes)))
-    data = v.flat[np.repeat(v.offsets[ids] - stop[:-1], sizes) + np.arange(int(stop[-1]))].tobytes()
+    sizes, parts = np.diff(v.offsets)[ids], []
+    for k in range(0, len(ids), 1 << 16):
+        own, n = ids[k : k + (1 << 16)], sizes[k : k + (1 << 16)]
+        ends = np.cumsum(n)
+        parts.append(v.flat[np.repeat(v.offsets[own] - ends + n, n) + np.arange(int(ends[-1]))])
+    stop, data = np.concatenate(([0], np.cumsum(sizes))), np.concatenate([np.zeros(0, np.uint8), *parts])
     at = stop[offsets].tolist()
-    return [data[a + 1 : b] for a, b in zip(at, at[1:], strict=False)]
+    return [data[a + 1 : b].tobytes() for a, b in zip(at, at[1:], strict=False)]
 
 
 def texts_of(column: pa.Array) -> Iterator[tuple[int, int, list[bytes | None]]]:

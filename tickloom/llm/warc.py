@@ -281,8 +281,9 @@ def merge(runs: DataFrame, ranges: int) -> DataFrame:
     return ranged.mapInArrow(run, CAPTURE)
 
 
-def key_bounds(rows: DataFrame, n: int, ranges: int, per_range: int = 64) -> list[tuple[str, str]]:
-    """(url_key, ts) between ``ranges`` ranges, from a sample of about ``per_range`` keys each; n: the number of rows."""
+def key_bounds(rows: DataFrame, n: int, ranges: int) -> list[tuple[str, str]]:
+    """(url_key, ts) between ``ranges`` ranges, from a sample of about 64 keys each, but not much over 2**20 in all; n: the number of rows."""
+    per_range = max(1, min(64, (1 << 20) // ranges))
     sample = rows.select("url", "ts").sample(min(1.0, per_range * ranges / max(1, n)), seed=3).limit(2 * per_range * ranges).collect()
     keys = sorted((url_key(" ".join((r.url or "").split())), r.ts) for r in sample)
     return sorted({keys[len(keys) * k // ranges] for k in range(1, ranges)} if keys else set())
