@@ -2,10 +2,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 import corpus_pipeline
-from tickloom.llm.simhash import components, fingerprint, forest, simhash_components, simhash_stage, similar_components
+from tickloom.llm.simhash import between, components, fingerprint, forest, simhash_components, simhash_stage, similar_components
 
 from .odd import odd_texts
 
@@ -46,7 +47,7 @@ def test_a_forest_has_the_links_components():
     seeds = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 20).astype(np.uint64)) for s in seeds]))
     for radius in (2, 4, 30):
-        a, b = (fps[x] for x in forest(fps[:, None], fps[:, None], True, radius))
+        a, b = (fps[x] for x in forest(fps[:, None], fps[:, None], True, (radius, 64)))
         want = plain({int(f): int(f) for f in fps}, radius)
         got = {int(f): int(f) for f in fps}
         for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True)) * len(fps):
@@ -133,8 +134,10 @@ def test_similar_components_against_all_pairs(docs_of):
     assert {r.id: first[r.component] for r in found} == dict(enumerate(want))
 
 
-def test_parts_that_fall_apart_are_compared(docs_of):
+@pytest.mark.parametrize("most", [(2048, 8 << 20), (5, 1 << 20)])
+def test_parts_that_fall_apart_are_compared(docs_of, monkeypatch, most):
     """With a similarity that few candidates reach, all candidate pairs count."""
+    monkeypatch.setattr(between, "__defaults__", (most,))
     texts = near_copies()
     sets = [plain_set(t) for t in texts]
     found = {r.id: r.component for r in similar_components(docs_of(texts).selectExpr("doc_id AS row", "doc_id AS id", "text"), similarity=(19, 20)).collect()}
@@ -142,6 +145,13 @@ def test_parts_that_fall_apart_are_compared(docs_of):
         for j, b in enumerate(sets[:i]):
             if a == b or len(a & b) * 20 >= len(a | b) * 19:
                 assert found[i] == found[j], (i, j)
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) * 20 >= len(a | b) * 19:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert len(set(found.values())) == len(set(root))
 
 
 def test_the_stage_drops_near_copies_at_eight_tenths(spark, docs_of):

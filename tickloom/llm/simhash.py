@@ -16,7 +16,8 @@ The comparison is quadratic in the number of distinct fingerprints; the tests of
 The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its fingerprints have 128 bits: at
 0.8, about 19 of them differ, with a deviation of 4; candidates are pairs that differ in 36 at most, and in 20 at most of the first
 64, by which tiles are compared. Each candidate's similarity is computed from the whole sets. Tile pairs first give forests of
-candidates; where these fall apart because a link isn't similar enough, all candidate pairs between the parts are compared.
+candidates, those of few bits first; where these fall apart because a candidate isn't similar enough, all candidates between the
+parts are compared in blocks, which return forests again.
 
 Defined results: null and empty texts and texts without words have fingerprint zero, linked like any other; the
 component's id is the smallest id that isn't null; repeated rows give repeated results; an empty table gives an
@@ -136,8 +137,9 @@ def near(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int) -> I
                 yield i + at, j
 
 
-def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles (or within one), as places in them."""
+def forest(a: np.ndarray, b: np.ndarray, same: bool, *limits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between two tiles (or within one), as places in them; links under the first of the limits (radius, total)
+    are taken before those under the next."""
     n = len(a)
     base, parent = 0 if same else n, np.arange(n if same else n + len(b))
     left: list[int] = []
@@ -150,7 +152,7 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int = 6
         parent[x] = up
         return up
 
-    for rows, cols in near(a, b, same, radius, total):
+    for rows, cols in (x for limit in limits for x in near(a, b, same, *limit)):
         begin = np.flatnonzero(np.diff(rows, prepend=-1))
         for x, y in zip(begin, np.append(begin[1:], len(rows)), strict=True):
             mine = roots(rows[x : x + 1])[0]
@@ -212,7 +214,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = materialise(fingerprints(docs, id_col, text_col, words, seed), "simhash-fps")
     classes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
     tiled = materialise(tiles(classes.withColumn("node", F.col("fp")), ["fp"], tile_size), "simhash-tiles")
-    roots = components(pairs_of(tiled, 1, radius, lambda a, b, same: iter([forest(a, b, same, radius)])), "simhash-components")
+    roots = components(pairs_of(tiled, 1, radius, lambda a, b, same: iter([forest(a, b, same, (radius, 64))])), "simhash-components")
     discard(tiled)
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "first", "root")
     lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -242,24 +244,68 @@ def wide_fingerprint(h: np.ndarray) -> np.ndarray:
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (a, b) whose sets are similar, compared whole."""
-    up, down = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) * down >= max(len(x), len(y)) * up:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    hit[i] = down * both >= up * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit))
+            hit = [jaccard(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), similarity) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
     left, right = (sets.select(F.col("node").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "sa"), ("b", "sb")))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 20, total: int = 36, tile_size: int = 65_536) -> DataFrame:
-    """(row, id, component) of rows (row, id, text): ``component`` is the same for texts that links of similar sets of shingles connect."""
+PER_TASK = 2048, 8 << 20  # texts and bytes of their sets on either side of a comparison
+
+
+def jaccard(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
+    """Whether two sets, as sorted numbers, are similar."""
+    up, down = similarity
+    if min(len(x), len(y)) * down < max(len(x), len(y)) * up:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return down * both >= up * (len(x) + len(y) - both)
+
+
+def between(parts: DataFrame, similarity: tuple[int, int], radius: int, total: int, most: tuple[int, int] = PER_TASK) -> DataFrame:
+    """(a, b): links between the roots of each zone, from rows of (node, zone, root, f0, f1, shingles). All candidates between different roots are
+    compared until they are connected, in blocks of a zone against each other, so a large zone is no task's alone; a task
+    returns a spanning forest."""
+    sizes = parts.groupBy("zone").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most[0]), F.ceil(F.sum(F.length("shingles")) / most[1])).alias("n"))
+    blocks = parts.join(sizes, "zone").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
+    blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
+    blocks = blocks.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("zone", "x", "y", "own", "root", "f0", "f1", "shingles")
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        names, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
+        fps = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("f0", "f1")], axis=1)
+        sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows["shingles"]]
+        left = rows["own"].to_numpy() == rows["x"][0].as_py()
+        same = rows["x"][0] == rows["y"][0]
+        ia, ib = np.flatnonzero(left), np.flatnonzero(left if same else ~left)
+        up, found = list(range(len(names))), []
+
+        def find(k: int) -> int:
+            while up[k] != k:
+                up[k] = k = up[up[k]]
+            return k
+
+        for i, j in near(fps[ia], fps[ib], same, radius, total) if len(ia) and len(ib) else ():
+            i, j = ia[i], ib[j]
+            cross = root[i] != root[j]
+            for p, q in zip(i[cross].tolist(), j[cross].tolist(), strict=True):
+                a, b = find(root[p]), find(root[q])
+                if a != b and jaccard(sets[p], sets[q], similarity):
+                    up[max(a, b)] = min(a, b)
+                    found.append((names[root[p]], names[root[q]]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    return blocks.groupBy("zone", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 20, total: int = 36, tight: tuple[int, int] = (14, 18), tile_size: int = 65_536) -> DataFrame:
+    """(row, id, component) of rows (row, id, text): ``component`` is the same for texts that links of similar sets of shingles connect.
+    ``tight``: the limits under which most candidates are similar."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -282,24 +328,25 @@ def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int
     classes = fps.groupBy("key").agg(F.min("row").alias("node"), F.min("f0").alias("f0"), F.min("f1").alias("f1"))
     classes = materialise(classes, "near-classes")
     tiled = materialise(tiles(classes, ["f0", "f1"], tile_size), "near-tiles")
-    first = materialise(pairs_of(tiled, 2, radius, lambda a, b, same: iter([forest(a, b, same, radius, total)])), "near-candidates")
+    first = materialise(pairs_of(tiled, 2, radius, lambda a, b, same: iter([forest(a, b, same, tight, (radius, total))])), "near-candidates")
     # the whole sets of the classes that have candidates, from the row that each class is named after
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
     sets = materialise(texts.select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "near-sets")
     linked = materialise(similar(first, sets, similarity), "near-links")
-    # what candidates connect and links don't: all candidate pairs between such parts
-    around, roots = components(first, "near-around"), components(linked, "near-roots")
-    parts = around.withColumnRenamed("root", "around").join(roots, "node", "left").select("node", "around", F.coalesce("root", "node").alias("root"))
-    apart = parts.groupBy("around").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("around")
-    some = materialise(parts.join(apart, "around").join(classes.select("node", "f0", "f1"), "node").select("node", "f0", "f1", "root"), "near-parts")
-    again = materialise(tiles(some.select("node", "f0", "f1"), ["f0", "f1"], tile_size), "near-tiles")
-    more = pairs_of(again, 2, radius, lambda a, b, same: near(a, b, same, radius, total))
-    own = lambda x: some.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-    more = more.join(own("a"), "a").join(own("b"), "b").filter("root_a != root_b").select("a", "b").join(first, ["a", "b"], "left_anti")
-    more = materialise(similar(materialise(more, "near-candidates"), sets, similarity), "near-links")
-    roots = components(linked.union(more), "near-components")
-    of = classes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("component"))
+    roots = components(linked, "near-roots")
+    of = classes.join(roots, "node", "left").select("key", "node", "f0", "f1", F.coalesce("root", "node").alias("root"))
+    # where candidates of the forests aren't similar, all candidates between what links connect on either side are compared
+    root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    failed = first.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    failed = materialise(failed.filter("a != b").distinct(), "near-failed")
+    zones = components(failed, "near-zones").select(F.col("node").alias("root"), F.col("root").alias("zone"))
+    parts = of.join(zones, "root").join(sets, "node").select("node", "zone", "root", "f0", "f1", "shingles")
+    more = materialise(between(parts, similarity, radius, total), "near-links")
+    if not more.isEmpty():
+        tops = components(more, "near-tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        of = of.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
+    of = of.select("key", F.col("root").alias("component"))
     return fps.join(of, "key").select("row", "id", "component")
 
 
