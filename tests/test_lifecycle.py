@@ -1,3 +1,4 @@
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,6 +104,20 @@ def test_files_go_with_their_chunks(spark, tmp_path):
     assert len(data_folders(tmp_path / "b")) == 1 and kept.points().count() == 0
 
 
+def test_sealed_files_are_sorted_by_series(spark, tmp_path):
+    store = Store(spark, str(tmp_path), grace=0)
+    for k in range(3):
+        lines = [(f"put m {T0 + i} {i} host=h{i * 7 % 50}", i) for i in range(200)]
+        store.append(parse_put(spark.createDataFrame(lines, "value string, seq long")))
+    store.seal_all()
+    store.clean()
+    files = list(tmp_path.glob("data/chunk_start=*/name=*/*.parquet"))
+    for f in files:
+        ids = pq.read_table(f)["series_id"].to_pylist()
+        assert ids == sorted(ids)
+    assert sum(pq.read_table(f).num_rows for f in files) == 600
+
+
 def test_one_scan_and_few_registries(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     for k in range(lifecycle.KEEP + 3):

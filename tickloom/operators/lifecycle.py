@@ -135,8 +135,9 @@ class Store:
         """Write a folder for each chunk, in files of a size that Spark's advice gives, however few chunks there are."""
         name = uuid.uuid4().hex
         rows = points if "write" in points.columns else points.withColumn("write", F.lit(version).cast("long"))
-        rows = rows.withColumn("name", F.lit(name)).hint("rebalance", "chunk_start")
-        (rows.sortWithinPartitions("chunk_start", *order) if order else rows).write.mode("append").partitionBy("chunk_start", "name").parquet(f"{self.root}/data")
+        # a name that isn't a constant to Spark, so that the writer's order by chunk and name is seen to hold in the order asked for
+        rows = rows.withColumn("name", F.when(F.col("chunk_start").isNotNull(), name)).hint("rebalance", "chunk_start")
+        (rows.sortWithinPartitions("chunk_start", "name", *order) if order else rows).write.mode("append").partitionBy("chunk_start", "name").parquet(f"{self.root}/data")
         return name
 
     def series(self) -> DataFrame:
