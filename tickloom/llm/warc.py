@@ -172,11 +172,13 @@ def read_archives(manifest: DataFrame, bounds: list[tuple[str, str]] = []) -> Da
             for archive in batch.column(0).to_pylist():
                 found = captures(archive)
                 cuts = [0, *(bisect.bisect_left(found, x, key=lambda c: c[:2]) for x in bounds), len(found)]
+                rows = []
                 for k, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)):
                     for at in range(x, y, BLOCK):
-                        rows = found[at : min(at + BLOCK, y)]
-                        first = rows[0]
-                        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((k, *first[:3], *first[8:10], batch_of(rows).serialize().to_pybytes()), BLOCK_TYPES, strict=True)], BLOCK_NAMES)
+                        own = found[at : min(at + BLOCK, y)]
+                        rows.append((k, *own[0][:3], *own[0][8:10], batch_of(own).serialize().to_pybytes()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK_TYPES, strict=True)], BLOCK_NAMES)
 
     n = max(shuffle_partitions(manifest.sparkSession), 1)
     return manifest.repartition(n, "archive").mapInArrow(run, "range int, url_key string, ts string, id long, archive string, position long, block binary")
