@@ -54,10 +54,15 @@ def test_stages_return_the_columns_of_documents(spark):
 
 
 def test_scratch_tables_go(spark):
+    there = lambda df: Path(df._shared_path.removeprefix("file:")).exists()
     with scratch(spark):
-        gone, kept = materialise(spark.range(3), "a"), materialise(spark.range(3), "b", keep=True)
-    assert kept.count() == 3 and not Path(gone._shared_path.removeprefix("file:")).exists()
-    discard(kept)
+        with scratch(spark):
+            gone, kept = materialise(spark.range(3), "a"), materialise(spark.range(3), "b", keep=True)
+        assert kept.count() == 3 and there(kept) and not there(gone)
+        last = materialise(spark.range(3), "c", keep=True)
+    assert there(last) and not there(kept)
+    discard(last)
+    assert not there(last)
 
 
 def test_the_rest_works_without_this_package(monkeypatch):

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+_made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,14 +39,15 @@ def shared_path(spark: SparkSession, tag: str) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialised within are deleted at the end, but for those to ``keep``."""
-    made = _made.set([])
+    """Tables that are materialised within are deleted at the end, but for those to ``keep``, which live as long as what is around."""
+    own: list[str] = []
+    made = _made.set((*_made.get(), own))
     try:
         yield
     finally:
-        for path in _made.get() or []:
-            delete(spark, path)
         _made.reset(made)
+        for path in own:
+            delete(spark, path)
 
 
 def materialise(df: DataFrame, tag: str, partition_by: str | None = None, *, keep: bool = False, **options) -> DataFrame:
@@ -54,7 +55,7 @@ def materialise(df: DataFrame, tag: str, partition_by: str | None = None, *, kee
     stage. The shuffle files of the write are removed when it ends."""
     spark = df.sparkSession
     path, before = shared_path(spark, tag), spark.conf.get(CLEANUP, "false")
-    if (made := _made.get()) is not None and not keep:
+    for made in _made.get()[-1 - keep : len(_made.get()) - keep]:
         made.append(path)
     spark.conf.set(CLEANUP, "true")
     try:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
-from .common import discard, materialise, shuffle_partitions, table
+from .common import discard, materialise, scratch, shuffle_partitions, table
 
 RUN = 128
 
@@ -354,8 +354,9 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """One row of each component, with all its columns."""
     row = f"row_{uuid.uuid4().hex}"
     tagged = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    found = similar_components(tagged.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")))
-    found = materialise(found, "near-components")
+    rows = tagged.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    with scratch(spark):
+        found = materialise(similar_components(rows), "near-components", keep=True)
     least = found.groupBy("component").agg(F.min("id").alias("least"))
     leads = found.join(least, "component").filter(F.col("id").eqNullSafe(F.col("least"))).groupBy("component").agg(F.min("row").alias(row)).select(row)
     return tagged.join(leads, row, "left_semi").select(*docs.columns)
