@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.chunks import chunk_end, chunk_start, data_set
+from ..functions.chunks import chunk_end, data_set
 from ..plans.model import CHUNK_SECONDS, POINTS, SERIES
 from .catalog import series_of
 
@@ -205,7 +205,3 @@ class Store:
 
 def folders(start: int, chunk: dict) -> list[str]:
     return [f"data/chunk_start={start}/name={n}" for n in chunk["writes"]]
-
-
-def with_chunks(points: DataFrame) -> DataFrame:
-    return points.withColumn("chunk_start", chunk_start(F.col("ts")))

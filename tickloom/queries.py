@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions.chunks import chunk_end, data_set
 from .functions.parsing import clean_tags, format_put, graphite_to_put, parse_put
 from .operators import catalog, codec, lifecycle, select, stats
-from .plans.model import Query, QueryAggregation, TagMatcher
+from .plans.model import MAX_TS, Query, QueryAggregation, TagMatcher
 from .sources import views
 from .streaming.ingest import counters, judged
 
@@ -335,7 +335,7 @@ def late_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EVENTS} SELECT full_name, ts, val, seq FROM e WHERE chunk_start + 7200 > {NOW - 21600}")
 def retained_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lifecycle.cutoff(NOW, lifecycle.STALE_DELAY)
-    return lifecycle.retained(views.events(spark, sf_dir, None, first, views.MAX_TS), NOW).select("full_name", "ts", "val", "seq")
+    return lifecycle.retained(views.events(spark, sf_dir, None, first, MAX_TS), NOW).select("full_name", "ts", "val", "seq")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

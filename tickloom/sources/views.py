@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.chunks import chunk_start
 from ..functions.matching import alternatives, selects
 from ..functions.parsing import series_id
-from ..plans.model import CHUNK_SECONDS, MAX_TS, MatchType, Query
+from ..plans.model import CHUNK_SECONDS, MatchType, Query
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
