@@ -47,7 +47,9 @@ def test_a_forest_has_the_links_components():
     seeds = rng.integers(0, 2**63, 30, dtype=np.uint64)
     fps = np.unique(np.concatenate([s ^ (np.uint64(1) << rng.integers(0, 64, 20).astype(np.uint64)) for s in seeds]))
     for radius in (2, 4, 30):
-        a, b = (fps[x] for x in forest(fps[:, None], fps[:, None], True, (radius, 64)))
+        parts, *found = forest(fps[:, None], fps[:, None], np.arange(len(fps)), True, (radius, 64))
+        a, b = (fps[x] for x in found)
+        assert len(set(parts.tolist())) == len(fps) - len(a)
         want = plain({int(f): int(f) for f in fps}, radius)
         got = {int(f): int(f) for f in fps}
         for x, y in sorted(zip(a.tolist(), b.tolist(), strict=True)) * len(fps):

@@ -7,8 +7,9 @@ Equal fingerprints collapse to one class first, so copies never meet as pairs. C
 of one population count, in the order of the population counts of their four 16-bit blocks. Two fingerprints differ in
 at least as many bits as their population counts do, so only tile pairs whose counts differ by ``radius`` or less
 are paired, by number; the tiles' bytes are attached afterwards. Within a pair only those runs of 128 whose block counts come near
-enough are compared. There, numpy takes the exclusive or and the bit count of all pairs: the comparison is exact and has no cap. A tile pair
-returns a spanning forest of its links, not the links. Components come from min-label propagation with pointer jumping over the
+enough are compared. There, numpy takes the exclusive or and the bit count of all pairs: the comparison is exact and has no cap. A tile keeps
+which of its classes its own links connect, and returns a spanning forest of them; a pair of tiles returns only the links that connect
+such parts, so a large group costs a link a tile pair. Components come from min-label propagation with pointer jumping over the
 forests, each round written to the shared folder, until no label moves.
 
 The comparison is quadratic in the number of distinct fingerprints; the tests of counts leave out most of it.
@@ -28,7 +29,7 @@ empty result; further columns are ignored, whatever their names. The stage keeps
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +77,9 @@ def blocks(fps: np.ndarray) -> np.ndarray:
     return np.bitwise_count(np.ascontiguousarray(fps).view(np.uint16).reshape(-1, 4)).astype(np.int16)
 
 
-def tiles(classes: DataFrame, fps: list[str], most: int) -> DataFrame:
-    """(tile, pop, nodes, fps): tiles of up to ``most`` classes (node long, the words of a fingerprint) of one population count of the
-    first word."""
+def tiles(classes: DataFrame, fps: list[str], most: int, *limits: tuple[int, int]) -> DataFrame:
+    """(tile, pop, nodes, fps, parts, a, b): tiles of up to ``most`` classes (node long, the words of a fingerprint) of one population count of
+    the first word; the part that each class is in by the tile's own links, and a spanning forest (a, b) of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -91,7 +92,10 @@ def tiles(classes: DataFrame, fps: list[str], most: int) -> DataFrame:
                 own = np.concatenate(held)
                 for at in range(0, len(own), most):
                     x = own[at : at + most]
-                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([pop], pa.int32()), *(pa.array([np.ascontiguousarray(y).tobytes()], pa.binary()) for y in (x[:, 0], x[:, 1:]))], ["tile", "pop", "nodes", "fps"])
+                    nodes = np.ascontiguousarray(x[:, 0])
+                    own_parts, a, b = forest(x[:, 1:], x[:, 1:], np.arange(len(x)), True, *limits)
+                    columns = (nodes, np.ascontiguousarray(x[:, 1:]), own_parts.astype(np.int64), nodes[a], nodes[b])
+                    yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([pop], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in columns)], ["tile", "pop", "nodes", "fps", "parts", "a", "b"])
                     k += 1
             held = []
 
@@ -109,7 +113,7 @@ def tiles(classes: DataFrame, fps: list[str], most: int) -> DataFrame:
     # by population count and fingerprint: a range boundary may split a count, so no count is too much for a task
     parts, by = max(6, classes.count() // most), ["pop", "b0", "b16", "b32", first, "node"]
     spread = sorted_.repartitionByRange(parts, *by).sortWithinPartitions(*by)
-    return spread.select("pop", "node", *fps).mapInArrow(run, "tile long, pop int, nodes binary, fps binary")
+    return spread.select("pop", "node", *fps).mapInArrow(run, "tile long, pop int, nodes binary, fps binary, parts binary, a binary, b binary")
 
 
 def near(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,11 +141,11 @@ def near(a: np.ndarray, b: np.ndarray, same: bool, radius: int, total: int) -> I
                 yield i + at, j
 
 
-def forest(a: np.ndarray, b: np.ndarray, same: bool, *limits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles (or within one), as places in them; links under the first of the limits (radius, total)
-    are taken before those under the next."""
-    n = len(a)
-    base, parent = 0 if same else n, np.arange(n if same else n + len(b))
+def forest(a: np.ndarray, b: np.ndarray, parts: np.ndarray, same: bool, *limits: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(parts, i, j): the links (i, j), as places in the tiles a and b (or within one), that a spanning forest needs to connect what ``parts``,
+    numbers over both tiles, hold already; and the parts after that. Links under the first of the limits (radius, total) are taken before those
+    under the next."""
+    base, parent = 0 if same else len(a), parts.copy()
     left: list[int] = []
     right: list[int] = []
 
@@ -161,34 +165,39 @@ def forest(a: np.ndarray, b: np.ndarray, same: bool, *limits: tuple[int, int]) -
             left += [int(rows[x])] * int(new.sum())
             right += cols[x:y][which[new]].tolist()
             parent[others] = mine
-    return np.array(left, np.int64), np.array(right, np.int64)
+    return roots(np.arange(len(parent))), np.array(left, np.int64), np.array(right, np.int64)
 
 
 def tile_pairs(tiled: DataFrame, radius: int, salts: int = 8) -> DataFrame:
-    """(same, na, fa, nb, fb): each two tiles whose population counts come near enough, once. Numbers are paired first, a hot count in
-    ``salts`` parts; a pair of counts meets once, with the smaller count, or tile number, on the left."""
+    """Each two tiles whose population counts come near enough, once. Numbers are paired first, a hot count in ``salts`` parts; a pair of
+    counts meets once, with the smaller count, or tile number, on the left."""
     left = tiled.select(F.col("tile").alias("ta"), F.pmod("tile", F.lit(salts)).alias("salt"), F.explode(F.expr(f"sequence(pop, least(64, pop + {radius}))")).alias("pop"), F.col("pop").alias("pa"))
     right = tiled.select(F.col("tile").alias("tb"), "pop", F.explode(F.expr(f"sequence(0L, {salts - 1}L)")).alias("salt"))
-    pairs = left.join(right, ["pop", "salt"]).filter((F.col("pa") < F.col("pop")) | (F.col("ta") <= F.col("tb"))).select("ta", "tb")
-    bytes_of = lambda x: tiled.select(F.col("tile").alias(f"t{x}"), F.col("nodes").alias(f"n{x}"), F.col("fps").alias(f"f{x}"))
+    pairs = left.join(right, ["pop", "salt"]).filter((F.col("pa") < F.col("pop")) | (F.col("ta") < F.col("tb"))).select("ta", "tb")
+    bytes_of = lambda x: tiled.select(F.col("tile").alias(f"t{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("nodes", "fps", "parts")))
     both = pairs.join(bytes_of("a"), "ta").join(bytes_of("b"), "tb")
     spread = both.repartition(4 * shuffle_partitions(tiled.sparkSession), "ta", "tb")
-    return spread.select((F.col("ta") == F.col("tb")).alias("same"), "na", "fa", "nb", "fb")
+    return spread.select(*(f"{c}_{x}" for c in ("nodes", "fps", "parts") for x in "ab"))
 
 
-def pairs_of(tiled: DataFrame, words: int, radius: int, found: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(a, b): what ``found`` gives for each pair of tiles, from their fingerprints and whether they are the same, as nodes."""
+def links(tiled: DataFrame, words: int, *limits: tuple[int, int]) -> DataFrame:
+    """(a, b): the tiles' own forests, and for each two of them the links that connect their parts, over nodes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c[k].as_buffer(), np.int64)) for c in batch.columns], ["a", "b"])
+
+    def between_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                same, na, fa, nb, fb = (c[k] for c in batch.columns)
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64).reshape(-1, words) for x in (fa, fb))
-                na, nb = (np.frombuffer(x.as_buffer(), np.int64) for x in (na, nb))
-                for i, j in found(a, b, same.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], ["a", "b"])
+                na, nb, fa, fb, pa_, pb = (np.frombuffer(c[k].as_buffer(), np.int64) for c in batch.columns)
+                a, b = (x.view(np.uint64).reshape(-1, words) for x in (fa, fb))
+                _, i, j = forest(a, b, np.concatenate((pa_, pb + len(na))), False, *limits)
+                yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], ["a", "b"])
 
-    return tile_pairs(tiled, radius).mapInArrow(run, "a long, b long")
+    across = tile_pairs(tiled, max(r for r, _ in limits)).mapInArrow(between_two, "a long, b long")
+    return tiled.select("a", "b").mapInArrow(own, "a long, b long").unionByName(across)
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -213,8 +222,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id_col, fingerprint, component_id) for each row."""
     fps = materialise(fingerprints(docs, id_col, text_col, words, seed), "simhash-fps")
     classes = materialise(fps.groupBy("fp").agg(F.min("id").alias("first")), "simhash-classes")
-    tiled = materialise(tiles(classes.withColumn("node", F.col("fp")), ["fp"], tile_size), "simhash-tiles")
-    roots = components(pairs_of(tiled, 1, radius, lambda a, b, same: iter([forest(a, b, same, (radius, 64))])), "simhash-components")
+    tiled = materialise(tiles(classes.withColumn("node", F.col("fp")), ["fp"], tile_size, (radius, 64)), "simhash-tiles")
+    roots = components(links(tiled, 1, (radius, 64)), "simhash-components")
     discard(tiled)
     linked = classes.join(roots, classes["fp"] == roots["node"]).select("fp", "first", "root")
     lead = linked.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -327,8 +336,8 @@ def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int
     fps = materialise(rows.select("row", "id", "text").mapInArrow(marked, "row long, id long, key binary, f0 long, f1 long"), "near-rows")
     classes = fps.groupBy("key").agg(F.min("row").alias("node"), F.min("f0").alias("f0"), F.min("f1").alias("f1"))
     classes = materialise(classes, "near-classes")
-    tiled = materialise(tiles(classes, ["f0", "f1"], tile_size), "near-tiles")
-    first = materialise(pairs_of(tiled, 2, radius, lambda a, b, same: iter([forest(a, b, same, tight, (radius, total))])), "near-candidates")
+    tiled = materialise(tiles(classes, ["f0", "f1"], tile_size, tight, (radius, total)), "near-tiles")
+    first = materialise(links(tiled, 2, tight, (radius, total)), "near-candidates")
     # the whole sets of the classes that have candidates, from the row that each class is named after
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
