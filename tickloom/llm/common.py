@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _made: ContextVar[tuple[list[str], ...]] = ContextVar("made", default=())
+RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,17 +53,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def materialise(df: DataFrame, tag: str, partition_by: str | None = None, *, keep: bool = False, **options) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts the lineage: a lost executor costs no earlier
-    stage. The shuffle files of the write are removed when it ends."""
+    stage. The shuffle files of the write are removed when it ends. Python gets texts a thousand at a time, which keeps batches of texts small."""
     spark = df.sparkSession
-    path, before = shared_path(spark, tag), spark.conf.get(CLEANUP, "false")
+    path, before = shared_path(spark, tag), {CLEANUP: spark.conf.get(CLEANUP, "false"), RECORDS: spark.conf.get(RECORDS)}
     for made in _made.get()[-1 - keep : len(_made.get()) - keep]:
         made.append(path)
     spark.conf.set(CLEANUP, "true")
+    spark.conf.set(RECORDS, min(1000, int(before[RECORDS])) if int(before[RECORDS]) > 0 else 1000)
     try:
         writer = df.write.options(**options)
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
