@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tickloom.llm.simhash import between, components, fingerprint, forest, simhash_components, simhash_stage, similar_components
+from tickloom.llm.simhash import between, components, fingerprint, forest, simhash_components, simhash_stage, similar_components, spanning
 
 from .odd import odd_texts
 
@@ -62,6 +62,21 @@ def test_a_forest_has_the_links_components():
         assert set(Counter(want.values()).values()) == set(Counter(want[int(f)] for f in fps).values())
 
 
+def test_spanning_edges_connect_the_same(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(60), rng.randrange(60)) for _ in range(300)] + [(-5, 2**62)]
+    edges = spark.createDataFrame(rows, "a long, b long")
+    for most in (1000, 40):
+        found = spanning(edges, most).collect()
+        assert len(found) <= 61 * -(-len(rows) // most) and {tuple(r) for r in found} <= set(rows)
+        root = {x: x for r in rows for x in r}
+        for a, b in [tuple(r) for r in found]:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        assert all(root[a] == root[b] for a, b in rows)
+    assert spanning(edges.limit(0)).count() == 0
+
+
 def test_components_of_long_paths(spark):
     n = 60
     nodes = list(range(n))

@@ -74,7 +74,7 @@ def neighbours(data: np.ndarray, offsets: np.ndarray, index: np.ndarray, total:
     a, b = (pairs[cut] >> SLOT_BITS).astype(np.int64), (pairs[cut] & (SLOTS - 1)).astype(np.int64)
     for own, other in ((a, b), (b, a)):
         order = np.argsort(own, kind="stable") if own is b else slice(None)
-        own, around = own[order], index[other[order]] * n[order, None]
+        own, around = own[order], index[other[order]] * n[order, None].astype(np.float32)
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
         if len(first):
             total[own[first]] += np.add.reduceat(around, first)
@@ -174,7 +174,7 @@ def contexts(docs: DataFrame, index: np.ndarray) -> np.ndarray:
         total = np.zeros((SLOTS, DIMS))
         for batch in batches:
             data, offsets = utf8(batch.column(0))
-            for a, b in chunks(offsets, 1 << 22):
+            for a, b in chunks(offsets, 1 << 19):
                 neighbours(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], index, total)
         own = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(own), *(pa.array(x) for x in total[own].T)], ["slot", *dims])

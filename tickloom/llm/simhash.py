@@ -200,6 +200,29 @@ def links(tiled: DataFrame, words: int, *limits: tuple[int, int]) -> DataFrame:
     return tiled.select("a", "b").mapInArrow(own, "a long, b long").unionByName(across)
 
 
+def spanning(edges: DataFrame, most: int = 1 << 19) -> DataFrame:
+    """Edges (a, b), written already, that connect what ``edges`` do: a spanning forest of every ``most`` of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches]
+        if not held:
+            return
+        pairs = np.concatenate(held)
+        names, at = np.unique(pairs, return_inverse=True)
+        up, kept = list(range(len(names))), []
+        for k, (x, y) in enumerate(at.reshape(-1, 2).tolist()):
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                kept.append(k)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[kept, 0]), pa.array(pairs[kept, 1])], ["a", "b"])
+
+    return edges.select("a", "b").repartition(max(1, -(-edges.count() // most))).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node reached. Each round takes the least label
     around a node and then its label's label, and is written to the shared folder; rounds end when no label moves."""
@@ -343,17 +366,17 @@ def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int
     texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
     sets = materialise(texts.select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "near-sets")
     linked = materialise(similar(first, sets, similarity), "near-links")
-    roots = components(linked, "near-roots")
+    roots = components(spanning(linked), "near-roots")
     of = classes.join(roots, "node", "left").select("key", "node", "f0", "f1", F.coalesce("root", "node").alias("root"))
     # where candidates of the forests aren't similar, all candidates between what links connect on either side are compared
     root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     failed = first.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     failed = materialise(failed.filter("a != b").distinct(), "near-failed")
-    zones = components(failed, "near-zones").select(F.col("node").alias("root"), F.col("root").alias("zone"))
+    zones = components(spanning(failed), "near-zones").select(F.col("node").alias("root"), F.col("root").alias("zone"))
     parts = of.join(zones, "root").join(sets, "node").select("node", "zone", "root", "f0", "f1", "shingles")
     more = materialise(between(parts, similarity, radius, total), "near-links")
     if not more.isEmpty():
-        tops = components(more, "near-tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        tops = components(spanning(more), "near-tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
         of = of.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
     of = of.select("key", F.col("root").alias("component"))
     return fps.join(of, "key").select("row", "id", "component")
