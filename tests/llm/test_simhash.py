@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tickloom.llm.simhash import between, components, fingerprint, forest, simhash_components, simhash_stage, similar_components, spanning
+from tickloom.llm.simhash import between, components, fingerprint, forest, simhash_components, simhash_stage, similar_components, spanning, wide_fingerprint
 
 from .odd import odd_texts
 
@@ -86,6 +86,35 @@ def test_components_of_long_paths(spark):
     assert got == {**dict.fromkeys(range(n), 0), 100: 100, 101: 100, 102: 100}
 
 
+@pytest.mark.parametrize("most", [7, 40, 1000])
+def test_components_over_several_tasks(spark, most):
+    rng = random.Random(most)
+    path = rng.sample(range(1000), 300)
+    rows = [(x, y) for x, y in zip(path, path[1:], strict=False) if rng.random() < 0.9]
+    rows += [(2000, 2000 + k) for k in range(1, 60)] + [(3000 - k, 3000) for k in range(1, 60)] + [(rng.randrange(4000, 4050), rng.randrange(4000, 4050)) for _ in range(80)]
+    rows += [(-5, 2**62), (9000, 9000)]
+    want = {x: x for r in rows for x in r}
+    for a, b in rows:
+        low, high = sorted((want[a], want[b]))
+        want = {k: low if v == high else v for k, v in want.items()}
+    got = components(spark.createDataFrame(rows, "a long, b long"), most=most).collect()
+    assert len(got) == len(want) and {r.node: r.root for r in got} == want
+
+
+def test_components_join_few_rows(spark):
+    """Edges that fit a task are written and united, however far a label would have to travel."""
+    from tickloom.llm import simhash
+
+    n, written, old = 3000, [], simhash.materialise
+    nodes = list(range(n))
+    random.Random(2).shuffle(nodes)
+    edges = spark.createDataFrame(list(zip(nodes, nodes[1:], strict=False)), "a long, b long")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(simhash, "materialise", lambda *a, **k: written.append(old(*a, **k)) or written[-1])
+        assert {r.root for r in components(edges).collect()} == {0}
+    assert len(written) == 2
+
+
 def test_against_a_plain_version(spark, docs_of):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(300)]
@@ -171,6 +200,29 @@ def test_parts_that_fall_apart_are_compared(docs_of, monkeypatch, most):
     assert len(set(found.values())) == len(set(root))
 
 
+def test_repeats_do_not_hide_similar_sets(docs_of):
+    """Sets of shingles are compared, so what a text repeats doesn't count."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(20):
+        base, line = [rng.choice(words) for _ in range(150)], [rng.choice(words) for _ in range(12)]
+        texts += [" ".join(base + line), " ".join(base + line * 60)]
+    want = plain_near(texts)
+    assert len(set(want)) == 20
+    found = {r.id: r.component for r in similar_components(docs_of(texts).selectExpr("doc_id AS row", "doc_id AS id", "text")).collect()}
+    assert all(found[i] == found[i + 1] for i in range(0, 40, 2)) and len(set(found.values())) == 20
+
+
+def test_chance_makes_no_candidates():
+    """The share of bits in which texts without a common shingle come near is far below one in all pairs of a large corpus."""
+    rng = np.random.default_rng(4)
+    fps = np.stack([wide_fingerprint(rng.integers(0, 2**64, (rng.integers(20, 300), 2), dtype=np.uint64)) for _ in range(3000)])
+    apart = np.concatenate([np.bitwise_count(fps[k] ^ fps[k + 1 :]).sum(1, dtype=np.int64) for k in range(len(fps) - 1)])
+    total = similar_components.__kwdefaults__["total"]
+    assert apart.mean() - 7.5 * apart.std() > total
+
+
 def test_the_stage_drops_near_copies_at_eight_tenths(spark, docs_of):
     texts = near_copies()
     kept = dict(corpus_pipeline.STAGES)["simhash"](spark, docs_of(texts), "")

@@ -9,14 +9,15 @@ at least as many bits as their population counts do, so only tile pairs whose co
 are paired, by number; the tiles' bytes are attached afterwards. Within a pair only those runs of 128 whose block counts come near
 enough are compared. There, numpy takes the exclusive or and the bit count of all pairs: the comparison is exact and has no cap. A tile keeps
 which of its classes its own links connect, and returns a spanning forest of them; a pair of tiles returns only the links that connect
-such parts, so a large group costs a link a tile pair. Components come from min-label propagation with pointer jumping over the
-forests, each round written to the shared folder, until no label moves.
+such parts, so a large group costs a link a tile pair. Components come from the forests: as long as there are more edges than a task takes, nodes
+hook to their least neighbour and edges contract to what they hook to, each round written to the shared folder; one task unites the rest.
 
 The comparison is quadratic in the number of distinct fingerprints; the tests of counts leave out most of it.
 
-The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its fingerprints have 128 bits: at
-0.8, about 19 of them differ, with a deviation of 4; candidates are pairs that differ in 36 at most, and in 20 at most of the first
-64, by which tiles are compared. Each candidate's similarity is computed from the whole sets. Tile pairs first give forests of
+The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its fingerprints are those of the sets, without repeats, and have 256 bits: at
+0.8, about 39 of them differ, with a deviation of 6; candidates are pairs that differ in 64 at most, and in 20 at most of the first
+64, by which tiles are compared. Of texts without a common shingle 128 differ, with a deviation of 8, so chance makes no candidates, however many
+texts there are. Each candidate's similarity is computed from the whole sets. Tile pairs first give forests of
 candidates, those of few bits first; where these fall apart because a candidate isn't similar enough, all candidates between the
 parts are compared in blocks, which return forests again.
 
@@ -94,7 +95,7 @@ def tiles(classes: DataFrame, fps: list[str], most: int, *limits: tuple[int, int
                     x = own[at : at + most]
                     nodes = np.ascontiguousarray(x[:, 0])
                     own_parts, a, b = forest(x[:, 1:], x[:, 1:], np.arange(len(x)), True, *limits)
-                    columns = (nodes, np.ascontiguousarray(x[:, 1:]), own_parts.astype(np.int64), nodes[a], nodes[b])
+                    columns = (nodes, np.ascontiguousarray(x[:, 1:]), own_parts.astype(np.int32), nodes[a], nodes[b])
                     yield pa.RecordBatch.from_arrays([pa.array([(part << 32) + k], pa.int64()), pa.array([pop], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in columns)], ["tile", "pop", "nodes", "fps", "parts", "a", "b"])
                     k += 1
             held = []
@@ -191,54 +192,81 @@ def links(tiled: DataFrame, words: int, *limits: tuple[int, int]) -> DataFrame:
     def between_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                na, nb, fa, fb, pa_, pb = (np.frombuffer(c[k].as_buffer(), np.int64) for c in batch.columns)
-                a, b = (x.view(np.uint64).reshape(-1, words) for x in (fa, fb))
-                _, i, j = forest(a, b, np.concatenate((pa_, pb + len(na))), False, *limits)
+                na, nb, fa, fb, pa_, pb = (np.frombuffer(c[k].as_buffer(), t) for c, t in zip(batch.columns, (np.int64, np.int64, np.uint64, np.uint64, np.int32, np.int32), strict=True))
+                a, b = (x.reshape(-1, words) for x in (fa, fb))
+                _, i, j = forest(a, b, np.concatenate((pa_, pb + len(na))).astype(np.int64), False, *limits)
                 yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], ["a", "b"])
 
     across = tile_pairs(tiled, max(r for r, _ in limits)).mapInArrow(between_two, "a long, b long")
     return tiled.select("a", "b").mapInArrow(own, "a long, b long").unionByName(across)
 
 
-def spanning(edges: DataFrame, most: int = 1 << 19) -> DataFrame:
+def united(pairs: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+    """(names, up, kept): the nodes of pairs in order, for each the place of the least that they connect it with, and the pairs of a spanning forest."""
+    names, at = np.unique(pairs, return_inverse=True)
+    up, kept = list(range(len(names))), []
+    for k, (x, y) in enumerate(at.reshape(-1, 2).tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            kept.append(k)
+    for x, y in enumerate(up):  # y is x or comes before it
+        up[x] = up[y]
+    return names, up, kept
+
+
+def whole(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+    """The pairs of all batches."""
+    return np.concatenate([np.zeros((0, 2), np.int64), *(np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches)])
+
+
+MOST_EDGES = 1 << 19  # of a task
+
+
+def spanning(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
     """Edges (a, b), written already, that connect what ``edges`` do: a spanning forest of every ``most`` of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([c.to_numpy() for c in batch.columns], axis=1) for batch in batches]
-        if not held:
-            return
-        pairs = np.concatenate(held)
-        names, at = np.unique(pairs, return_inverse=True)
-        up, kept = list(range(len(names))), []
-        for k, (x, y) in enumerate(at.reshape(-1, 2).tolist()):
-            while up[x] != x:
-                up[x] = x = up[up[x]]
-            while up[y] != y:
-                up[y] = y = up[up[y]]
-            if x != y:
-                up[max(x, y)] = min(x, y)
-                kept.append(k)
+        pairs = whole(batches)
+        _, _, kept = united(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[kept, 0]), pa.array(pairs[kept, 1])], ["a", "b"])
 
     return edges.select("a", "b").repartition(max(1, -(-edges.count() // most))).mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame, tag: str = "components") -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node reached. Each round takes the least label
-    around a node and then its label's label, and is written to the shared folder; rounds end when no label moves."""
-    both = materialise(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), tag)
-    held = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), tag)
-    while True:
-        labels = held.select("node", "root")
-        around = both.join(labels, both["b"] == labels["node"]).select("a", "root").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        near = labels.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        jump = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        new = materialise(near.join(jump, "root").select("node", F.least("root", "up").alias("root"), "was"), tag)
-        discard(held)
-        held = new
-        if new.filter("root != was").isEmpty():
-            discard(both)
-            return new.select("node", "root")
+def components(edges: DataFrame, tag: str = "components", most: int = MOST_EDGES) -> DataFrame:
+    """(node, root) for the nodes of ``edges`` (a, b): root is the smallest node reached. While there are over ``most`` edges, each node takes the
+    least of its neighbours, and that one's least; then edges contract to these, and fewer are left for the next round. One task unites
+    the rest, and the rounds' nodes take the roots of what they took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, up, _ = united(whole(batches))
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[up])], ["node", "root"])
+
+    left, rounds = materialise(edges.select("a", "b"), tag), []
+    while left.count() > most:
+        thin = materialise(spanning(left, most), tag)
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = materialise(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("low")), tag)
+        then = low.select(F.col("node").alias("low"), F.col("low").alias("root"))
+        rounds.append(materialise(low.join(then, "low").select("node", "root"), tag))
+        root_of = lambda x: rounds[-1].select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+        ends = thin.join(root_of("a"), "a").join(root_of("b"), "b").filter("root_a != root_b")
+        contracted = ends.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
+        contracted = materialise(contracted, tag)
+        discard(left, thin, low)
+        left = contracted
+    roots = materialise(left.repartition(1).mapInArrow(run, "node long, root long"), tag)
+    discard(left)
+    for taken in reversed(rounds):
+        then = roots.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        above = materialise(taken.join(then, "root", "left").select("node", F.coalesce("top", "root").alias("root")), tag)
+        discard(roots, taken)
+        roots = above
+    return roots
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, words: int = 4, seed: int = 42, radius: int = 4, tile_size: int = 65_536) -> DataFrame:
@@ -266,11 +294,23 @@ def shingle_hashes(text: bytes, words: int) -> np.ndarray:
     return np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in zip(starts, (ends[most - 1 :] - 1).tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
+WIDE = "f0", "f1", "f2", "f3"  # the words of a wide fingerprint
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Numbers whose bits don't follow those of x: a step of SplitMix64."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def wide_fingerprint(h: np.ndarray) -> np.ndarray:
-    """128 bits of the shingles' hashes."""
-    ones = np.zeros(128, np.int64)
-    for at in range(0, len(h), 16_384):
-        ones += np.unpackbits(np.ascontiguousarray(h[at : at + 16_384]).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    """256 bits: 128 of the hashes of a set of shingles, and 128 of what mixing makes of them."""
+    ones = np.zeros(256, np.int64)
+    for at in range(0, len(h), 8192):
+        x = h[at : at + 8192]
+        ones += np.unpackbits(np.concatenate((x, mixed(x)), axis=1).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return np.packbits(ones * 2 > len(h), bitorder="little").view(np.uint64)
 
 
@@ -299,18 +339,18 @@ def jaccard(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
 
 
 def between(parts: DataFrame, similarity: tuple[int, int], radius: int, total: int, most: tuple[int, int] = PER_TASK) -> DataFrame:
-    """(a, b): links between the roots of each zone, from rows of (node, zone, root, f0, f1, shingles). All candidates between different roots are
+    """(a, b): links between the roots of each zone, from rows of (node, zone, root, the words of a fingerprint, shingles). All candidates between different roots are
     compared until they are connected, in blocks of a zone against each other, so a large zone is no task's alone; a task
     returns a spanning forest."""
     sizes = parts.groupBy("zone").agg(F.greatest(F.ceil(F.count(F.lit(1)) / most[0]), F.ceil(F.sum(F.length("shingles")) / most[1])).alias("n"))
     blocks = parts.join(sizes, "zone").withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
     blocks = blocks.withColumn("other", F.explode(F.expr("sequence(0L, n - 1)")))
-    blocks = blocks.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("zone", "x", "y", "own", "root", "f0", "f1", "shingles")
+    blocks = blocks.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).select("zone", "x", "y", "own", "root", *WIDE, "shingles")
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.combine_chunks()
         names, root = np.unique(rows["root"].to_numpy(), return_inverse=True)
-        fps = np.stack([rows[c].to_numpy().view(np.uint64) for c in ("f0", "f1")], axis=1)
+        fps = np.stack([rows[c].to_numpy().view(np.uint64) for c in WIDE], axis=1)
         sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in rows["shingles"]]
         left = rows["own"].to_numpy() == rows["x"][0].as_py()
         same = rows["x"][0] == rows["y"][0]
@@ -335,19 +375,19 @@ def between(parts: DataFrame, similarity: tuple[int, int], radius: int, total: i
     return blocks.groupBy("zone", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 20, total: int = 36, tight: tuple[int, int] = (14, 18), tile_size: int = 65_536) -> DataFrame:
+def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 20, total: int = 64, tight: tuple[int, int] = (14, 36), tile_size: int = 65_536) -> DataFrame:
     """(row, id, component) of rows (row, id, text): ``component`` is the same for texts that links of similar sets of shingles connect.
     ``tight``: the limits under which most candidates are similar."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], []]
-            for t in batch.column(2).cast(pa.binary()):
+            keys, fps = [], np.zeros((batch.num_rows, len(WIDE)), np.int64)
+            for k, t in enumerate(batch.column(2).cast(pa.binary())):
                 h = shingle_hashes(t.as_py() or b"", words)
-                fp = wide_fingerprint(h).view(np.int64)
-                for x, y in zip(out, (xxh3_128_digest(np.unique(h[:, 0]).tobytes()), int(fp[0]), int(fp[1])), strict=True):
-                    x.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], ["row", "id", "key", "f0", "f1"])
+                own, at = np.unique(h[:, 0], return_index=True)
+                keys.append(xxh3_128_digest(own.tobytes()))
+                fps[k] = wide_fingerprint(h[at]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in fps.T)], ["row", "id", "key", *WIDE])
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,27 +396,27 @@ def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int
                 own = [np.unique(shingle_hashes(t.as_py() or b"", words)[:, 0]).tobytes() for t in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
 
-    fps = materialise(rows.select("row", "id", "text").mapInArrow(marked, "row long, id long, key binary, f0 long, f1 long"), "near-rows")
-    classes = fps.groupBy("key").agg(F.min("row").alias("node"), F.min("f0").alias("f0"), F.min("f1").alias("f1"))
+    fps = materialise(rows.select("row", "id", "text").mapInArrow(marked, f"row long, id long, key binary, {' long, '.join(WIDE)} long"), "near-rows")
+    classes = fps.groupBy("key").agg(F.min("row").alias("node"), *(F.min(c).alias(c) for c in WIDE))
     classes = materialise(classes, "near-classes")
-    tiled = materialise(tiles(classes, ["f0", "f1"], tile_size, tight, (radius, total)), "near-tiles")
-    first = materialise(links(tiled, 2, tight, (radius, total)), "near-candidates")
+    tiled = materialise(tiles(classes, list(WIDE), tile_size, tight, (radius, total)), "near-tiles")
+    first = materialise(links(tiled, len(WIDE), tight, (radius, total)), "near-candidates")
     # the whole sets of the classes that have candidates, from the row that each class is named after
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
     sets = materialise(texts.select("node", "text").mapInArrow(shingled, "node long, shingles binary"), "near-sets")
     linked = materialise(similar(first, sets, similarity), "near-links")
-    roots = components(spanning(linked), "near-roots")
-    of = classes.join(roots, "node", "left").select("key", "node", "f0", "f1", F.coalesce("root", "node").alias("root"))
+    roots = components(linked, "near-roots")
+    of = classes.join(roots, "node", "left").select("key", "node", *WIDE, F.coalesce("root", "node").alias("root"))
     # where candidates of the forests aren't similar, all candidates between what links connect on either side are compared
     root_of = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
     failed = first.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
     failed = materialise(failed.filter("a != b").distinct(), "near-failed")
-    zones = components(spanning(failed), "near-zones").select(F.col("node").alias("root"), F.col("root").alias("zone"))
-    parts = of.join(zones, "root").join(sets, "node").select("node", "zone", "root", "f0", "f1", "shingles")
+    zones = components(failed, "near-zones").select(F.col("node").alias("root"), F.col("root").alias("zone"))
+    parts = of.join(zones, "root").join(sets, "node").select("node", "zone", "root", *WIDE, "shingles")
     more = materialise(between(parts, similarity, radius, total), "near-links")
     if not more.isEmpty():
-        tops = components(spanning(more), "near-tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
+        tops = components(more, "near-tops").select(F.col("node").alias("root"), F.col("root").alias("top"))
         of = of.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root"))
     of = of.select("key", F.col("root").alias("component"))
     return fps.join(of, "key").select("row", "id", "component")
