@@ -6,7 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tickloom.llm.simhash import between, components, fingerprint, forest, simhash_components, simhash_stage, similar_components, spanning, wide_fingerprint
+from tickloom.llm.simhash import between, components, fingerprint, forest, grouped_links, simhash_components, simhash_stage, similar_components, spanning, tiles, wide_fingerprint
 
 from .odd import odd_texts
 
@@ -214,6 +214,21 @@ def test_repeats_do_not_hide_similar_sets(docs_of):
     assert all(found[i] == found[i + 1] for i in range(0, 40, 2)) and len(set(found.values())) == 20
 
 
+def test_a_tile_goes_once_to_each_pair_of_groups(spark):
+    """However many tiles there are, the bytes that travel don't grow with them, and no link between tiles is lost."""
+    rng = np.random.default_rng(8)
+    fps = np.repeat(rng.integers(0, 2**63, (60, 4)), 8, axis=0) ^ (1 << rng.integers(0, 62, (480, 4)))
+    classes = spark.createDataFrame([(k, *map(int, x)) for k, x in enumerate(fps)], "node long, f0 long, f1 long, f2 long, f3 long")
+    tiled = tiles(classes, ["f0", "f1", "f2", "f3"], 4, (14, 36), (20, 64)).localCheckpoint()
+    assert tiled.count() > 100
+    found = grouped_links(tiled, 4, (14, 36), (20, 64))
+    root = list(range(480))
+    for a, b in found.collect():
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    assert root == [k - k % 8 for k in range(480)] and found.count() < 480 + 60 * 8 * 8
+
+
 def test_chance_makes_no_candidates():
     """The share of bits in which texts without a common shingle come near is far below one in all pairs of a large corpus."""
     rng = np.random.default_rng(4)

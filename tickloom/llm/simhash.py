@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest, xxh64_intdigest
 
@@ -181,14 +181,56 @@ def tile_pairs(tiled: DataFrame, radius: int, salts: int = 8) -> DataFrame:
     return spread.select(*(f"{c}_{x}" for c in ("nodes", "fps", "parts") for x in "ab"))
 
 
-def links(tiled: DataFrame, words: int, *limits: tuple[int, int]) -> DataFrame:
-    """(a, b): the tiles' own forests, and for each two of them the links that connect their parts, over nodes."""
+PER_GROUP = 24, 1 << 20  # groups of tiles at least, and classes of a group
+
+
+def grouped_links(tiled: DataFrame, words: int, *limits: tuple[int, int]) -> DataFrame:
+    """As ``links``, for a radius so wide that few pairs of tiles have counts too far apart: each tile gets a group, and goes once to each pair of
+    groups, not to each pair of tiles."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        own, same = rows["own"].to_numpy(), rows["x"][0] == rows["y"][0]
+        left = own == rows["x"][0].as_py()
+
+        def side(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            nodes, fps, parts = ([np.frombuffer(rows[c][k].as_buffer(), t) for k in at.tolist()] for c, t in (("nodes", np.int64), ("fps", np.uint64), ("parts", np.int32)))
+            begin = np.cumsum([0, *map(len, nodes)])
+            return np.concatenate(nodes), np.concatenate(fps).reshape(-1, words), np.concatenate([p.astype(np.int64) + b for p, b in zip(parts, begin[:-1], strict=True)])
+
+        if same or left.all() or not left.any():
+            if not same:  # the other group has no tiles
+                return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            na, a, parts = side(np.arange(len(own)))
+            nb, b = na, a
+        else:
+            (na, a, parts_a), (nb, b, parts_b) = side(np.flatnonzero(left)), side(np.flatnonzero(~left))
+            parts = np.concatenate((parts_a, parts_b + len(na)))
+        _, i, j = forest(a, b, parts, same, *limits)
+        return pa.table({"a": pa.array(na[i]), "b": pa.array(nb[j])})
+
+    classes = tiled.agg(F.sum(F.length("nodes") / 8)).first()[0] or 0
+    groups = max(PER_GROUP[0], int(classes // PER_GROUP[1]) + 1)
+    by_size = Window.orderBy(F.length("nodes").desc(), "tile")
+    own = tiled.select("tile", F.pmod(F.row_number().over(by_size) - 1, F.lit(groups)).alias("own"))
+    spread = tiled.join(own, "tile").withColumn("other", F.explode(F.expr(f"sequence(0, {groups} - 1)")))
+    spread = spread.select(F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "nodes", "fps", "parts")
+    return own_links(tiled).unionByName(spread.groupBy("x", "y").applyInArrow(run, "a long, b long"))
+
+
+def own_links(tiled: DataFrame) -> DataFrame:
+    """(a, b): the tiles' own forests."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(c[k].as_buffer(), np.int64)) for c in batch.columns], ["a", "b"])
 
+    return tiled.select("a", "b").mapInArrow(own, "a long, b long")
+
+
+def links(tiled: DataFrame, words: int, *limits: tuple[int, int]) -> DataFrame:
+    """(a, b): the tiles' own forests, and for each two of them the links that connect their parts, over nodes."""
+
     def between_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -198,7 +240,7 @@ def links(tiled: DataFrame, words: int, *limits: tuple[int, int]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(na[i]), pa.array(nb[j])], ["a", "b"])
 
     across = tile_pairs(tiled, max(r for r, _ in limits)).mapInArrow(between_two, "a long, b long")
-    return tiled.select("a", "b").mapInArrow(own, "a long, b long").unionByName(across)
+    return own_links(tiled).unionByName(across)
 
 
 def united(pairs: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
@@ -400,7 +442,7 @@ def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int
     classes = fps.groupBy("key").agg(F.min("row").alias("node"), *(F.min(c).alias(c) for c in WIDE))
     classes = materialise(classes, "near-classes")
     tiled = materialise(tiles(classes, list(WIDE), tile_size, tight, (radius, total)), "near-tiles")
-    first = materialise(links(tiled, len(WIDE), tight, (radius, total)), "near-candidates")
+    first = materialise(grouped_links(tiled, len(WIDE), tight, (radius, total)), "near-candidates")
     # the whole sets of the classes that have candidates, from the row that each class is named after
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
