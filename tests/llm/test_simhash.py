@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from tickloom.llm import simhash
 from tickloom.llm.simhash import between, components, fingerprint, forest, grouped_links, simhash_components, simhash_stage, similar_components, spanning, tiles, wide_fingerprint
 
 from .odd import odd_texts
@@ -229,6 +230,90 @@ def test_a_tile_goes_once_to_each_pair_of_groups(spark):
     assert root == [k - k % 8 for k in range(480)] and found.count() < 480 + 60 * 8 * 8
 
 
+def quoting_texts(n=150):
+    """Texts that all quote a line of a sixth of their words; of each third one there is a near copy."""
+    rng = random.Random(21)
+    line, texts = [f"line{i}" for i in range(30)], []
+    for k in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+        texts += [" ".join(base + line)] + [" ".join([*base[:-1], "other", *line])] * (k % 3 == 0)
+    return texts
+
+
+def test_texts_without_a_rare_shingle_in_common_are_not_compared(docs_of, monkeypatch):
+    """The comparison doesn't grow with the square of the input: unrelated texts never meet."""
+    met, old, texts = [], simhash.tiles, quoting_texts()
+    monkeypatch.setattr(simhash, "tiles", lambda classes, *rest: met.append(classes.count()) or old(classes, *rest))
+    found = {r.id: r.component for r in similar_components(docs_of(texts).selectExpr("doc_id AS row", "doc_id AS id", "text")).collect()}
+    assert not met
+    want = plain_near(texts)
+    assert len(set(want)) == 150 and all((found[i] == found[j]) == (want[i] == want[j]) for i in found for j in found)
+
+
+def test_what_many_texts_quote_makes_no_long_lists(docs_of):
+    texts = quoting_texts()
+    rows, sets = docs_of(texts).selectExpr("doc_id AS node", "text"), [np.unique(simhash.shingle_hashes(t.encode(), 5)[:, 0]) for t in texts]
+    often = np.bincount(simhash.cells(np.concatenate(sets)), minlength=1 << simhash.CELL_BITS)
+    near = {(i, i + 1) for i, t in enumerate(texts[1:]) if " other " in t}
+    for counts, most in ((often, 2), (np.zeros_like(often), len(texts))):
+        found = {}
+        for r in simhash.lists(rows, 3, counts, (4, 5), 5, 2048).collect():
+            found.setdefault(r["list"], []).append(r.node)
+        pairs = {tuple(sorted(x)) for x in found.values()}
+        assert near <= pairs and max(map(len, pairs)) == most and (most > 2 or pairs == near)
+
+
+@pytest.mark.parametrize("longest", [1, 4, 30])
+def test_texts_on_long_lists_are_compared_in_tiles(docs_of, monkeypatch, longest):
+    met, old, texts = [], simhash.tiles, near_copies()
+    monkeypatch.setattr(simhash, "tiles", lambda classes, *rest: met.append(classes.count()) or old(classes, *rest))
+    found = {r.id: r.component for r in similar_components(docs_of(texts).selectExpr("doc_id AS row", "doc_id AS id", "text"), tile_size=16, longest=longest).collect()}
+    want = plain_near(texts)
+    assert 1 < met[0] < len(set(texts)) and all((found[i] == found[j]) == (want[i] == want[j]) for i in found for j in found)
+
+
+def test_similar_sets_have_a_rare_shingle_in_common():
+    rng = np.random.default_rng(6)
+    often = rng.integers(0, 3, 1 << simhash.CELL_BITS)
+    for up, down in ((4, 5), (19, 20), (1, 2)):
+        close = 0
+        for _ in range(4000):
+            every = np.unique(rng.integers(0, 2**64, rng.integers(1, 40), dtype=np.uint64))
+            x, y = (every[rng.random(len(every)) < rng.choice([0.8, 0.9, 0.95])] for _ in range(2))
+            if len(x) and len(y) and simhash.jaccard(x, y, (up, down)):
+                close += 1
+                assert len(np.intersect1d(simhash.rarest(x, often, (up, down)), simhash.rarest(y, often, (up, down))))
+        assert close > 100
+    assert not len(simhash.rarest(np.zeros(0, np.uint64), often, (4, 5)))
+
+
+@pytest.mark.parametrize("short", [2, 64])
+def test_forests_of_lists(spark, monkeypatch, short):
+    """The pairs under the limits that share a list, and no others, are connected; short and long lists alike."""
+    monkeypatch.setattr(simhash, "SHORT", short)
+    rng = np.random.default_rng(9)
+    fps = np.repeat(rng.integers(0, 2**63, (8, 4)), 6, axis=0) ^ (1 << rng.integers(0, 62, (48, 4)))
+    classes = spark.createDataFrame([(k, *map(int, x)) for k, x in enumerate(fps)], "node long, f0 long, f1 long, f2 long, f3 long")
+    listed = {k: sorted(rng.choice(48, rng.integers(2, 12), replace=False).tolist()) for k in range(25)}
+    frame = spark.createDataFrame([(k, x[0] if len(x) <= short else k, n) for k, x in listed.items() for n in x], "list long, at long, node long")
+    wide, root = fps.view(np.uint64), list(range(48))
+
+    def unite(a, b):
+        low, high = sorted((root[a], root[b]))
+        root[:] = [low if r == high else r for r in root]
+
+    for x in listed.values():
+        for a in x:
+            for b in x:
+                if np.bitwise_count(wide[a] ^ wide[b]).sum() <= 64:
+                    unite(a, b)
+    want, root[:] = list(root), range(48)
+    for a, b in simhash.list_links(frame, classes, (14, 36), (20, 64)).collect():
+        assert a // 6 == b // 6
+        unite(a, b)
+    assert root == want and len(set(want)) < 48
+
+
 def test_chance_makes_no_candidates():
     """The share of bits in which texts without a common shingle come near is far below one in all pairs of a large corpus."""
     rng = np.random.default_rng(4)

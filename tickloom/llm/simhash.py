@@ -16,8 +16,13 @@ The comparison is quadratic in the number of distinct fingerprints; the tests of
 
 The pipeline's stage links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Its fingerprints are those of the sets, without repeats, and have 256 bits: at
 0.8, about 39 of them differ, with a deviation of 6; candidates are pairs that differ in 64 at most, and in 20 at most of the first
-64, by which tiles are compared. Of texts without a common shingle 128 differ, with a deviation of 8, so chance makes no candidates, however many
-texts there are. Each candidate's similarity is computed from the whole sets. Tile pairs first give forests of
+64. Of texts without a common shingle 128 differ, with a deviation of 8, so chance makes no candidates, however many
+texts there are. Each candidate's similarity is computed from the whole sets.
+
+The stage doesn't compare all fingerprints. In whatever order all shingles stand, two sets of similarity 0.8 have one in common among the first of
+each, a fifth of the set and one more; so only the texts on the list of one such shingle are compared, which leaves out no similar pair. The order is by how often a shingle
+occurs (counted over all texts, in cells that shingles share), so what many texts quote comes last. Texts on a list of more than
+``longest`` are compared all with all, in tiles. Lists and tiles first give forests of
 candidates, those of few bits first; where these fall apart because a candidate isn't similar enough, all candidates between the
 parts are compared in blocks, which return forests again.
 
@@ -380,6 +385,136 @@ def jaccard(x: np.ndarray, y: np.ndarray, similarity: tuple[int, int]) -> bool:
     return down * both >= up * (len(x) + len(y) - both)
 
 
+CELL_BITS, BLOCK = 18, 4096  # leading bits of a shingle that name the cell it is counted in, and cells of a row of counts
+
+
+def cells(own: np.ndarray) -> np.ndarray:
+    return (own >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def cell_counts(counted: DataFrame) -> np.ndarray:
+    """The sum of rows (block, counts), cell by cell."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64) for x in rows["counts"])
+        return pa.table({"block": rows["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    often = np.zeros((1 << CELL_BITS) // BLOCK * BLOCK, np.int64)
+    for r in counted.select("block", "counts").groupBy("block").applyInArrow(run, "block int, counts binary").collect():
+        often[r.block * BLOCK : (r.block + 1) * BLOCK] = np.frombuffer(r.counts, np.int64)
+    return often
+
+
+def rarest(own: np.ndarray, often: np.ndarray, similarity: tuple[int, int]) -> np.ndarray:
+    """The first shingles of a set (numbers in order), by the counts of their cells: as many as a similar set may lack, and one. Similar sets have
+    one of theirs in common: the first of all that they have in common."""
+    up, down = similarity
+    return own[np.argsort(often[cells(own)], kind="stable")[: len(own) + -len(own) * up // down + 1]]
+
+
+PER_LIST, SHORT = 1 << 19, 64  # entries that a task holds, and those of a list whose pairs are taken without a look at their fingerprints
+
+
+def lists(texts: DataFrame, shards: int, often: np.ndarray, similarity: tuple[int, int], words: int, longest: int) -> DataFrame:
+    """(list, at, node): the nodes of ``texts`` (node, text) that have one of their rarest shingles in common, a list for each such set of nodes in a shard.
+    Short lists of the same first node are for the same task (``at``). Nodes of lists of more than ``longest`` come without a list (-1)."""
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, int]] = []
+
+        def out() -> pa.RecordBatch:
+            shingles = np.concatenate([x for x, _ in held])
+            nodes = np.repeat(np.array([n for _, n in held], np.int64), [len(x) for x, _ in held])
+            shard = (shingles % np.uint64(shards)).astype(np.int32)
+            order = np.argsort(shard, kind="stable")
+            own, begin = np.unique(shard[order], return_index=True)
+            parts = [[y.tobytes() for y in np.split(x[order], begin[1:])] for x in (shingles, nodes)] if len(own) else [[], []]
+            return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(x, pa.binary()) for x in parts)], ["shard", "shingles", "nodes"])
+
+        size = 0
+        for batch in batches:
+            for node, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
+                held.append((rarest(np.unique(shingle_hashes(t.as_py() or b"", words)[:, 0]), often, similarity), node))
+                size += len(held[-1][0])
+                if size >= PER_LIST:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    def run(rows: pa.Table) -> pa.Table:
+        shingles, nodes = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in rows[c]]) for c, t in (("shingles", np.uint64), ("nodes", np.int64)))
+        order = np.argsort(shingles, kind="stable")
+        shingles, nodes = shingles[order], nodes[order]
+        begin = np.flatnonzero(np.append(True, shingles[1:] != shingles[:-1]))
+        length = np.diff(np.append(begin, len(nodes)))
+        number, none, out = rows["shard"][0].as_py() << 40, np.zeros(0, np.int64), []
+        for m in np.unique(length[length > 1]).tolist():
+            same = np.unique(np.sort(nodes[begin[length == m][:, None] + np.arange(m)], axis=1), axis=0)
+            if m > longest:
+                own = np.unique(same)
+                out.append((np.full(len(own), -1), own, own))
+                continue
+            numbers = number + np.arange(len(same))
+            out.append((np.repeat(numbers, m), np.repeat(same[:, 0] if m <= SHORT else numbers, m), same.ravel()))
+            number += len(same)
+        columns = [np.concatenate([none, *x]) for x in zip(*out, strict=True)] if out else [none] * 3
+        return pa.table(dict(zip(("list", "at", "node"), map(pa.array, columns), strict=True)))
+
+    entered = texts.select("node", "text").mapInArrow(entries, "shard int, shingles binary, nodes binary")
+    return entered.groupBy("shard").applyInArrow(run, "list long, at long, node long")
+
+
+def reached(fps: np.ndarray, radius: int, total: int) -> np.ndarray:
+    """A spanning forest, as pairs of places, of the fingerprints that come near each other: each is linked to the one it is first reached from."""
+    left, rest, found = np.arange(len(fps)), fps, [np.zeros((0, 2), np.int64)]
+    while len(left) > 1:
+        todo, left, rest = [left[0]], left[1:], rest[1:]
+        while todo and len(left):
+            x = todo.pop()
+            hit = np.flatnonzero(np.bitwise_count(rest[:, 0] ^ fps[x, 0]) <= radius)
+            hit = hit[np.bitwise_count(rest[hit] ^ fps[x]).sum(1, dtype=np.int64) <= total]
+            if len(hit):
+                found.append(np.stack((np.full(len(hit), x), left[hit]), axis=1))
+                todo += left[hit].tolist()
+                left, rest = np.delete(left, hit), np.delete(rest, hit, axis=0)
+    return np.concatenate(found)
+
+
+def list_links(listed: DataFrame, classes: DataFrame, *limits: tuple[int, int]) -> DataFrame:
+    """(a, b): forests, task by task, of the pairs under the limits that are on a list (list, at, node) together."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        names, first, at = np.unique(rows["node"].to_numpy(), return_index=True, return_inverse=True)
+        fps = np.stack([rows[c].to_numpy().view(np.uint64)[first] for c in WIDE], axis=1)
+        own = rows["list"].to_numpy()
+        order = np.lexsort((at, own))
+        own, at = own[order], at[order]
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        length = np.diff(np.append(begin, len(own)))
+        short = np.repeat(length <= SHORT, length)
+        own, near_at, keys = own[short], at[short], [np.zeros(0, np.int64)]
+        for d in range(1, SHORT):
+            k = np.flatnonzero(own[:-d] == own[d:])
+            keys.append(near_at[k] * len(names) + near_at[k + d])
+        pairs, apart, whole_apart = np.stack(np.divmod(np.unique(np.concatenate(keys)), len(names)), axis=1), [], []
+        for k in range(0, len(pairs), PER_LIST):
+            a, b = pairs[k : k + PER_LIST].T
+            bits = np.bitwise_count(fps[a] ^ fps[b])
+            apart.append(bits[:, 0])
+            whole_apart.append(bits.sum(1, dtype=np.int64))
+        apart, whole_apart = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (apart, whole_apart))
+        long = [at[x : x + n] for x, n in zip(begin.tolist(), length.tolist(), strict=True) if n > SHORT]
+        found = [y for radius, total in limits for y in (pairs[(apart <= radius) & (whole_apart <= total)], *(x[reached(fps[x], radius, total)] for x in long))]
+        found = names[np.concatenate(found)]
+        _, _, kept = united(found)
+        return pa.table({"a": found[kept, 0], "b": found[kept, 1]})
+
+    groups = max(shuffle_partitions(listed.sparkSession), listed.count() // (PER_LIST // 4))
+    entries = listed.withColumn("to", F.pmod(F.xxhash64("at"), F.lit(groups))).select("to", "list", "node")
+    return entries.join(classes.select("node", *WIDE), "node").groupBy("to").applyInArrow(run, "a long, b long")
+
+
 def between(parts: DataFrame, similarity: tuple[int, int], radius: int, total: int, most: tuple[int, int] = PER_TASK) -> DataFrame:
     """(a, b): links between the roots of each zone, from rows of (node, zone, root, the words of a fingerprint, shingles). All candidates between different roots are
     compared until they are connected, in blocks of a zone against each other, so a large zone is no task's alone; a task
@@ -417,19 +552,33 @@ def between(parts: DataFrame, similarity: tuple[int, int], radius: int, total: i
     return blocks.groupBy("zone", "x", "y").applyInArrow(run, "a long, b long")
 
 
-def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 20, total: int = 64, tight: tuple[int, int] = (14, 36), tile_size: int = 65_536) -> DataFrame:
+def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 20, total: int = 64, tight: tuple[int, int] = (14, 36), tile_size: int = 65_536, longest: int = 2048) -> DataFrame:
     """(row, id, component) of rows (row, id, text): ``component`` is the same for texts that links of similar sets of shingles connect.
     ``tight``: the limits under which most candidates are similar."""
+    types = {"row": pa.int64(), "id": pa.int64(), "key": pa.binary(), **dict.fromkeys(WIDE, pa.int64()), "n": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each text, and after them rows of the counts of their shingles."""
+
+        def filled(**columns: pa.Array) -> pa.RecordBatch:
+            n = len(next(iter(columns.values())))
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(n, t)) for c, t in types.items()], list(types))
+
+        often = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            keys, fps = [], np.zeros((batch.num_rows, len(WIDE)), np.int64)
+            keys, sets, fps = [], [], np.zeros((batch.num_rows, len(WIDE)), np.int64)
             for k, t in enumerate(batch.column(2).cast(pa.binary())):
                 h = shingle_hashes(t.as_py() or b"", words)
                 own, at = np.unique(h[:, 0], return_index=True)
                 keys.append(xxh3_128_digest(own.tobytes()))
+                sets.append(own)
                 fps[k] = wide_fingerprint(h[at]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), *(pa.array(np.ascontiguousarray(x)) for x in fps.T)], ["row", "id", "key", *WIDE])
+            if sets:
+                often += np.bincount(cells(np.concatenate(sets)), minlength=len(often))
+            yield filled(row=batch.column(0), id=batch.column(1), key=pa.array(keys, pa.binary()), n=pa.array(list(map(len, sets)), pa.int64()), **{c: pa.array(np.ascontiguousarray(x)) for c, x in zip(WIDE, fps.T, strict=True)})
+        if often.any():
+            counts = [x.tobytes() for x in often.astype(np.uint32).reshape(-1, BLOCK)]
+            yield filled(block=pa.array(range(len(counts)), pa.int32()), counts=pa.array(counts, pa.binary()))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -438,11 +587,23 @@ def similar_components(rows: DataFrame, *, words: int = 5, similarity: tuple[int
                 own = [np.unique(shingle_hashes(t.as_py() or b"", words)[:, 0]).tobytes() for t in part.column(1).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.binary())], ["node", "shingles"])
 
-    fps = materialise(rows.select("row", "id", "text").mapInArrow(marked, f"row long, id long, key binary, {' long, '.join(WIDE)} long"), "near-rows")
-    classes = fps.groupBy("key").agg(F.min("row").alias("node"), *(F.min(c).alias(c) for c in WIDE))
+    marks = materialise(rows.select("row", "id", "text").mapInArrow(marked, f"row long, id long, key binary, {' long, '.join(WIDE)} long, n long, block int, counts binary"), "near-rows")
+    often, fps = cell_counts(marks.filter("block IS NOT NULL")), marks.filter("block IS NULL").select("row", "id", "key", *WIDE, "n")
+    classes = fps.groupBy("key").agg(F.min("row").alias("node"), *(F.min(c).alias(c) for c in (*WIDE, "n")))
     classes = materialise(classes, "near-classes")
-    tiled = materialise(tiles(classes, list(WIDE), tile_size, tight, (radius, total)), "near-tiles")
-    first = materialise(grouped_links(tiled, len(WIDE), tight, (radius, total)), "near-candidates")
+    # of each class one text is listed: most often few are left out
+    others = materialise(fps.join(classes.select("key", "node"), "key").filter("row != node").select("row"), "near-others")
+    up, down = similarity
+    entries = classes.agg(F.sum(F.col("n") * (down - up) / down + 1)).first()[0] or 0
+    texts = rows.select("row", "text").join(others, "row", "left_anti").withColumnRenamed("row", "node")
+    listed = lists(texts, max(shuffle_partitions(rows.sparkSession), int(entries) // PER_LIST + 1), often, similarity, words, longest)
+    listed = materialise(listed, "near-lists")
+    first = list_links(listed.filter("list >= 0"), classes, tight, (radius, total))
+    crowd = materialise(listed.filter("list < 0").select("node").distinct(), "near-crowd")
+    if not crowd.isEmpty():
+        tiled = materialise(tiles(classes.join(crowd, "node", "left_semi"), list(WIDE), tile_size, tight, (radius, total)), "near-tiles")
+        first = first.unionByName(grouped_links(tiled, len(WIDE), tight, (radius, total)))
+    first = materialise(first.distinct(), "near-candidates")
     # the whole sets of the classes that have candidates, from the row that each class is named after
     nodes = first.select(F.col("a").alias("node")).union(first.select("b")).distinct()
     texts = rows.select(F.col("row").alias("node"), "text").join(nodes, "node", "left_semi")
